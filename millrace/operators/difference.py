@@ -1,0 +1,16 @@
+"""Whether two tables hold the same rows, repeated rows included."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows whose number of copies differs, with ``surplus`` > 0 where the left side has more.
+
+    Both sides go through one shuffle, and equal rows are merged before it.
+    """
+    columns = left.columns
+    tagged = left.withColumn("__side", F.lit(1)).unionByName(right.withColumn("__side", F.lit(-1)))
+    return tagged.groupBy(*columns).agg(F.sum("__side").alias("surplus")).filter("surplus <> 0")
