@@ -21,23 +21,29 @@ def encode_json(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns), JSON_OPTIONS)
 
 
-def parse_json(messages: DataFrame, schema: T.StructType, value_col: str = "value") -> DataFrame:
-    """Add ``row`` (the fields) and ``_corrupt_record`` (the text, if it does not fit the schema)."""
+def _parsed(schema: T.StructType, value_col: str) -> Column:
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {**JSON_OPTIONS, "columnNameOfCorruptRecord": CORRUPT}
-    parsed = messages.withColumn("row", F.from_json(F.col(value_col).cast("string"), with_corrupt, options))
-    # A missing value is as undecodable as a broken one; from_json gives no struct for it.
-    return parsed.withColumn(
-        CORRUPT, F.when(F.col("row").isNull(), F.coalesce(F.col(value_col).cast("string"), F.lit(""))).otherwise(F.col(f"row.{CORRUPT}"))
-    )
+    return F.from_json(F.col(value_col).cast("string"), with_corrupt, options)
+
+
+def parse_json(messages: DataFrame, schema: T.StructType, value_col: str = "value") -> DataFrame:
+    """Add ``row`` (the fields) and ``_corrupt_record`` (the text, if it does not fit the schema)."""
+    parsed = messages.withColumn("row", _parsed(schema, value_col))
+    # A missing value is as undecodable as a broken one, and gives no struct at all.
+    return parsed.withColumn(CORRUPT, F.when(F.col("row").isNull(), F.lit("")).otherwise(F.col(f"row.{CORRUPT}")))
 
 
 def decode_json(messages: DataFrame, schema: T.StructType, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split messages into rows of the schema and undecodable raw values."""
-    parsed = parse_json(messages, schema, value_col)
-    good = parsed.filter(F.col(CORRUPT).isNull()).select(*(F.col(f"row.`{f.name}`") for f in schema.fields))
-    bad = parsed.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("raw_value"))
-    return good, bad
+    # Choosing within the generator parses each message once; a filter would be moved
+    # below the projection and parse it again.
+    decodable = F.filter(
+        F.array(_parsed(schema, value_col)), lambda row: row.isNotNull() & row.getField(CORRUPT).isNull()
+    )
+    good = messages.select(F.inline(decodable)).drop(CORRUPT)
+    bad = parse_json(messages, schema, value_col).filter(F.col(CORRUPT).isNotNull())
+    return good, bad.select(F.col(CORRUPT).alias("raw_value"))
 
 
 def decode_avro(messages: DataFrame, avro_schema: str, schema: T.StructType, value_col: str = "value") -> DataFrame:

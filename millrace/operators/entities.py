@@ -39,7 +39,7 @@ def merged_changes(events: DataFrame) -> DataFrame:
     return decode.fill_defaults(decode.project(wide, MERGED_CHANGES.struct()), MERGED_CHANGES.defaults())
 
 
-def count_members(rows: DataFrame, list_col: str, name: str = "n") -> DataFrame:
-    """How many rows have each value in their multi-valued column."""
-    members = rows.select(F.explode(F.array_distinct(list_col)).alias("member"))
-    return members.groupBy("member").agg(F.count("*").alias(name))
+def count_members(rows: DataFrame, list_col: str, **counts: Column) -> DataFrame:
+    """Aggregates over the rows that have each value (``member``) in their multi-valued column."""
+    flat = rows.withColumn("member", F.explode(F.array_distinct(list_col)))
+    return flat.groupBy("member").agg(*(count.alias(name) for name, count in counts.items()))

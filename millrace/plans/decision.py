@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import clock
 from millrace.functions.money import amount, cents, revenue
-from millrace.operators import running
+from millrace.operators import running, sets
 from millrace.operators.sqljobs import run_sql
 from millrace.plans.registry import query
 from millrace.sources import tables
@@ -120,10 +120,10 @@ def ds_left_outer(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _year_customers(spark: SparkSession, directory: str, year: int) -> DataFrame:
-    """The customers with an order in a year, each once."""
+def _in_year(spark: SparkSession, directory: str, year: int) -> DataFrame:
+    """The customer of every order of a year."""
     orders = _read(spark, directory, "orders").filter(clock.in_year("o_orderdate", year))
-    return orders.select(F.col("o_custkey").alias("custkey")).distinct()
+    return orders.select(F.col("o_custkey").alias("custkey"))
 
 
 def _year_customers_sql(year: int) -> str:
@@ -143,8 +143,8 @@ FROM ({_year_customers_sql(1996)}) a FULL JOIN ({_year_customers_sql(1997)}) b O
 )
 def ds_full_outer(spark: SparkSession, directory: str) -> DataFrame:
     """Customers active in one year only, the other only, and both."""
-    first = _year_customers(spark, directory, 1996).withColumnRenamed("custkey", "a")
-    second = _year_customers(spark, directory, 1997).withColumnRenamed("custkey", "b")
+    first = _in_year(spark, directory, 1996).distinct().withColumnRenamed("custkey", "a")
+    second = _in_year(spark, directory, 1997).distinct().withColumnRenamed("custkey", "b")
     a, b = F.col("a"), F.col("b")
     return first.join(second, a == b, "full").agg(
         F.count_if(b.isNull()).alias("only_1996"),
@@ -249,15 +249,17 @@ _QUANTITY_BUCKETS = {"small": (1, 10), "middle": (11, 30), "large": (31, 50)}
 def ds_cross_scalars(spark: SparkSession, directory: str) -> DataFrame:
     """Figures of three quantity buckets side by side: one pass instead of a join of three."""
     quantity = F.col("l_quantity")
-    figures = []
+    per_part, figures = [], []
     for name, (low, high) in _QUANTITY_BUCKETS.items():
         held = quantity.between(low, high)
+        per_part += [F.count_if(held).alias(f"n_{name}"), F.sum(F.when(held, quantity)).alias(f"sum_{name}")]
         figures += [
-            F.count_if(held).alias(f"n_{name}"),
-            F.count_distinct(F.when(held, F.col("l_partkey"))).alias(f"parts_{name}"),
-            F.round(F.avg(F.when(held, quantity)), 6).alias(f"avg_{name}"),
+            F.sum(f"n_{name}").alias(f"n_{name}"),
+            F.count_if(F.col(f"n_{name}") > 0).alias(f"parts_{name}"),
+            F.round(F.sum(f"sum_{name}") / F.sum(f"n_{name}"), 6).alias(f"avg_{name}"),
         ]
-    return _read(spark, directory, "lineitem").agg(*figures)
+    # By part first: a bucket's distinct parts are then those that have a line in it.
+    return _read(spark, directory, "lineitem").groupBy("l_partkey").agg(*per_part).agg(*figures)
 
 
 @query(
@@ -633,13 +635,13 @@ def ds_union_all(spark: SparkSession, directory: str) -> DataFrame:
 @query(f"{_year_customers_sql(1996)} INTERSECT {_year_customers_sql(1997)}")
 def ds_intersect(spark: SparkSession, directory: str) -> DataFrame:
     """Customers active in both years."""
-    return _year_customers(spark, directory, 1996).intersect(_year_customers(spark, directory, 1997))
+    return sets.intersect(_in_year(spark, directory, 1996), _in_year(spark, directory, 1997))
 
 
 @query(f"{_year_customers_sql(1996)} EXCEPT {_year_customers_sql(1997)}")
 def ds_except(spark: SparkSession, directory: str) -> DataFrame:
     """Customers active in the first year but not in the second."""
-    return _year_customers(spark, directory, 1996).subtract(_year_customers(spark, directory, 1997))
+    return sets.subtract(_in_year(spark, directory, 1996), _in_year(spark, directory, 1997))
 
 
 # Subqueries
@@ -657,19 +659,20 @@ def ds_correlated(spark: SparkSession, directory: str) -> DataFrame:
     """Lines of more than 1.2 times their part's mean quantity, by return flag.
 
     Lines of one part, flag and quantity are counted first: quantities are few, so a hot
-    part is a handful of rows on both sides of the join that the subquery becomes.
+    part is a handful of rows on both sides. The mean is joined on, not written as a
+    subquery, whose filter Spark would move below the counting, onto the raw lines.
     """
-    lines = _read(spark, directory, "lineitem")
-    return run_sql(
-        spark,
-        """
-        SELECT l_returnflag AS returnflag, sum(a.n) AS n_lines, sum(a.n * l_quantity) AS quantity
-        FROM {lines} a
-        WHERE l_quantity > 1.2D * (SELECT sum(b.n * b.l_quantity) / sum(b.n) FROM {lines} b
-                                   WHERE b.l_partkey = a.l_partkey)
-        GROUP BY l_returnflag
-        """,
-        lines=lines.groupBy("l_partkey", "l_returnflag", "l_quantity").agg(F.count("*").alias("n")),
+    # A line without part or quantity can neither be above a mean nor move one. Said here,
+    # it holds for both sides of the join, which then share one scan and shuffle.
+    lines = _read(spark, directory, "lineitem").filter("l_partkey IS NOT NULL AND l_quantity IS NOT NULL")
+    counted = lines.groupBy("l_partkey", "l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+    mean = F.sum(F.col("n") * F.col("l_quantity")) / F.sum("n")
+    means = counted.groupBy(F.col("l_partkey").alias("partkey")).agg(mean.alias("mean"))
+    above = (F.col("l_partkey") == F.col("partkey")) & (F.col("l_quantity") > 1.2 * F.col("mean"))
+    return (
+        counted.join(means, above)
+        .groupBy(F.col("l_returnflag").alias("returnflag"))
+        .agg(F.sum("n").alias("n_lines"), F.sum(F.col("n") * F.col("l_quantity")).alias("quantity"))
     )
 
 
@@ -710,25 +713,31 @@ def ds_scalar_case(spark: SparkSession, directory: str) -> DataFrame:
 SELECT o_orderpriority AS priority, count(*) AS n_orders, {_sum_sql(_PRICE)} AS total
 FROM orders
 WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey
-                    HAVING sum({_PRICE}) > 1.5 * (SELECT sum({_PRICE}) / count(DISTINCT o_custkey) FROM orders))
+                    HAVING sum({_PRICE}) > 1.5 * (SELECT sum({_PRICE}) / count(DISTINCT o_custkey) FROM orders
+                                                  WHERE o_custkey IS NOT NULL))
 GROUP BY o_orderpriority
 """
 )
 def ds_in_subquery(spark: SparkSession, directory: str) -> DataFrame:
-    """Orders of customers who spent half as much again as the average one, by priority."""
+    """Orders of customers who spent half as much again as the average one, by priority.
+
+    The subquery's customers are distinct, so an inner join keeps the same orders as IN.
+    Spark would move the semi join of an IN below the sums, onto the raw orders.
+    """
     per_customer = (
         _read(spark, directory, "orders")
+        .filter("o_custkey IS NOT NULL")
         .groupBy("o_custkey", "o_orderpriority")
         .agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("cents"))
     )
     return run_sql(
         spark,
         """
-        WITH spent AS (SELECT o_custkey, sum(cents) AS cents FROM {orders} GROUP BY o_custkey)
+        WITH spent AS (SELECT o_custkey, sum(cents) AS cents FROM {orders} GROUP BY o_custkey),
+             high AS (SELECT o_custkey FROM spent
+                      WHERE cents > 1.5D * (SELECT CAST(sum(cents) AS DOUBLE) / count(*) FROM spent))
         SELECT o_orderpriority AS priority, sum(n) AS n_orders, CAST(sum(cents) AS DOUBLE) / 100.0D AS total
-        FROM {orders}
-        WHERE o_custkey IN (SELECT o_custkey FROM spent
-                            WHERE cents > 1.5D * (SELECT CAST(sum(cents) AS DOUBLE) / count(*) FROM spent))
+        FROM {orders} JOIN high USING (o_custkey)
         GROUP BY o_orderpriority
         """,
         orders=per_customer,

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from millrace import workspace
 from millrace.functions import clock, decode
 from millrace.functions.money import amount, cents
-from millrace.operators import catalog, difference, entities, retention, segments
+from millrace.operators import catalog, entities, retention, segments, sets
 from millrace.plans.registry import query
 from millrace.sources import tables, topics
 from millrace.streaming import hourly, ingest, realtime
@@ -178,10 +178,8 @@ GROUP BY member
 def multi_value_counts(spark: SparkSession, directory: str) -> DataFrame:
     """Users per value of a multi-valued column, and how many of them also have 'error'."""
     users = _events(spark, directory).groupBy("user_id").agg(entities.value_set("event_type").alias("types"))
-    all_users = entities.count_members(users, "types", "n_users")
-    with_error = entities.count_members(users.filter(F.array_contains("types", "error")), "types", "n_with_error")
-    return all_users.join(with_error, "member", "left").select(
-        "member", "n_users", F.coalesce("n_with_error", F.lit(0)).cast("bigint").alias("n_with_error")
+    return entities.count_members(
+        users, "types", n_users=F.count("*"), n_with_error=F.count_if(F.array_contains("types", "error"))
     )
 
 
@@ -316,14 +314,14 @@ def dual_path_diff(spark: SparkSession, directory: str) -> DataFrame:
     typed = _events(spark, directory).select(*EVENT.names)
     folder = _published(spark, _messages(typed))
     decoded, _ = decode.decode_json(_replay(spark, folder), EVENT)
-    surplus = F.coalesce(F.col("surplus"), F.lit(0))
-    differences = difference.row_differences(decoded, typed).agg(
-        F.coalesce(F.sum(F.greatest(surplus, F.lit(0))), F.lit(0)).cast("bigint").alias("only_decoded"),
-        F.coalesce(F.sum(F.greatest(-surplus, F.lit(0))), F.lit(0)).cast("bigint").alias("only_typed"),
-        F.lit(1).alias("one"),
+    left, right = F.col(sets.LEFT), F.col(sets.RIGHT)
+
+    def surplus(more: Column, less: Column) -> Column:
+        return F.sum(F.greatest(more - less, F.lit(0)))
+
+    return sets.row_copies(decoded, typed).agg(
+        surplus(left, right).alias("only_decoded"), surplus(right, left).alias("only_typed"), F.sum(left).alias("n_rows")
     )
-    counted = decoded.agg(F.count("*").alias("n_rows"), F.lit(1).alias("one"))
-    return differences.join(counted, "one").select("only_decoded", "only_typed", "n_rows")
 
 
 @query(
