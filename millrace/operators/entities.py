@@ -31,7 +31,7 @@ def merged_changes(events: DataFrame) -> DataFrame:
         "userId",
         "labels",
         "count",
-        F.size("labels").cast("bigint").alias("numAuthors"),
+        F.array_size("labels").cast("bigint").alias("numAuthors"),
         clock.epoch_millis("first_ts").alias("createdTimeMillis"),
         clock.epoch_millis("last_ts").alias("mergedTimeMillis"),
         elapsed_millis(F.col("first_ts"), F.col("last_ts")).alias("elapsedTimeMillis"),

@@ -11,6 +11,7 @@ from millrace.functions import clock, decode
 from millrace.functions.money import amount, cents
 from millrace.operators import catalog, entities, retention, segments, sets
 from millrace.plans.registry import query
+from millrace.schemas import FLIGHTS, MERGED_CHANGES
 from millrace.sources import tables, topics
 from millrace.streaming import hourly, ingest, realtime
 
@@ -265,7 +266,7 @@ def _realtime_events(spark: SparkSession, directory: str) -> str:
     """A real-time table of all events, filled from a topic."""
     folder = _published(spark, _messages(_events(spark, directory)))
     table = f"{catalog.create_scratch_database(spark, 'realtime')}.{TOPIC}"
-    realtime.create_realtime_table(spark, table, EVENT)
+    realtime.create_realtime_table(spark, table, EVENT, segment_rows=50_000, cluster_by=["event_type"])
     checkpoint = workspace.fresh_path(spark, "checkpoint")
     day = F.col("ts").cast("date")
     ingest.run_to_end(
@@ -324,6 +325,106 @@ def dual_path_diff(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _flights(spark: SparkSession, directory: str) -> DataFrame:
+    """Flight records made from the lines: a flight per line, from its supplier to its
+    part, on its shipping day. Fields that a line says nothing about stay out."""
+    ship = F.col("l_shipdate")
+    tail = F.concat(F.lit("N"), F.col("l_suppkey").cast("string"))
+    made = {
+        "DaysSinceEpoch": clock.epoch_days("l_shipdate"),
+        "Year": F.year(ship),
+        "Quarter": F.quarter(ship),
+        "Month": F.month(ship),
+        "DayofMonth": F.dayofmonth(ship),
+        "DayOfWeek": F.dayofweek(ship),
+        "FlightDate": ship.cast("date").cast("string"),
+        "Carrier": F.col("l_returnflag"),
+        "TailNum": F.when(F.col("l_linestatus") == "F", tail),
+        "FlightNum": F.col("l_linenumber"),
+        "OriginAirportID": F.col("l_suppkey").cast("int"),
+        "DestAirportID": F.col("l_partkey").cast("int"),
+        "Distance": F.col("l_quantity").cast("int"),
+        "DepDelay": F.when(F.col("l_tax") > 0, F.rint(F.col("l_tax") * 100).cast("int")),
+        "DivAirportIDs": F.array(F.col("l_suppkey").cast("int"), F.col("l_partkey").cast("int")),
+        "DivAirports": F.when(F.col("l_returnflag") == "R", F.array("l_returnflag", "l_linestatus")),
+    }
+    lines = tables.read(spark, directory, "lineitem")
+    return lines.select(*(value.alias(name) for name, value in made.items()))
+
+
+@query(
+    """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS "year", count(*) AS n_flights, CAST(0 AS BIGINT) AS n_differing,
+       CAST(sum(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END) AS BIGINT) AS n_without_tail,
+       CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS distance,
+       CAST(sum(CASE WHEN l_tax > 0 THEN round(l_tax * 100) END) AS BIGINT) AS delay,
+       CAST(sum(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END) AS BIGINT) AS n_diversions
+FROM lineitem GROUP BY 1
+"""
+)
+def rt_flights_paths(spark: SparkSession, directory: str) -> DataFrame:
+    """Flights by year, read from JSON messages by the flights schema. Each message stays
+    beside the typed row it was made from, and no field may differ between the two."""
+    schema = FLIGHTS.struct()
+    made = _flights(spark, directory).withColumn("value", decode.encode_json("*"))
+    typed = F.struct(*(F.col(n) if n in made.columns else F.lit(None).cast(schema[n].dataType).alias(n) for n in schema.names))
+    both = decode.parse_json(made.select("value", typed.alias("typed")), schema)
+    decoded = F.struct(*(F.col(f"row.{n}") for n in schema.names))
+    flights = both.select("row.*", (~decoded.eqNullSafe(F.col("typed"))).alias("differs"))
+    return flights.groupBy(F.col("Year").alias("year")).agg(
+        F.count("*").alias("n_flights"),
+        F.count_if("differs").alias("n_differing"),
+        F.count_if(F.col("TailNum").isNull()).alias("n_without_tail"),
+        F.sum("Distance").alias("distance"),
+        F.sum("DepDelay").alias("delay"),
+        F.coalesce(F.sum(F.array_size("DivAirports")), F.lit(0)).alias("n_diversions"),
+    )
+
+
+@query(
+    """
+SELECT CAST(CAST(last_ts AS DATE) AS VARCHAR) AS "day", count(*) AS n_entities, CAST(sum(n) AS BIGINT) AS n_events,
+       CAST(sum(n_types) AS BIGINT) AS n_labels, CAST(sum(millis) AS BIGINT) AS elapsed_millis, '' AS title,
+       CAST(0 AS BIGINT) AS n_expired
+FROM (SELECT user_id, max(ts) AS last_ts, count(*) AS n, count(DISTINCT event_type) AS n_types,
+             (epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000) AS millis
+      FROM events GROUP BY user_id)
+GROUP BY 1
+"""
+)
+def rt_declared_table(spark: SparkSession, directory: str) -> DataFrame:
+    """Merged-change rows published as JSON and kept as their declared real-time table."""
+    wide = entities.merged_changes(_events(spark, directory))
+    messages = topics.records(
+        wide,
+        MERGED_CHANGES.name,
+        key=F.col("userId"),
+        value=decode.encode_json("*"),
+        offset=F.col("mergedTimeMillis"),
+        timestamp=F.timestamp_millis("mergedTimeMillis"),
+    )
+    folder = _published(spark, messages)
+    table = f"{catalog.create_scratch_database(spark, 'declared')}.{MERGED_CHANGES.name}"
+    realtime.create_declared(spark, table, MERGED_CHANGES)
+    stream = topics.read_topic(spark, MERGED_CHANGES.name, folder=folder)
+    ingest.run_to_end(
+        realtime.ingest_declared(stream, table, MERGED_CHANGES, workspace.fresh_path(spark, "checkpoint"))
+    )
+    expired = realtime.expire_declared(spark, table, MERGED_CHANGES)
+    return (
+        realtime.read_realtime(spark, table)
+        .groupBy(F.col("day").cast("string").alias("day"))
+        .agg(
+            F.count("*").alias("n_entities"),
+            F.sum("count").alias("n_events"),
+            F.sum(F.array_size("labels")).alias("n_labels"),
+            F.sum("elapsedTimeMillis").alias("elapsed_millis"),
+            F.max("title").alias("title"),
+            F.lit(expired).cast("bigint").alias("n_expired"),
+        )
+    )
+
+
 @query(
     """
 SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n,

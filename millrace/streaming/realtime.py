@@ -7,27 +7,40 @@ can be dropped without a word to the stream. One checkpoint serves one table.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.functions import decode
-from millrace.operators import catalog
+from millrace.functions import clock, decode
+from millrace.operators import catalog, retention
+from millrace.schemas import TableSchema
 from millrace.streaming.ingest import triggered
 
 DAY = "day"
 BATCH = "batch"
 
 
-def create_realtime_table(spark: SparkSession, table: str, schema: T.StructType, fmt: str = "parquet") -> None:
+def create_realtime_table(
+    spark: SparkSession,
+    table: str,
+    schema: T.StructType,
+    segment_rows: int | None = None,
+    cluster_by: Sequence[str] = (),
+) -> None:
+    """A table in day partitions, no file of which holds more than ``segment_rows`` rows.
+    Files carry bloom filters for the columns of ``cluster_by``."""
     fields = [*schema.fields, T.StructField(DAY, T.DateType()), T.StructField(BATCH, T.LongType())]
     columns = ", ".join(f"{catalog.quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
-    catalog.create_table(
-        spark, table, columns, fmt, partitioned_by=(DAY, BATCH), options={"partitionOverwriteMode": "dynamic"}
-    )
+    options = {"partitionOverwriteMode": "dynamic"}
+    if segment_rows:
+        options["maxRecordsPerFile"] = str(segment_rows)
+    options |= {f"parquet.bloom.filter.enabled#{column}": "true" for column in cluster_by}
+    catalog.create_table(spark, table, columns, "parquet", partitioned_by=(DAY, BATCH), options=options)
 
 
 def ingest_realtime(
@@ -37,21 +50,23 @@ def ingest_realtime(
     day: Column,
     checkpoint: str,
     trigger_seconds: float | None = None,
-    segment_rows: int = 50_000,
     cluster_by: Sequence[str] = (),
-    defaults: dict | None = None,
+    defaults: dict[str, Any] | None = None,
 ) -> StreamingQuery:
     """Decode a topic into a real-time table; undecodable values are left out
-    (``ingest_with_quarantine`` keeps them). ``day`` is the row's date by its time column."""
+    (``ingest_with_quarantine`` keeps them). ``day`` is a row's date by its time column.
+
+    A file is closed with its batch, so the trigger interval is the longest time that a
+    segment stays open.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows, _ = decode.decode_json(batch, schema)
-        if defaults:
-            rows = decode.fill_defaults(rows, defaults)
+        rows = decode.fill_defaults(rows, defaults or {})
         rows = rows.withColumn(DAY, day).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
         # Small days share a task and a hot day is split over several.
         rows = rows.hint("rebalance", F.col(DAY)).sortWithinPartitions(DAY, *cluster_by)
-        rows.write.option("maxRecordsPerFile", segment_rows).insertInto(table, overwrite=True)
+        rows.write.insertInto(table, overwrite=True)
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return triggered(writer, trigger_seconds).start()
@@ -60,3 +75,40 @@ def ingest_realtime(
 def read_realtime(spark: SparkSession, table: str) -> DataFrame:
     """A real-time table's rows with their day."""
     return spark.table(table).drop(BATCH)
+
+
+def day_by(declared: TableSchema) -> Column:
+    """A row's date by the declared time column and unit."""
+    if declared.time_unit == "DAYS":
+        return clock.day_of(declared.time_column)
+    if declared.time_unit == "MILLISECONDS":
+        return clock.day_of_millis(declared.time_column)
+    raise ValueError(f"time unit {declared.time_unit} is not supported")
+
+
+def create_declared(spark: SparkSession, table: str, declared: TableSchema) -> None:
+    """The real-time table of a declared schema."""
+    create_realtime_table(spark, table, declared.struct(), declared.segment_rows, declared.cluster_by)
+
+
+def ingest_declared(
+    messages: DataFrame, table: str, declared: TableSchema, checkpoint: str, trigger_seconds: float | None = None
+) -> StreamingQuery:
+    """Decode a topic by a declared schema: fields, defaults, day and clustering."""
+    return ingest_realtime(
+        messages,
+        table,
+        declared.struct(),
+        day_by(declared),
+        checkpoint,
+        trigger_seconds,
+        declared.cluster_by,
+        declared.defaults(),
+    )
+
+
+def expire_declared(spark: SparkSession, table: str, declared: TableSchema, as_of: dt.date | None = None) -> int:
+    """Drop the days beyond the declared retention; says how many partitions went."""
+    if declared.retention_days is None:
+        return 0
+    return retention.drop_expired(spark, table, DAY, declared.retention_days, as_of)
