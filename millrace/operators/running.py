@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace import workspace
@@ -65,7 +66,7 @@ def _sliced(rows: DataFrame, groups: list[str], order: Sequence[Column], sums: d
     path = workspace.fresh_path(spark, "slices")
     ranged = rows.repartitionByRange(*(F.col(g) for g in groups), *order)
     ranged.withColumn(_SLICE, F.spark_partition_id()).write.parquet(path)
-    slices = spark.read.schema(ranged.schema.add(_SLICE, "int")).parquet(path)
+    slices = spark.read.schema(ranged.schema.add(_SLICE, T.IntegerType())).parquet(path)
 
     # Slices are contiguous, so a slice holds parts of at most two groups that reach
     # beyond it: this table has at most two rows per slice, whatever the data.

@@ -73,7 +73,9 @@ def ingest_realtime(
 
 
 def read_realtime(spark: SparkSession, table: str) -> DataFrame:
-    """A real-time table's rows with their day."""
+    """A real-time table's rows with their day. A stream writes from a session of its own,
+    so what this session remembers of the table's files is looked up anew."""
+    spark.catalog.refreshTable(table)
     return spark.table(table).drop(BATCH)
 
 

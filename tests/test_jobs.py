@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+
+from millrace import workspace
+from millrace.jobs import decision_pack, ingest, run_sql
+from millrace.plans.realtime import TOPIC, _messages
+from millrace.sources import topics
+
+
+def test_ingestion_job(spark, capfd):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folder, database = workspace.fresh_path(spark, "topic"), workspace.fresh_name("job_db")
+    topics.publish_to_folder(_messages(events), folder)
+    arguments = ["--topicFolder", folder, "--database", database, "--topic", TOPIC, "--id", workspace.fresh_name("job")]
+    for _ in range(2):
+        ingest.run(spark, ingest.options(arguments))
+        assert spark.table(f"{database}.{TOPIC}").count() == events.count()
+
+
+def test_ingestion_options():
+    chosen = ingest.options(
+        "--bootstrapServers h:9092 --database d --topic t --triggerSeconds 20 --printTableData true "
+        "--kafkaOption kafka.security.protocol=SASL_SSL --kafkaOption kafka.sasl.jaas.config=a=b;".split()
+    )
+    assert (chosen.triggerSeconds, chosen.printTableData, chosen.id) == (20.0, "true", "kafka-ingestion")
+    assert ingest.source_options(chosen.kafkaOption) == {
+        "kafka.security.protocol": "SASL_SSL",
+        "kafka.sasl.jaas.config": "a=b;",
+    }
+    with pytest.raises(ValueError):
+        ingest.source_options(["no-value"])
+    with pytest.raises(SystemExit):
+        ingest.options(["--database", "d", "--topic", "t"])
+
+
+def test_sql_job(spark, capsys):
+    run_sql.run(spark, run_sql.options(["--sql", "show databases"]))
+    assert "namespace" in capsys.readouterr().out
+
+
+def test_decision_pack_job(spark, capsys):
+    arguments = ["--data-location", "/root/testdata/sf0.001", "--query-filter", "ds_semi,ds_top100"]
+    decision_pack.run(spark, decision_pack.options(arguments))
+    lines = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+    assert [line["query"] for line in lines] == ["ds_semi", "ds_top100"]
+    assert all(line["sec"] > 0 for line in lines)
