@@ -66,15 +66,18 @@ def explode_envelope(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     return bodies.select(F.explode(records).alias("record")).select("record.key", "record.value")
 
 
-def project(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    """The declared columns only, in declared order and type; absent ones are NULL."""
+def projected(rows: DataFrame, schema: T.StructType) -> list[Column]:
+    """The declared columns in declared order and type; those that rows lack are NULL."""
     present = set(rows.columns)
-    return rows.select(
-        *(
-            (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        )
-    )
+    return [
+        (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ]
+
+
+def project(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows with the declared columns only."""
+    return rows.select(*projected(rows, schema))
 
 
 def fill_defaults(rows: DataFrame, defaults: dict[str, Any]) -> DataFrame:

@@ -65,12 +65,14 @@ def bi_top_n(spark: SparkSession, directory: str) -> DataFrame:
 @query(
     "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS \"day\", "
     + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)
+    + f", count(*) FILTER (WHERE (event_type IN {EVENT_TYPES}) IS NOT TRUE) AS other"
     + " FROM events GROUP BY 1"
 )
 def bi_pivot(spark: SparkSession, directory: str) -> DataFrame:
-    """Events by day and type, one column per type."""
-    by_day = _events(spark, directory).groupBy(F.col("ts").cast("date").cast("string").alias("day"))
-    return by_day.pivot("event_type", list(EVENT_TYPES)).agg(F.count(F.lit(1))).fillna(0)
+    """Events by day and type, one column per known type and one for all the rest."""
+    known = F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("event_type")).otherwise("other")
+    events = _events(spark, directory).select(F.col("ts").cast("date").cast("string").alias("day"), known.alias("kind"))
+    return events.groupBy("day").pivot("kind", [*EVENT_TYPES, "other"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")

@@ -367,7 +367,7 @@ def rt_flights_paths(spark: SparkSession, directory: str) -> DataFrame:
     beside the typed row it was made from, and no field may differ between the two."""
     schema = FLIGHTS.struct()
     made = _flights(spark, directory).withColumn("value", decode.encode_json("*"))
-    typed = F.struct(*(F.col(n) if n in made.columns else F.lit(None).cast(schema[n].dataType).alias(n) for n in schema.names))
+    typed = F.struct(*decode.projected(made, schema))
     both = decode.parse_json(made.select("value", typed.alias("typed")), schema)
     decoded = F.struct(*(F.col(f"row.{n}") for n in schema.names))
     flights = both.select("row.*", (~decoded.eqNullSafe(F.col("typed"))).alias("differs"))

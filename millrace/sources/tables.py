@@ -23,3 +23,9 @@ def register_views(spark: SparkSession, directory: str, names: Iterable[str] = A
     """Make the tables of a directory visible to SQL text."""
     for name in names:
         read(spark, directory, name).createOrReplaceTempView(name)
+
+
+def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A producer's input files. ``avro`` needs Spark's Avro package, which raises Spark's
+    own error where it is missing."""
+    return spark.read.format(fmt).load(path)

@@ -45,9 +45,10 @@ def records(
 
 
 def publish_to_kafka(messages: DataFrame, servers: str, topic: str, options: dict[str, str] | None = None) -> None:
-    """Append records to a Kafka topic; the broker assigns partitions and offsets."""
+    """Append messages (``value``, and ``key`` if they have one) to a Kafka topic; the broker
+    assigns partitions and offsets."""
     (
-        messages.select("key", "value")
+        messages.select(*(c for c in ("key", "value") if c in messages.columns))
         .write.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("topic", topic)

@@ -5,8 +5,10 @@ import json
 import pytest
 
 from millrace import workspace
-from millrace.jobs import decision_pack, ingest, run_sql
+from millrace.functions import decode
+from millrace.jobs import decision_pack, ingest, publish, run_sql
 from millrace.plans.realtime import TOPIC, _messages
+from millrace.schemas import FLIGHTS
 from millrace.sources import topics
 
 
@@ -47,3 +49,28 @@ def test_decision_pack_job(spark, capsys):
     lines = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
     assert [line["query"] for line in lines] == ["ds_semi", "ds_top100"]
     assert all(line["sec"] > 0 for line in lines)
+
+
+def test_published_messages(spark):
+    rows = spark.createDataFrame([(1, "N1", "x"), (2, None, "y")], "FlightNum int, TailNum string, extra string")
+    plain = publish.messages(rows, "json", key="FlightNum").collect()
+    assert [(r.key, json.loads(r.value)) for r in plain] == [
+        ("1", {"FlightNum": 1, "TailNum": "N1", "extra": "x"}),
+        ("2", {"FlightNum": 2, "extra": "y"}),
+    ]
+    declared = publish.messages(rows, "json", schema="flights")
+    assert declared.columns == ["value"]
+    good, bad = decode.decode_json(declared, FLIGHTS.struct())
+    assert bad.count() == 0
+    assert {(r.FlightNum, r.TailNum, r.DivAirports) for r in good.collect()} == {(1, "N1", None), (2, None, None)}
+    with pytest.raises(ValueError, match="declared schema"):
+        publish.messages(rows, "avro")
+
+
+def test_publishing_needs_the_packages(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "rows"))
+    arguments = ["--input", str(tmp_path / "rows"), "--bootstrapServers", "h:9092", "--topic", "t"]
+    with pytest.raises(Exception, match="(?i)kafka"):
+        publish.run(spark, publish.options(arguments))
+    with pytest.raises(Exception, match="(?i)avro"):
+        publish.run(spark, publish.options([*arguments, "--inputFormat", "avro"]))
