@@ -1,10 +1,16 @@
 """The decision-support pack: one query per operator, on the star schema.
 
-Facts are summed by their join key before they are joined, wherever the sums are enough
-for the answer. A key that holds a third of all rows then reaches the shuffle as a few
-rows per task, and both sides of the join are even. Where rows must be joined as they
-are, both sides of the join are plain scans, which adaptive execution splits by itself.
-No join here is told to broadcast: Spark does so for a side whose size it knows is small.
+Two shapes keep a key that holds a third of all rows from ending up in one task:
+
+* Facts whose sums by the join key are enough are summed by it before the join. The sum
+  and the join share one shuffle, and the hot key reaches it as one row per task.
+* Facts that are needed row by row, or by more than the join key, are joined as they are,
+  with a scan or a join on either side and other keys above. Adaptive execution can split
+  such a join at the hot key; summing first would only add a shuffle.
+
+What must not happen is raw rows meeting a side that is aggregated by the join key: that
+join cannot be split. No join here is told to broadcast; Spark does so for a side whose
+size it knows is small.
 """
 
 from __future__ import annotations
@@ -51,12 +57,11 @@ GROUP BY 1, 2
 def ds_star_join(spark: SparkSession, directory: str) -> DataFrame:
     """November revenue of promotional parts by year and brand."""
     november = _read(spark, directory, "lineitem").filter(F.month("l_shipdate") == 11)
-    sold = november.groupBy("l_partkey", _year("l_shipdate")).agg(F.sum(revenue()).alias("revenue"))
     promotional = _read(spark, directory, "part").filter("p_type = 'PROMO'")
     return (
-        sold.join(promotional, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("year", F.col("p_brand").alias("brand"))
-        .agg(amount(F.sum("revenue"), 4).alias("revenue"))
+        november.join(promotional, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(_year("l_shipdate"), F.col("p_brand").alias("brand"))
+        .agg(amount(F.sum(revenue()), 4).alias("revenue"))
     )
 
 
@@ -225,13 +230,13 @@ GROUP BY o_orderpriority
 )
 def ds_theta_residual(spark: SparkSession, directory: str) -> DataFrame:
     """Lines shipped more than sixty days after their order, by priority."""
-    shipped = _read(spark, directory, "lineitem").groupBy("l_orderkey", "l_shipdate").agg(F.count("*").alias("n"))
+    lines = _read(spark, directory, "lineitem").select("l_orderkey", "l_shipdate")
     orders = _read(spark, directory, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     late = F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")
     return (
-        shipped.join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & late)
+        lines.join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & late)
         .groupBy(F.col("o_orderpriority").alias("priority"))
-        .agg(F.sum("n").alias("n_late"))
+        .agg(F.count("*").alias("n_late"))
     )
 
 
@@ -314,16 +319,12 @@ def ds_having(spark: SparkSession, directory: str) -> DataFrame:
 
 def _nation_status_totals(spark: SparkSession, directory: str) -> DataFrame:
     """Order totals by region, nation and status: few rows, ready for rollups."""
-    spent = (
-        _read(spark, directory, "orders")
-        .groupBy("o_custkey", "o_orderstatus")
-        .agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("cents"))
-    )
+    orders = _read(spark, directory, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
     customers = _read(spark, directory, "customer").select("c_custkey", "c_nationkey")
     by_nation = (
-        spent.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", "o_orderstatus")
-        .agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+        .agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("cents"))
     )
     nations = _read(spark, directory, "nation")
     regions = _read(spark, directory, "region")
@@ -595,13 +596,10 @@ def ds_lag_lead(spark: SparkSession, directory: str) -> DataFrame:
     """Monthly revenue per brand beside the month before and the month after."""
     lines = _read(spark, directory, "lineitem")
     parts = _read(spark, directory, "part").select("p_partkey", "p_brand")
-    sold = lines.groupBy("l_partkey", _year("l_shipdate"), F.month("l_shipdate").alias("month")).agg(
-        F.sum(revenue()).alias("units")
-    )
     months = (
-        sold.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("p_brand").alias("brand"), "year", "month")
-        .agg(amount(F.sum("units"), 4).alias("total"))
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("p_brand").alias("brand"), _year("l_shipdate"), F.month("l_shipdate").alias("month"))
+        .agg(amount(F.sum(revenue()), 4).alias("total"))
     )
     # One row per brand and month.
     in_order = Window.partitionBy("brand").orderBy("year", "month")
@@ -658,21 +656,20 @@ GROUP BY l_returnflag
 def ds_correlated(spark: SparkSession, directory: str) -> DataFrame:
     """Lines of more than 1.2 times their part's mean quantity, by return flag.
 
-    Lines of one part, flag and quantity are counted first: quantities are few, so a hot
-    part is a handful of rows on both sides. The mean is joined on, not written as a
-    subquery, whose filter Spark would move below the counting, onto the raw lines.
+    Lines of one part, flag and quantity are counted first. Quantities are few, so even a
+    hot part is a handful of counts, and its mean can be set beside them by a window. The
+    subquery itself would join every raw line of the part to its mean in one task.
     """
-    # A line without part or quantity can neither be above a mean nor move one. Said here,
-    # it holds for both sides of the join, which then share one scan and shuffle.
-    lines = _read(spark, directory, "lineitem").filter("l_partkey IS NOT NULL AND l_quantity IS NOT NULL")
+    lines = _read(spark, directory, "lineitem").filter("l_quantity IS NOT NULL AND l_partkey IS NOT NULL")
     counted = lines.groupBy("l_partkey", "l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
-    mean = F.sum(F.col("n") * F.col("l_quantity")) / F.sum("n")
-    means = counted.groupBy(F.col("l_partkey").alias("partkey")).agg(mean.alias("mean"))
-    above = (F.col("l_partkey") == F.col("partkey")) & (F.col("l_quantity") > 1.2 * F.col("mean"))
+    part = Window.partitionBy("l_partkey")
+    quantity = F.col("n") * F.col("l_quantity")
+    mean = F.sum(quantity).over(part) / F.sum("n").over(part)
     return (
-        counted.join(means, above)
+        counted.withColumn("mean", mean)
+        .filter("l_quantity > 1.2D * mean")
         .groupBy(F.col("l_returnflag").alias("returnflag"))
-        .agg(F.sum("n").alias("n_lines"), F.sum(F.col("n") * F.col("l_quantity")).alias("quantity"))
+        .agg(F.sum("n").alias("n_lines"), F.sum(quantity).alias("quantity"))
     )
 
 
@@ -839,30 +836,20 @@ GROUP BY 1, 2
 )
 def ds_date_funcs(spark: SparkSession, directory: str) -> DataFrame:
     """Lines by days from order to shipment, for the two years after a date."""
-    shipped = (
-        _read(spark, directory, "lineitem")
-        .groupBy("l_orderkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("shipped"))
-        .agg(F.count("*").alias("n"))
-    )
+    lines = _read(spark, directory, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate")
     first = clock.midnight("1996-01-01")
-    orders = _read(spark, directory, "orders").filter(
-        F.col("o_orderdate").between(first, first + F.expr("INTERVAL 730 DAYS"))
-    )
-    orders = orders.select("o_orderkey", "o_orderdate")
-    delay = F.date_diff("shipped", F.col("o_orderdate").cast("date"))
-
-    def lines(held: Column) -> Column:
-        return F.sum(F.when(held, F.col("n")).otherwise(F.lit(0)))
-
+    two_years = F.col("o_orderdate").between(first, first + F.expr("INTERVAL 730 DAYS"))
+    orders = _read(spark, directory, "orders").filter(two_years).select("o_orderkey", "o_orderdate")
+    delay = F.col("delay")
     return (
-        shipped.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("delay", delay)
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("delay", F.date_diff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")))
         .groupBy(F.col("l_returnflag").alias("returnflag"), _year("o_orderdate"))
         .agg(
-            lines(F.col("delay") <= 30).alias("within_30"),
-            lines((F.col("delay") > 30) & (F.col("delay") <= 60)).alias("within_60"),
-            lines((F.col("delay") > 60) & (F.col("delay") <= 90)).alias("within_90"),
-            lines(F.col("delay") > 90).alias("beyond"),
+            F.count_if(delay <= 30).alias("within_30"),
+            F.count_if((delay > 30) & (delay <= 60)).alias("within_60"),
+            F.count_if((delay > 60) & (delay <= 90)).alias("within_90"),
+            F.count_if(delay > 90).alias("beyond"),
         )
     )
 
