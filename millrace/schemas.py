@@ -100,6 +100,43 @@ def table_schema(declared: str, config: str | None = None) -> TableSchema:
     )
 
 
+@dataclass(frozen=True)
+class StreamConfig:
+    """Where a real-time table's messages come from, and when a segment is closed."""
+
+    topic: str
+    servers: str
+    message_format: str  # json or avro
+    starting: str  # earliest or latest
+    segment_seconds: float | None
+
+
+_UNIT_SECONDS = {"ms": 0.001, "s": 1, "m": 60, "h": 3_600, "d": 86_400}
+
+
+def stream_config(config: str) -> StreamConfig:
+    """The stream part of a real-time table's JSON configuration."""
+    stream = json.loads(config)["tableIndexConfig"]["streamConfigs"]
+    decoder = stream["stream.kafka.decoder.class.name"].rsplit(".", 1)[-1]
+    reset = stream.get("stream.kafka.consumer.prop.auto.offset.reset", "smallest")
+    closed_after = stream.get("realtime.segment.flush.threshold.time")
+    return StreamConfig(
+        topic=stream["stream.kafka.topic.name"],
+        servers=stream["stream.kafka.broker.list"],
+        message_format="avro" if "avro" in decoder.lower() else "json",
+        starting="earliest" if reset in ("smallest", "earliest") else "latest",
+        segment_seconds=_seconds(closed_after) if closed_after else None,
+    )
+
+
+def _seconds(period: str) -> float:
+    """Seconds of a period: plain milliseconds, or a number with a unit such as 12h."""
+    if period.isdigit():
+        return int(period) / 1000
+    number = period.rstrip("smhd")
+    return float(number) * _UNIT_SECONDS[period[len(number) :]]
+
+
 def _field(spec: dict[str, Any], role: str) -> Field:
     return Field(
         name=spec["name"],

@@ -22,22 +22,19 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
 
 
 def keep_hourly_metrics(
-    events: DataFrame,
-    folder: str,
-    checkpoint: str,
-    lateness: str = "2 days",
-    trigger_seconds: float | None = None,
+    events: DataFrame, folder: str, lateness: str = "2 days", trigger_seconds: float | None = None
 ) -> StreamingQuery:
     """Keep hourly metrics up to date. Each batch writes the hours it changed; an hour
-    leaves the state once no event may come that late any more."""
+    leaves the state once no event may come that late any more. The checkpoint is kept
+    with the metrics, since either is worthless without the other."""
     metrics = hourly_metrics(events.withWatermark("at", lateness))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A replayed batch overwrites what it wrote before.
         batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    writer = metrics.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return triggered(writer, trigger_seconds).start()
+    writer = metrics.writeStream.outputMode("update").foreachBatch(write)
+    return triggered(writer.option("checkpointLocation", f"{folder}/_checkpoint"), trigger_seconds).start()
 
 
 def read_hourly_metrics(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Real-time tables: decoded rows in day partitions, ready for retention.
 
-Every micro-batch owns a sub-partition of each day. A batch that is replayed after a
-failure overwrites its own sub-partitions, so its rows are there once, and whole days
-can be dropped without a word to the stream. One checkpoint serves one table.
+Every micro-batch owns a sub-partition of each day, named after the query and the batch.
+A batch that is replayed after a failure overwrites its own sub-partitions, so its rows
+are there once, and whole days can be dropped without a word to the stream.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from concurrent.futures import Future
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ def create_realtime_table(
 ) -> None:
     """A table in day partitions, no file of which holds more than ``segment_rows`` rows.
     Files carry bloom filters for the columns of ``cluster_by``."""
-    fields = [*schema.fields, T.StructField(DAY, T.DateType()), T.StructField(BATCH, T.LongType())]
+    fields = [*schema.fields, T.StructField(DAY, T.DateType()), T.StructField(BATCH, T.StringType())]
     columns = ", ".join(f"{catalog.quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
     options = {"partitionOverwriteMode": "dynamic"}
     if segment_rows:
@@ -52,24 +53,33 @@ def ingest_realtime(
     trigger_seconds: float | None = None,
     cluster_by: Sequence[str] = (),
     defaults: dict[str, Any] | None = None,
+    avro_schema: str | None = None,
 ) -> StreamingQuery:
-    """Decode a topic into a real-time table; undecodable values are left out
-    (``ingest_with_quarantine`` keeps them). ``day`` is a row's date by its time column.
+    """Decode a topic into a real-time table. ``day`` is a row's date by its time column.
+    Messages are JSON, or Avro if their schema is given; JSON values that do not decode
+    are left out (``ingest_with_quarantine`` keeps them).
 
     A file is closed with its batch, so the trigger interval is the longest time that a
     segment stays open.
     """
+    # The query's id is kept in its checkpoint and known once the query has started.
+    query_id: Future[str] = Future()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows, _ = decode.decode_json(batch, schema)
+        if avro_schema:
+            rows = decode.decode_avro(batch, avro_schema, schema)
+        else:
+            rows, _ = decode.decode_json(batch, schema)
         rows = decode.fill_defaults(rows, defaults or {})
-        rows = rows.withColumn(DAY, day).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        rows = rows.withColumn(DAY, day).withColumn(BATCH, F.lit(f"{query_id.result()}-{batch_id}"))
         # Small days share a task and a hot day is split over several.
         rows = rows.hint("rebalance", F.col(DAY)).sortWithinPartitions(DAY, *cluster_by)
         rows.write.insertInto(table, overwrite=True)
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return triggered(writer, trigger_seconds).start()
+    query = triggered(writer, trigger_seconds).start()
+    query_id.set_result(query.id)
+    return query
 
 
 def read_realtime(spark: SparkSession, table: str) -> DataFrame:
@@ -94,7 +104,12 @@ def create_declared(spark: SparkSession, table: str, declared: TableSchema) -> N
 
 
 def ingest_declared(
-    messages: DataFrame, table: str, declared: TableSchema, checkpoint: str, trigger_seconds: float | None = None
+    messages: DataFrame,
+    table: str,
+    declared: TableSchema,
+    checkpoint: str,
+    trigger_seconds: float | None = None,
+    message_format: str = "json",
 ) -> StreamingQuery:
     """Decode a topic by a declared schema: fields, defaults, day and clustering."""
     return ingest_realtime(
@@ -106,6 +121,7 @@ def ingest_declared(
         trigger_seconds,
         declared.cluster_by,
         declared.defaults(),
+        declared.avro() if message_format == "avro" else None,
     )
 
 

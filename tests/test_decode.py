@@ -140,6 +140,29 @@ def test_schema_from_declarations():
         schemas.table_schema(millis, json.dumps({"segmentsConfig": {"retentionTimeUnit": "HOURS", "retentionTimeValue": "1"}}))
 
 
+def test_stream_configuration():
+    def config(**changed):
+        stream = {
+            "stream.kafka.topic.name": "t",
+            "stream.kafka.broker.list": "h:9092",
+            "stream.kafka.decoder.class.name": "some.package.KafkaJSONMessageDecoder",
+            "realtime.segment.flush.threshold.time": "3600000",
+            "stream.kafka.consumer.prop.auto.offset.reset": "smallest",
+        }
+        return json.dumps({"tableIndexConfig": {"streamConfigs": {**stream, **changed}}})
+
+    assert schemas.stream_config(config()) == schemas.StreamConfig("t", "h:9092", "json", "earliest", 3600.0)
+    other = config(
+        **{
+            "stream.kafka.decoder.class.name": "some.package.SimpleAvroMessageDecoder",
+            "realtime.segment.flush.threshold.time": "12h",
+            "stream.kafka.consumer.prop.auto.offset.reset": "largest",
+        }
+    )
+    assert schemas.stream_config(other) == schemas.StreamConfig("t", "h:9092", "avro", "latest", 43200.0)
+    assert [schemas._seconds(p) for p in ("1500ms", "90s", "5m", "2d")] == [1.5, 90, 300, 172800]
+
+
 def test_avro_needs_its_package(spark):
     messages = spark.createDataFrame([(b"x",)], "value binary")
     with pytest.raises(AnalysisException, match="(?i)avro"):

@@ -3,13 +3,16 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import workspace
 from millrace.functions import decode
 from millrace.jobs import decision_pack, ingest, publish, run_sql
+from millrace.jobs import realtime as realtime_job
 from millrace.plans.realtime import TOPIC, _messages
 from millrace.schemas import FLIGHTS
 from millrace.sources import topics
+from millrace.streaming import realtime
 
 
 def test_ingestion_job(spark, capfd):
@@ -74,3 +77,52 @@ def test_publishing_needs_the_packages(spark, tmp_path):
         publish.run(spark, publish.options(arguments))
     with pytest.raises(Exception, match="(?i)avro"):
         publish.run(spark, publish.options([*arguments, "--inputFormat", "avro"]))
+
+
+def test_realtime_job(spark, tmp_path):
+    (tmp_path / "schema.json").write_text(
+        json.dumps(
+            {
+                "schemaName": "trips",
+                "dimensionFieldSpecs": [
+                    {"name": "who", "dataType": "STRING", "defaultNullValue": "nobody"},
+                    {"name": "tags", "dataType": "STRING", "singleValueField": False},
+                ],
+                "metricFieldSpecs": [{"name": "n", "dataType": "LONG"}],
+                "dateTimeFieldSpecs": [{"name": "days", "dataType": "INT", "format": "1:DAYS:EPOCH"}],
+            }
+        )
+    )
+    (tmp_path / "config.json").write_text(
+        json.dumps(
+            {
+                "segmentsConfig": {"retentionTimeUnit": "DAYS", "retentionTimeValue": "10"},
+                "tableIndexConfig": {
+                    "invertedIndexColumns": ["who"],
+                    "streamConfigs": {
+                        "stream.kafka.topic.name": "trips-topic",
+                        "stream.kafka.broker.list": "h:9092",
+                        "stream.kafka.decoder.class.name": "JSONMessageDecoder",
+                        "realtime.segment.flush.threshold.size": "5",
+                    },
+                },
+            }
+        )
+    )
+    rows = spark.range(60).selectExpr(
+        "IF(id % 2 = 0, 'u', NULL) AS who", "array('a', 'b') AS tags", "id AS n", "CAST(19000 + id % 20 AS INT) AS days"
+    )
+    id_column = F.col("n")
+    value = decode.encode_json("*")
+    folder, database = workspace.fresh_path(spark, "topic"), workspace.fresh_name("job_db")
+    topics.publish_to_folder(topics.records(rows, "trips-topic", id_column, value, id_column, F.timestamp_seconds("n")), folder)
+    arguments = ["--schemaFile", str(tmp_path / "schema.json"), "--tableConfigFile", str(tmp_path / "config.json")]
+    arguments += ["--database", database, "--topicFolder", folder]
+    realtime_job.run(spark, realtime_job.options(arguments))
+    held = realtime.read_realtime(spark, f"{database}.trips")
+    assert held.count() == 60
+    assert {r.who for r in held.select("who").distinct().collect()} == {"u", "nobody"}
+    realtime_job.run(spark, realtime_job.options([*arguments, "--expireOnly"]))
+    kept = realtime.read_realtime(spark, f"{database}.trips")
+    assert sorted(r.days for r in kept.select("days").distinct().collect()) == list(range(19010, 19020))
+    assert kept.count() == 30

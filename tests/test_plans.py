@@ -152,7 +152,7 @@ def test_day_filter_prunes_partitions(spark, capsys):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("kind", T.StringType())])
     database = catalog.create_scratch_database(spark, "pruned")
     realtime.create_realtime_table(spark, f"{database}.t", schema)
-    rows = spark.range(50).selectExpr("id", "CAST(id % 3 AS STRING)", "date'2024-01-01' + CAST(id % 5 AS INT)", "0L")
+    rows = spark.range(50).selectExpr("id", "CAST(id % 3 AS STRING)", "date'2024-01-01' + CAST(id % 5 AS INT)", "'q-0'")
     rows.write.insertInto(f"{database}.t", overwrite=True)
     held = realtime.read_realtime(spark, f"{database}.t")
     chosen = held.filter("day >= date'2024-01-04' AND kind = '1'").select("id")

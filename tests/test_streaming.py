@@ -152,11 +152,33 @@ def test_replayed_batch_is_there_once(spark, events, database, place):
     assert realtime.read_realtime(spark, table).columns == [*EVENT.names, "day"]
 
 
+def test_new_checkpoint_leaves_old_rows_alone(spark, events, database, place):
+    table = f"{database}.{TOPIC}"
+    realtime.create_realtime_table(spark, table, EVENT)
+    for condition in ("event_id < 400", "event_id >= 400"):
+        folder = place("topic")
+        publish(events, folder, condition)
+        day = F.col("ts").cast("date")
+        ingest.run_to_end(realtime.ingest_realtime(stream(spark, folder), table, EVENT, day, place("checkpoint")))
+    held = realtime.read_realtime(spark, table).select(*EVENT.names)
+    assert held.count() == events.count()
+    assert held.exceptAll(events).count() == 0
+
+
+def test_metrics_of_an_empty_topic(spark, events, place):
+    folder, metrics = place("topic"), place("metrics")
+    publish(events, folder, "false")
+    rows, _ = decode.decode_json(stream(spark, folder), EVENT)
+    timed = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
+    ingest.run_to_end(hourly.keep_hourly_metrics(timed, metrics))
+    assert hourly.presentable(hourly.read_hourly_metrics(spark, metrics)).collect() == []
+
+
 def test_retention_drops_whole_days(spark, database):
     table = f"{database}.kept"
     schema = T.StructType([T.StructField("id", T.LongType())])
     realtime.create_realtime_table(spark, table, schema)
-    rows = spark.range(100).selectExpr("id", "date'2024-01-01' + CAST(id % 10 AS INT) AS day", "id % 2 AS batch")
+    rows = spark.range(100).selectExpr("id", "date'2024-01-01' + CAST(id % 10 AS INT) AS day", "CAST(id % 2 AS STRING) AS batch")
     rows.write.insertInto(table, overwrite=True)
     assert spark.table(table).count() == 100
     expected = retention.retain_days(rows, "day", 3, dt.date(2024, 1, 10)).count()
@@ -193,7 +215,7 @@ def test_declared_tables(spark, database, place):
 def test_declared_table_limits_its_files(spark, database):
     table = f"{database}.segments"
     realtime.create_realtime_table(spark, table, T.StructType([T.StructField("repo", T.StringType())]), 10, ["repo"])
-    rows = spark.range(95).selectExpr("CAST(id AS STRING)", "date'2024-01-01' AS day", "0L AS batch").coalesce(1)
+    rows = spark.range(95).selectExpr("CAST(id AS STRING)", "date'2024-01-01' AS day", "'q-0' AS batch").coalesce(1)
     rows.write.insertInto(table, overwrite=True)
     sizes = spark.table(table).groupBy(F.input_file_name()).count().collect()
     assert max(r["count"] for r in sizes) <= 10 and sum(r["count"] for r in sizes) == 95
@@ -206,12 +228,12 @@ def test_merged_changes_need_a_known_time_unit():
 
 
 def test_hourly_metrics_over_many_batches_equal_the_batch_form(spark, events, place):
-    folder, metrics, checkpoint = place("topic"), place("metrics"), place("checkpoint")
+    folder, metrics = place("topic"), place("metrics")
 
     def run():
         rows, _ = decode.decode_json(stream(spark, folder, maxFilesPerTrigger="1"), EVENT)
         timed = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
-        ingest.run_to_end(hourly.keep_hourly_metrics(timed, metrics, checkpoint, lateness="60 days"))
+        ingest.run_to_end(hourly.keep_hourly_metrics(timed, metrics, lateness="60 days"))
 
     for part in range(3):
         publish(events, folder, f"event_id % 3 = {part}")
