@@ -528,8 +528,9 @@ def ds_rank_rollup(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     f"""
-SELECT part_type, brand, total, round(100 * total / sum(total) OVER (PARTITION BY part_type), 6) AS share
-FROM (SELECT p_type AS part_type, p_brand AS brand, {_sum_sql(_REVENUE)} AS total
+SELECT part_type, brand, CAST(units AS DOUBLE) AS total,
+       round(100 * CAST(units AS DOUBLE) / CAST(sum(units) OVER (PARTITION BY part_type) AS DOUBLE), 6) AS share
+FROM (SELECT p_type AS part_type, p_brand AS brand, sum({_REVENUE}) AS units
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
 """
 )
@@ -538,30 +539,34 @@ def ds_share(spark: SparkSession, directory: str) -> DataFrame:
     brands = (
         _part_revenue(spark, directory)
         .groupBy(F.col("p_type").alias("part_type"), F.col("p_brand").alias("brand"))
-        .agg(amount(F.sum("units"), 4).alias("total"))
+        .agg(F.sum("units").alias("units"))
     )
-    of_type = F.sum("total").over(Window.partitionBy("part_type"))
-    return brands.withColumn("share", F.round(100 * F.col("total") / of_type, 6))
+    total, of_type = amount("units", 4), amount(F.sum("units").over(Window.partitionBy("part_type")), 4)
+    return brands.select("part_type", "brand", total.alias("total"), F.round(100 * total / of_type, 6).alias("share"))
 
 
 @query(
     f"""
 SELECT * FROM (
-  SELECT "year", "month", total, round(avg(total) OVER (PARTITION BY "year"), 2) AS year_mean
+  SELECT "year", "month", CAST(total AS DOUBLE) AS total,
+         round(CAST(sum(total) OVER (PARTITION BY "year") AS DOUBLE) / count(*) OVER (PARTITION BY "year"), 4) AS year_mean
   FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS "year", CAST(month(o_orderdate) AS INTEGER) AS "month",
-               {_sum_sql(_PRICE)} AS total FROM orders GROUP BY 1, 2))
+               sum({_PRICE}) AS total FROM orders GROUP BY 1, 2))
 WHERE abs(total - year_mean) > 0.05 * year_mean
 """
 )
 def ds_deviation(spark: SparkSession, directory: str) -> DataFrame:
-    """Months whose order value is more than five percent off their year's mean."""
+    """Months whose order value is more than five percent off their year's mean. The mean is
+    made of exact sums: a mean of doubles would depend on the order of the months."""
     months = (
         _read(spark, directory, "orders")
         .groupBy(_year("o_orderdate"), F.month("o_orderdate").alias("month"))
-        .agg(amount(F.sum(cents("o_totalprice"))).alias("total"))
+        .agg(F.sum(cents("o_totalprice")).alias("cents"))
     )
-    mean = F.round(F.avg("total").over(Window.partitionBy("year")), 2)
-    return months.withColumn("year_mean", mean).filter(F.abs(F.col("total") - F.col("year_mean")) > 0.05 * F.col("year_mean"))
+    year = Window.partitionBy("year")
+    mean = F.round(amount(F.sum("cents").over(year)) / F.count("*").over(year), 4)
+    compared = months.select("year", "month", amount("cents").alias("total"), mean.alias("year_mean"))
+    return compared.filter("abs(total - year_mean) > 0.05D * year_mean")
 
 
 @query(
@@ -677,7 +682,7 @@ def _bucket_sql(table: str, low: int, high: int) -> str:
     held = f"FROM {table} WHERE l_quantity BETWEEN {low} AND {high}"
     return f"""CASE WHEN (SELECT count(*) {held}) > (SELECT count(*) / 4 FROM {table})
         THEN (SELECT round(avg(l_quantity), 6) {held})
-        ELSE (SELECT round(avg(l_discount), 6) {held}) END"""
+        ELSE (SELECT round(CAST(sum(CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) / count(*), 6) {held}) END"""
 
 
 @query(
@@ -693,10 +698,10 @@ def ds_scalar_case(spark: SparkSession, directory: str) -> DataFrame:
     )
     # The subqueries all read one row, so the lines are scanned once.
     figures = ", ".join(
-        f"""count(*) FILTER (WHERE l_quantity BETWEEN {low} AND {high}) AS n_{b},
-            round(avg(l_quantity) FILTER (WHERE l_quantity BETWEEN {low} AND {high}), 6) AS q_{b},
-            round(avg(l_discount) FILTER (WHERE l_quantity BETWEEN {low} AND {high}), 6) AS d_{b}"""
-        for b, (low, high) in _QUANTITY_BUCKETS.items()
+        f"""count(*) FILTER ({held}) AS n_{b},
+            round(avg(l_quantity) FILTER ({held}), 6) AS q_{b},
+            round(CAST(sum(CAST(l_discount AS DECIMAL(4,2))) FILTER ({held}) AS DOUBLE) / count(*) FILTER ({held}), 6) AS d_{b}"""
+        for b, held in ((b, f"WHERE l_quantity BETWEEN {low} AND {high}") for b, (low, high) in _QUANTITY_BUCKETS.items())
     )
     return run_sql(
         spark,

@@ -68,6 +68,18 @@ def test_query_on_skewed_tables_without_broadcast(spark, conf, skewed, skewed_di
     assert_same(QUERIES[name](spark, skewed_directory), skewed.sql(ORACLE[name]))
 
 
+@pytest.mark.parametrize("partitions", ["1", "53"])
+@pytest.mark.parametrize(
+    "name",
+    ["bi_percentiles", "bi_time_grain", "ds_cross_scalars", "ds_deviation", "ds_multi_avg", "ds_scalar_case", "ds_share", "ds_stddev"],
+)
+def test_figures_do_not_depend_on_partitioning(spark, conf, given, name, partitions):
+    conf("spark.sql.shuffle.partitions", partitions)
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf("spark.sql.files.maxPartitionBytes", "20KB")
+    assert_same(QUERIES[name](spark, SMALL), given.sql(ORACLE[name]))
+
+
 def test_approximate_distinct_is_close(spark):
     exact = {r.event_type: r.n_users for r in QUERIES["bi_distinct"](spark, SMALL).collect()}
     near = {r.event_type: r.n_users for r in QUERIES["bi_distinct_approx"](spark, SMALL).collect()}
