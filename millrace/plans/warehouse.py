@@ -43,14 +43,15 @@ FROM (SELECT word, count(*) AS n FROM listed GROUP BY word) l
 )
 def literal_word_count(spark: SparkSession, directory: str) -> DataFrame:
     """How often each word of a literal list is in the list, and in all documents."""
-    listed = spark.createDataFrame([(w,) for w in EXAMPLE_WORDS + COMMON_WORDS], "word string")
-    listed = reduce.count_words(listed).withColumnRenamed("count", "listed")
-    # Words outside the list are left out before counting. The list is a literal, so it
-    # is as small as the source text that holds it.
-    wanted = _corpus_words(spark, directory).join(F.broadcast(listed.select("word")), "word", "left_semi")
-    counted = reduce.count_words(wanted).withColumnRenamed("count", "in_documents")
-    return listed.join(counted, "word", "left").select(
-        "word", "listed", F.coalesce("in_documents", F.lit(0)).cast("bigint").alias("in_documents")
+    words = EXAMPLE_WORDS + COMMON_WORDS
+    listed = reduce.count_words(spark.createDataFrame([(w,) for w in words], "word string"))
+    # The list is a literal, so it goes into the plan as one, and other words are not counted.
+    found = reduce.count_words(_corpus_words(spark, directory).filter(F.col("word").isin(*words)))
+    in_documents = F.coalesce("in_documents", F.lit(0)).cast("bigint").alias("in_documents")
+    return (
+        listed.withColumnRenamed("count", "listed")
+        .join(found.withColumnRenamed("count", "in_documents"), "word", "left")
+        .select("word", "listed", in_documents)
     )
 
 
