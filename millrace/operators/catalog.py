@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace import workspace
 from millrace.sources import tables
 
+_PER_STATEMENT = 500
+
 
 def quoted(name: str) -> str:
     """A one- to three-part name with each part quoted."""
@@ -86,6 +88,16 @@ def reset_database(spark: SparkSession, database: str) -> None:
     spark.sql(f"DROP DATABASE IF EXISTS {quoted(database)} CASCADE")
 
 
+def drop_partitions(spark: SparkSession, table: str, specs: list[dict[str, str]]) -> None:
+    """Drop whole partitions with their files, a few hundred to a statement."""
+    for start in range(0, len(specs), _PER_STATEMENT):
+        clauses = ", ".join(
+            "PARTITION (" + ", ".join(f"{quoted(column)} = {_literal(value)}" for column, value in spec.items()) + ")"
+            for spec in specs[start : start + _PER_STATEMENT]
+        )
+        spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {clauses}")
+
+
 def register_dataset(spark: SparkSession, directory: str, database: str, names: Iterable[str] = tables.ALL_TABLES) -> None:
     """Make the tables of a benchmark directory part of a database, in place."""
     for name in names:

@@ -7,10 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.catalog import quoted
-
-# Partitions named in one ALTER TABLE statement.
-_PER_STATEMENT = 500
+from millrace.operators.catalog import drop_partitions, quoted
 
 
 def retain_days(rows: DataFrame, day_col: str, days: int, as_of: dt.date) -> DataFrame:
@@ -32,10 +29,5 @@ def drop_expired(spark: SparkSession, table: str, day_col: str, days: int, as_of
         return 0
     cutoff = (as_of or max(held)) - dt.timedelta(days=days)
     expired = [spec for spec, day in zip(specs, held) if day <= cutoff]
-    for start in range(0, len(expired), _PER_STATEMENT):
-        clauses = ", ".join(
-            "PARTITION (" + ", ".join(f"{quoted(k)} = '{v}'" for k, v in spec.items()) + ")"
-            for spec in expired[start : start + _PER_STATEMENT]
-        )
-        spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {clauses}")
+    drop_partitions(spark, table, expired)
     return len(expired)

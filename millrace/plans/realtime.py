@@ -437,8 +437,8 @@ def stream_hourly_metrics(spark: SparkSession, directory: str) -> DataFrame:
     folder = _published(spark, _messages(_events(spark, directory)))
     rows, _ = decode.decode_json(_stream(spark, folder), EVENT)
     events = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
-    metrics = workspace.fresh_path(spark, "metrics")
-    ingest.run_to_end(hourly.keep_hourly_metrics(events, metrics))
+    metrics = f"{catalog.create_scratch_database(spark, 'metrics')}.hourly"
+    ingest.run_to_end(hourly.keep_hourly_metrics(events, metrics, workspace.fresh_path(spark, "checkpoint")))
     return hourly.presentable(hourly.read_hourly_metrics(spark, metrics))
 
 

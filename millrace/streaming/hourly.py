@@ -1,4 +1,9 @@
-"""Metrics per hour and type, the same whether computed in batch or kept by a stream."""
+"""Metrics per hour and type, the same whether computed in batch or kept by a stream.
+
+The stream keeps a table of versions: each batch adds the new figures of the hours it
+changed, and an hour's newest version counts. A version is true wherever it stands, so
+a batch may be replayed, and old versions merged, while others read the table.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions import clock
 from millrace.functions.money import cents
+from millrace.operators import catalog
 from millrace.streaming.ingest import triggered
 
+_COLUMNS = "hour_start timestamp, event_type string, n bigint, cents decimal(28,0), version bigint, written_by string"
+_BATCH, _MERGED = "batch-", "merged-"
+
 
 def hourly_metrics(events: DataFrame) -> DataFrame:
     """Count and exact sum per hour and type; ``at`` is the event time (TIMESTAMP)."""
@@ -22,29 +31,59 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
 
 
 def keep_hourly_metrics(
-    events: DataFrame, folder: str, lateness: str = "2 days", trigger_seconds: float | None = None
+    events: DataFrame, table: str, checkpoint: str, lateness: str = "2 days", trigger_seconds: float | None = None
 ) -> StreamingQuery:
-    """Keep hourly metrics up to date. Each batch writes the hours it changed; an hour
-    leaves the state once no event may come that late any more. The checkpoint is kept
-    with the metrics, since either is worthless without the other."""
+    """Keep a table of hourly metrics up to date. An hour leaves the stream's state once no
+    event may come that late any more. Table and checkpoint belong together."""
+    catalog.create_table(
+        events.sparkSession,
+        table,
+        _COLUMNS,
+        partitioned_by=["written_by"],
+        options={"partitionOverwriteMode": "dynamic"},
+    )
     metrics = hourly_metrics(events.withWatermark("at", lateness))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A replayed batch overwrites what it wrote before.
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        version = F.lit(batch_id).cast("bigint")
+        batch.withColumns({"version": version, "written_by": F.lit(f"{_BATCH}{batch_id}")}).write.insertInto(
+            table, overwrite=True
+        )
 
     writer = metrics.writeStream.outputMode("update").foreachBatch(write)
-    return triggered(writer.option("checkpointLocation", f"{folder}/_checkpoint"), trigger_seconds).start()
+    return triggered(writer.option("checkpointLocation", checkpoint), trigger_seconds).start()
 
 
-def read_hourly_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of every hour."""
-    schema = "hour_start timestamp, event_type string, n bigint, cents decimal(28,0), batch bigint"
-    versions = spark.read.schema(schema).parquet(folder)
-    newest = F.max_by(F.struct("n", "cents"), "batch").alias("newest")
+def _newest(versions: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct("n", "cents", "version"), "version").alias("newest")
     return versions.groupBy("hour_start", "event_type").agg(newest).select("hour_start", "event_type", "newest.*")
 
 
+def read_hourly_metrics(spark: SparkSession, table: str) -> DataFrame:
+    """The newest version of every hour."""
+    spark.catalog.refreshTable(table)
+    return _newest(spark.table(table)).drop("version")
+
+
+def merge_versions(spark: SparkSession, table: str) -> int:
+    """Replace the versions written so far by the newest of each hour; says how many
+    partitions went. Readers see the same figures before, during and after."""
+    # Partition names only, one per batch since the last merge.
+    listed = spark.sql(f"SHOW PARTITIONS {catalog.quoted(table)}").toLocalIterator()
+    held = [row.partition.removeprefix("written_by=") for row in listed]
+    batches = [int(name.removeprefix(_BATCH)) for name in held if name.startswith(_BATCH)]
+    if not batches:
+        return 0
+    spark.catalog.refreshTable(table)
+    merged = _newest(spark.table(table).filter(F.col("written_by").isin(*held)))
+    target = f"{_MERGED}{max(batches)}"
+    merged.withColumn("written_by", F.lit(target)).write.insertInto(table, overwrite=True)
+    replaced = [{"written_by": name} for name in held if name != target]
+    catalog.drop_partitions(spark, table, replaced)
+    return len(replaced)
+
+
 def presentable(metrics: DataFrame) -> DataFrame:
     """Hours as zone-free timestamps and sums as plain numbers."""
     return metrics.select(

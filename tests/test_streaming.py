@@ -165,12 +165,12 @@ def test_new_checkpoint_leaves_old_rows_alone(spark, events, database, place):
     assert held.exceptAll(events).count() == 0
 
 
-def test_metrics_of_an_empty_topic(spark, events, place):
-    folder, metrics = place("topic"), place("metrics")
+def test_metrics_of_an_empty_topic(spark, events, database, place):
+    folder, metrics = place("topic"), f"{database}.hourly"
     publish(events, folder, "false")
     rows, _ = decode.decode_json(stream(spark, folder), EVENT)
     timed = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
-    ingest.run_to_end(hourly.keep_hourly_metrics(timed, metrics))
+    ingest.run_to_end(hourly.keep_hourly_metrics(timed, metrics, place("checkpoint")))
     assert hourly.presentable(hourly.read_hourly_metrics(spark, metrics)).collect() == []
 
 
@@ -227,18 +227,29 @@ def test_merged_changes_need_a_known_time_unit():
         realtime.day_by(dataclasses.replace(MERGED_CHANGES, time_unit="HOURS"))
 
 
-def test_hourly_metrics_over_many_batches_equal_the_batch_form(spark, events, place):
-    folder, metrics = place("topic"), place("metrics")
+def test_hourly_metrics_over_many_batches_equal_the_batch_form(spark, events, database, place):
+    folder, checkpoint, table = place("topic"), place("checkpoint"), f"{database}.hourly"
 
     def run():
         rows, _ = decode.decode_json(stream(spark, folder, maxFilesPerTrigger="1"), EVENT)
         timed = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
-        ingest.run_to_end(hourly.keep_hourly_metrics(timed, metrics, lateness="60 days"))
+        ingest.run_to_end(hourly.keep_hourly_metrics(timed, table, checkpoint, lateness="60 days"))
 
-    for part in range(3):
-        publish(events, folder, f"event_id % 3 = {part}")
+    def check(condition):
+        chosen = events.filter(condition).select(clock.instant("ts").alias("at"), "event_type", "value")
+        kept, direct = hourly.read_hourly_metrics(spark, table), hourly.hourly_metrics(chosen)
+        assert kept.count() == direct.count()
+        assert kept.exceptAll(direct).count() == 0
+
+    for part in range(4):
+        publish(events, folder, f"event_id % 4 = {part}")
         run()
-    kept = hourly.read_hourly_metrics(spark, metrics)
-    direct = hourly.hourly_metrics(events.select(clock.instant("ts").alias("at"), "event_type", "value"))
-    assert kept.count() == direct.count()
-    assert kept.exceptAll(direct).count() == 0
+        check(f"event_id % 4 <= {part}")
+        if part == 2:
+            versions = spark.table(table).count()
+            assert hourly.merge_versions(spark, table) >= 3
+            check("event_id % 4 <= 2")
+            assert hourly.read_hourly_metrics(spark, table).count() == spark.table(table).count() < versions
+            assert hourly.merge_versions(spark, table) == 0
+    hourly.merge_versions(spark, table)
+    check("true")
