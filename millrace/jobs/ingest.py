@@ -65,6 +65,8 @@ def run(spark: SparkSession, chosen: argparse.Namespace) -> None:
         print_rows=PRINTED_ROWS if chosen.printTableData == "true" else 0,
     )
     ingest.run_to_end(query)
+    for printing in spark.streams.active:
+        ingest.run_to_end(printing)
 
 
 if __name__ == "__main__":

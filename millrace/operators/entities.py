@@ -8,35 +8,51 @@ from pyspark.sql import functions as F
 from millrace.functions import clock, decode
 from millrace.schemas import MERGED_CHANGES
 
+# Each list of a merged change beside the metric that counts it.
+LIST_COUNTS = {
+    "authors": "numAuthors",
+    "committers": "numCommitters",
+    "reviewers": "numReviewers",
+    "commenters": "numCommenters",
+}
+
 
 def value_set(column: str | Column) -> Column:
     """The distinct values of a column of few values (a type, a role, a label), sorted."""
     return F.sort_array(F.collect_set(column))
 
 
-def elapsed_millis(start: Column, end: Column) -> Column:
-    return clock.epoch_millis(end) - clock.epoch_millis(start)
+def with_derived_fields(rows: DataFrame) -> DataFrame:
+    """Add what follows from other fields: distinct members of the lists that rows have, and
+    the time from creation to merge."""
+    counts = {
+        metric: F.array_size(F.array_distinct(members)).cast("bigint")
+        for members, metric in LIST_COUNTS.items()
+        if members in rows.columns
+    }
+    elapsed = F.col("mergedTimeMillis") - F.col("createdTimeMillis")
+    return rows.withColumns({**counts, "elapsedTimeMillis": elapsed})
 
 
 def merged_changes(events: DataFrame) -> DataFrame:
-    """One merged-change row per user: its event types as labels, its number of events,
-    the first and last event as creation and merge time, and what follows from them."""
-    per_user = events.groupBy(F.col("user_id").cast("string").alias("userId")).agg(
+    """One merged-change row per user: its event types as labels and as authors, its number
+    of events, its first and last event as creation and merge, and what follows from them."""
+    gathered = events.groupBy(F.col("user_id").cast("string").alias("userId")).agg(
         value_set("event_type").alias("labels"),
         F.count("*").alias("count"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
-    wide = per_user.select(
+    wide = gathered.select(
         "userId",
         "labels",
+        F.col("labels").alias("authors"),
         "count",
-        F.array_size("labels").cast("bigint").alias("numAuthors"),
         clock.epoch_millis("first_ts").alias("createdTimeMillis"),
         clock.epoch_millis("last_ts").alias("mergedTimeMillis"),
-        elapsed_millis(F.col("first_ts"), F.col("last_ts")).alias("elapsedTimeMillis"),
     )
-    return decode.fill_defaults(decode.project(wide, MERGED_CHANGES.struct()), MERGED_CHANGES.defaults())
+    declared = decode.project(with_derived_fields(wide), MERGED_CHANGES.struct())
+    return decode.fill_defaults(declared, MERGED_CHANGES.defaults())
 
 
 def count_members(rows: DataFrame, list_col: str, **counts: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace import workspace
 from millrace.functions import decode
-from millrace.jobs import decision_pack, ingest, publish, run_sql
+from millrace.jobs import decision_pack, ingest, publish, run_sql, word_count
 from millrace.jobs import realtime as realtime_job
 from millrace.plans.realtime import TOPIC, _messages
 from millrace.schemas import FLIGHTS
@@ -126,3 +126,14 @@ def test_realtime_job(spark, tmp_path):
     kept = realtime.read_realtime(spark, f"{database}.trips")
     assert sorted(r.days for r in kept.select("days").distinct().collect()) == list(range(19010, 19020))
     assert kept.count() == 30
+
+
+def test_word_count_job(spark, tmp_path, capsys):
+    (tmp_path / "a.txt").write_text("apple banana\n\nhello apple\n")
+    table = f"spark_catalog.{workspace.fresh_name('words')}.counts"
+    arguments = ["--input", str(tmp_path / "a.txt")]
+    for times in (1, 2):
+        word_count.run(spark, word_count.options([*arguments, "--table", table]))
+        assert sorted(map(tuple, spark.table(table).collect())) == sorted([("apple", 2), ("banana", 1), ("hello", 1)] * times)
+    word_count.run(spark, word_count.options(arguments))
+    assert "|apple |2    |" in capsys.readouterr().out
