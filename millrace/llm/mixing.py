@@ -22,6 +22,9 @@ MOST_COPIES = 3
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (1, 2, 3)
 
+#: Classes of like sizes to a doubling of the size.
+CLASSES = 16
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,56 +80,61 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     most: int = MOST_COPIES,
     seed: str = "mix",
-    slim: bool = False,
 ) -> DataFrame:
-    """Add ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` to documents.
+    """One row per document: ``id_col, source_col, size, source_size, target, copies, taken``.
 
-    All columns are kept, or with ``slim`` the id and the source alone. ``size`` is the
-    number of words, ``copies`` how often the mix has the document, ``taken`` the words it
-    takes: ``copies`` times ``size``, at most ``most`` times the size.
+    ``size`` is the number of words, ``copies`` how often the mix has the document, ``taken``
+    the words it takes: ``copies`` times ``size``, at most ``most`` times the size.
 
     * A null text has size 0. A source of size 0 has target 0 and gives no copies. Null
       sources are one source, the last by name.
     * Rows that repeat an id are documents of their own; rows alike in id, source and size
-      are interchangeable. Ids may be null. An empty table gives no rows.
+      are interchangeable. Ids may be null. An empty table gives no rows. Other columns are
+      not looked at.
     * The same documents give the same mix, however they are partitioned.
     """
-    sized = docs.select(
-        *([F.struct(*docs.columns).alias("__row")] if not slim else []),
-        F.col(id_col).alias("__id"),
-        F.col(source_col).alias("source"),
-        words_in(F.col(text_col)).alias("size"),
-    )
+    sized = _sized(docs, id_col, source_col, text_col, seed)
     # A text is read for its size alone; what follows works on a slim table.
-    counted = written(_lined_up(sized.drop("__row"), seed), "sizes")
-    rows = counted if slim else _lined_up(sized, seed)
-    line = ranks.numbered(rows, counted, "source", ["__class"], [F.col("size"), F.col("__id").asc_nulls_first()], "__place")
-    goals = targets(counted, weights, most).withColumnRenamed("source", "__source")
-    # One row per source.
-    joined = line.join(goals, F.col("source").eqNullSafe(F.col("__source")), "left")
-    rate = F.col("target") / F.col("source_size").cast("double")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source").cast("string"), F.lit(""))).cast("binary")), 1, 5), 16, 10).cast("double") / (1 << 20)
-    reached = F.floor(offset + F.col("__place") * rate) - F.floor(offset + (F.col("__place") - 1) * rate)
-    copies = F.when(F.col("source_size") > 0, F.least(reached, F.lit(most))).otherwise(0).cast("long")
-    found = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    slim = written(sized, "sizes")
+    found = _copied(slim, slim, weights, most, seed)
     results = ["size", "source_size", "target", "copies", "taken"]
-    if slim:
-        return found.select(F.col("__id").alias(id_col), F.col("source").alias(source_col), *results)
-    others = [c for c in docs.columns if c not in results]
-    return found.select(*(F.col(f"__row.{c}") for c in others), *results)
+    return found.select(F.col("__id").alias(id_col), F.col("source").alias(source_col), *results)
 
 
-def _lined_up(sized: DataFrame, seed: str) -> DataFrame:
-    """Add what documents are lined up by: a class of like sizes, and the hash of the id."""
-    size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(-1).cast("int")
+def emit(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: Sequence[int] = WEIGHTS,
+    most: int = MOST_COPIES,
+    seed: str = "mix",
+) -> DataFrame:
+    """The mix itself: each document, with all columns, as often as ``mix`` takes it. The
+    cases that ``mix`` names are the same here."""
+    slim = written(_sized(docs, id_col, source_col, text_col, seed), "sizes")
+    rows = _sized(docs.withColumn("__row", F.struct(*docs.columns)), id_col, source_col, text_col, seed, "__row")
+    taken = _copied(rows, slim, weights, most, seed).filter("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+
+
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str, *kept: str) -> DataFrame:
+    """Documents with their size and what they are lined up by: a class of like sizes, and
+    the hash of the id."""
+    sized = docs.select(
+        *kept, F.col(id_col).alias("__id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")
+    )
+    size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * CLASSES)).otherwise(-1).cast("int")
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__id").cast("string"), F.lit("")))
     return ranks.with_hash(sized.withColumn("__class", size_class), key)
 
 
-def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("__kept"), *(F.col(how.get(k, d)).alias(d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))))
-    others = {k: v for k, v in how.items() if k not in ("id_col", "source_col", "text_col")}
-    taken = mix(packed, **others).filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__kept.*")
+def _copied(rows: DataFrame, slim: DataFrame, weights: Sequence[int], most: int, seed: str) -> DataFrame:
+    order = [F.col("size"), F.col("__id").asc_nulls_first()]
+    line = ranks.numbered(rows, slim, "source", ["__class"], order, "__place", targets(slim, weights, most))
+    rate = F.col("target") / F.col("source_size").cast("double")
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source").cast("string"), F.lit(""))).cast("binary")), 1, 5)
+    offset = F.conv(digits, 16, 10).cast("double") / (1 << 20)
+    reached = F.floor(offset + F.col("__place") * rate) - F.floor(offset + (F.col("__place") - 1) * rate)
+    copies = F.when(F.col("source_size") > 0, F.least(reached, F.lit(most))).otherwise(0).cast("long")
+    return line.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))

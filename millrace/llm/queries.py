@@ -156,7 +156,7 @@ def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     lined AS (
         SELECT *, row_number() OVER (
             PARTITION BY source
-            ORDER BY CASE WHEN size > 0 THEN floor(log2(size::DOUBLE) * 4)::INT ELSE -1 END, h, size, doc_id NULLS FIRST) AS place
+            ORDER BY CASE WHEN size > 0 THEN floor(log2(size::DOUBLE) * 16)::INT ELSE -1 END, h, size, doc_id NULLS FIRST) AS place
         FROM sized),
     sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
     weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM sources),
@@ -181,7 +181,7 @@ def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     """
 )
 def op7_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
-    mixed = mixing.mix(tables.read(spark, directory, "documents"), slim=True)
+    mixed = mixing.mix(tables.read(spark, directory, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

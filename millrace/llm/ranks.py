@@ -16,7 +16,15 @@ def with_hash(rows: DataFrame, key: Column, name: str = "__hash") -> DataFrame:
     return rows.withColumn(name, F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")))
 
 
-def numbered(rows: DataFrame, counted: DataFrame, group: str, strata: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def numbered(
+    rows: DataFrame,
+    counted: DataFrame,
+    group: str,
+    strata: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    known: DataFrame | None = None,
+) -> DataFrame:
     """Add ``name``: each row's number within its group, from 1 on and without gaps, in the
     order of the strata, then of ``__hash``, then of ``order``.
 
@@ -25,19 +33,22 @@ def numbered(rows: DataFrame, counted: DataFrame, group: str, strata: Sequence[s
     hash, which deals out a group of any size. Cells are counted, a running count over the
     cells of a group (4,096 to a stratum at most) says how many rows come before each, and
     rows are numbered within their cells. Null groups and strata come first, in a group of
-    their own.
+    their own. ``known``, with a row per group, adds its other columns to the group's rows;
+    they come with the counts, so rows are never dealt out by group.
     """
-    cell = F.substring("__hash", 1, CELL_DIGITS)
-    keys = [group, *strata, "__cell"]
-    counts = counted.withColumn("__cell", cell).groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy(*(F.col(c).asc_nulls_first() for c in (*strata, "__cell")))
-    placed = counts.withColumn("__before", F.sum("__n").over(before) - F.col("__n")).drop("__n")
-    own = Window.partitionBy(*keys).orderBy("__hash", *order)
+    prefix = F.substring("__hash", 1, CELL_DIGITS)
+    # One key that is never null: rows are shuffled by it once, for numbering and for the join.
+    cell = F.to_json(F.struct(F.col(group), *strata, prefix.alias("cell")), {"ignoreNullFields": "false"})
+    keys = [group, *strata, "__prefix"]
+    counts = counted.withColumns({"__cell": cell, "__prefix": prefix}).groupBy("__cell", *keys).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy(*(F.col(c).asc_nulls_first() for c in (*strata, "__prefix")))
+    placed = counts.withColumn("__before", F.sum("__n").over(before) - F.col("__n"))
+    extra = []
+    if known is not None:
+        extra = [c for c in known.columns if c != group]
+        named = known.withColumnRenamed(group, "__known")
+        placed = placed.join(named, F.col(group).eqNullSafe(F.col("__known")), "left")
+    own = Window.partitionBy("__cell").orderBy("__hash", *order)
     within = rows.withColumn("__cell", cell).withColumn("__own", F.row_number().over(own))
-    same = None
-    for key in keys:
-        placed = placed.withColumnRenamed(key, f"{key}__of")
-        equal = F.col(key).eqNullSafe(F.col(f"{key}__of"))
-        same = equal if same is None else same & equal
-    joined = within.join(placed, same, "left").withColumn(name, (F.col("__before") + F.col("__own")).cast("long"))
-    return joined.drop("__cell", "__own", "__before", *(f"{key}__of" for key in keys))
+    joined = within.join(placed.select("__cell", "__before", *extra), "__cell")
+    return joined.withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__cell", "__own", "__before")
