@@ -97,11 +97,11 @@ def _bucket_links(classes: DataFrame, planes: int, tables: int, threshold: float
     hashed = written(classes.mapInArrow(_hasher(planes, tables, seed), "group long, rep long"), "buckets")
     sizes = hashed.groupBy("group").agg(
         F.count("*").alias("size"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
-        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"),
+        F.bit_xor(F.xxhash64("rep")).alias("xor"),
+        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("other"),
     )
     # The same vectors often meet in many tables; one of those buckets says it all.
-    told = sizes.filter("size > 1").groupBy("size", "sum", "xor").agg(F.min("group").alias("group")).select("group", "size")
+    told = sizes.filter("size > 1").groupBy("size", "xor", "other").agg(F.min("group").alias("group")).select("group", "size")
     met = hashed.join(told, "group").join(classes.select("rep", F.col("v")), "rep")
     return _pairs(met, F.ceil(F.col("size") / BLOCK)).mapInArrow(_linker(threshold, counting=False), "a long, b long")
 

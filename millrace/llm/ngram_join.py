@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import batches, textscan
+from millrace.llm.filters import maybe_in
 from millrace.llm.groups import TASK, components, forest, in_blocks
 from millrace.llm.store import written
 
@@ -184,26 +185,21 @@ def _leaves(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
     found = None
     for level in range(DEPTH):
         rows = written(rows, "paths")
-        sizes = written(
-            rows.groupBy("bucket")
-            .agg(
-                F.count("*").alias("size"),
-                F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"),
-                F.bit_xor("node").alias("xor"),
-            )
-            .filter("size > 1"),
-            "sizes",
-        )
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        shared = written(rows.join(sizes, "bucket"), "shared")
         last = level == DEPTH - 1
-        ends = sizes if last else sizes.filter(F.col("size") <= SMALL)
+        ends = shared if last else shared.filter(F.col("size") <= SMALL)
         # The same classes often meet in many runs; one of those buckets says it all.
-        told = ends.groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-        leaves = rows.join(told, "bucket")
+        members = ends.groupBy("bucket").agg(
+            F.count("*").alias("size"), F.bit_xor("node").alias("xor"), F.bit_xor(F.xxhash64("node")).alias("other")
+        )
+        told = members.groupBy("size", "xor", "other").agg(F.min("bucket").alias("bucket")).select("bucket")
+        leaves = ends.join(told, "bucket")
         found = leaves if found is None else found.unionByName(leaves)
-        large = sizes.filter(F.col("size") > SMALL).select("bucket")
+        large = shared.filter(F.col("size") > SMALL)
         if last or large.isEmpty():
             return found
-        again = rows.join(large, "bucket").join(classes.select("node", "sketch"), "node")
+        again = large.drop("size").join(classes.select("node", "sketch"), "node")
         rows = again.mapInArrow(_paths(threshold, 0), "bucket long, node long")
 
 
@@ -271,7 +267,8 @@ def _with_texts(grouped: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = grouped.groupBy("group").agg(F.count("*").alias("size"), F.sum("shingles").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES))
     named = grouped.join(sizes, "group").withColumn("parts", F.least(blocks, F.col("size")))
-    texts = rows.join(named, rows["id"] == named["rep"]).select("group", "node", "key", "n", "text", "parts")
+    wanted = maybe_in(rows, F.col("id"), grouped, "rep").filter("__maybe")
+    texts = wanted.join(named, F.col("id") == F.col("rep")).select("group", "node", "key", "n", "text", "parts")
     return in_blocks(texts, "node", F.col("parts")).drop("parts")
 
 
@@ -354,8 +351,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     flags = written(
         gone.join(several.select("__id", F.lit(1).alias("__several")), "__id", "full"), "removed"
     )
-    marked = docs.join(flags, docs[id_col] == flags["__id"], "left").filter("__gone IS NULL").drop("__id", "__gone")
-    single = marked.filter("__several IS NULL").drop("__several")
+    sorted_out = maybe_in(docs, F.col(id_col), flags, "__id")
+    untouched = sorted_out.filter("NOT __maybe").drop("__maybe")
+    looked_up = sorted_out.filter("__maybe").drop("__maybe")
+    marked = looked_up.join(flags, F.col(id_col) == F.col("__id"), "left").filter("__gone IS NULL").drop("__id", "__gone")
+    single = untouched.unionByName(marked.filter("__several IS NULL").drop("__several"))
     repeated = marked.filter("__several IS NOT NULL").drop("__several")
     one = repeated.groupBy(F.col(id_col).alias("__id")).agg(
         F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("__row")

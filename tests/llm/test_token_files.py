@@ -76,7 +76,8 @@ def test_ids_that_do_not_fit_are_refused():
         token_files.Reader(io.BytesIO(b"something else, and long enough"))
 
 
-def test_round_trip(spark, library):
+def test_round_trip(spark, conf, library):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     result, files = found(docs(spark, rows))
     assert result == expected(library, rows)
