@@ -28,28 +28,51 @@ from millrace.llm import textscan
 
 #: Encodings of words that a Python worker remembers; beyond that it
 #: forgets those that it has not met lately.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Texts are encoded together up to this many bytes, as one trie.
 _PIECE = 4 << 20
 
 _NEVER = 1 << 60
 
 
-class Vocabulary:
-    """Tokens, merges and the splitting rules of a vocabulary file."""
+class Splitter:
+    """The rules of a vocabulary file by which texts become words and special tokens."""
 
-    def __init__(self, text: str):
-        rules = json.loads(text)
+    def __init__(self, rules: dict):
         model = rules["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        self.names = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in rules["added_tokens"]}
-        self.names |= {i: t for t, i in self.special.items()}
-        self.split_special = regex.compile("|".join(regex.escape(t) for t in self.special) or r"(?!)")
+        self._specials = regex.compile("|".join(regex.escape(t) for t in self.special) or r"(?!)")
         steps = rules["pre_tokenizer"]["pretokenizers"]
         # Where the file says \s, the library means Unicode's white space.
-        self.words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"^\s", r"^\p{White_Space}"))
+        self._words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"^\s", r"^\p{White_Space}"))
+
+    def split(self, piece: bytes) -> list[str]:
+        """The special tokens and words of a piece of text that has no ASCII white space."""
+        if piece.isalpha():  # ASCII letters alone are one word
+            return [piece.lower().decode()]
+        chunk, out, at = piece.decode(), [], 0
+        for found in self._specials.finditer(chunk):
+            out += self._plain(chunk[at : found.start()])
+            out.append(found.group())
+            at = found.end()
+        return out + self._plain(chunk[at:])
+
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            # Lower case goes by single letters; a capital sigma does not look at its place.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self._words.findall(text.lower())
+
+
+class Vocabulary(Splitter):
+    """Tokens and merges of a vocabulary file."""
+
+    def __init__(self, text: str):
+        rules = json.loads(text)
+        super().__init__(rules)
+        model = rules["model"]
         self.made: dict[str, tuple[str, str]] = {}
         self.rank: dict[tuple[str, str], int] = {}
         self.born: dict[str, int] = {}
@@ -81,6 +104,12 @@ class Vocabulary:
                 known[token] = [*below[:-1], (inner[side], self.born[token]), (token, _NEVER)]
         return known[token]
 
+    def forget(self, most: int = 200_000) -> None:
+        """Empty what was remembered of pairs and endings where it has grown beyond ``most``."""
+        for known in (self._apart, self._ends, self._closes):
+            if len(known) > most:
+                known.clear()
+
     def apart(self, left: str, right: str, until: int = _NEVER) -> bool:
         """Whether ``left`` and ``right`` side by side are built without a merge across
         their border of a rank below ``until``. Merges happen by rank, and from left to right
@@ -115,21 +144,6 @@ class Vocabulary:
             )
         return self._whole[token]
 
-    def pieces(self, chunk: str) -> Iterator[str]:
-        """The special tokens and words of a piece of text that has no white space around it."""
-        at = 0
-        for found in self.split_special.finditer(chunk):
-            yield from self._plain(chunk[at : found.start()])
-            yield found.group()
-            at = found.end()
-        yield from self._plain(chunk[at:] if at else chunk)
-
-    def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # Lower case goes by single letters; a capital sigma does not look at its place.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words.findall(text.lower())
-
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[str, ...]]:
         """The tokens of each distinct word, by one depth-first walk through their trie.
 
@@ -237,35 +251,27 @@ class Encoder:
             self._older = self.pieces, self.words
             self.pieces, self.words = {}, dict(self._special)
         pieces, words, (old_pieces, old_words) = self.pieces, self.words, self._older
+        self.vocab.forget()
         fresh: set[bytes] = set().union(*texts)
         fresh.difference_update(pieces)
-        plain: list[tuple[bytes, str]] = []
-        mixed: list[tuple[bytes, list[str]]] = []
-        unknown: set[str] = set()
-        for piece in fresh:
-            if piece in old_pieces:
-                pieces[piece] = old_pieces[piece]
-            elif piece.isalpha():  # ASCII letters alone are one word
-                word = piece.lower().decode()
-                plain.append((piece, word))
-                unknown.add(word)
-            else:
-                own = list(self.vocab.pieces(piece.decode()))
-                mixed.append((piece, own))
-                unknown.update(own)
-        unknown.difference_update(words)
+        again = [p for p in fresh if p in old_pieces]
+        pieces.update((p, old_pieces[p]) for p in again)
+        fresh.difference_update(again)
+        split = {piece: self.vocab.split(piece) for piece in fresh}
+        unknown = {w for own in split.values() for w in own if w not in words}
         again = [w for w in unknown if w in old_words]
         words.update((w, old_words[w]) for w in again)
         unknown.difference_update(again)
         ids = self.vocab.ids
         for word, tokens in self.vocab.encode_words(unknown).items():
             words[word] = " ".join([str(ids[t]) for t in tokens]).encode(), " ".join(tokens).encode()
-        for piece, word in plain:
-            pieces[piece] = words[word]
-        for piece, own in mixed:
-            found = [words[w] for w in own]
-            self._blank = self._blank or not found
-            pieces[piece] = b" ".join([x for x, _ in found]), b" ".join([x for _, x in found])
+        for piece, own in split.items():
+            if len(own) == 1:
+                pieces[piece] = words[own[0]]
+            else:
+                found = [words[w] for w in own]
+                self._blank = self._blank or not found
+                pieces[piece] = b" ".join([x for x, _ in found]), b" ".join([x for _, x in found])
 
     def encode(self, pieces: list[bytes]) -> Encoded:
         """The ids of a text's pieces, and the tokens that they decode to."""

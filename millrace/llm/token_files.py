@@ -15,6 +15,7 @@ numpy operations per block. Layout, all numbers little-endian:
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 
 from millrace import workspace
 from millrace.llm import textscan
+from millrace.llm.bpe import Splitter
 from millrace.llm.store import written
 
 MARK = b"MRIDPK01"
 BLOCK_IDS = 4096
 #: Pieces of text whose ids a Python worker remembers; beyond that it forgets those that it
 #: has not met lately.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _PIECE = 4 << 20
 _FIELDS = ("width", "block", "docs", "ids", "blocks")
 
@@ -255,7 +257,8 @@ def read_files(files: DataFrame) -> DataFrame:
 
 class _Encoder:
     """The library's encodings of the pieces that ASCII white space separates; its rules do
-    not look beyond it. Distinct words are handed to the library many at a time."""
+    not look beyond it. Pieces are split into words by the vocabulary's own rules, and the
+    library encodes many distinct words in one call, each of which ends in a final token."""
 
     def __init__(self, text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
@@ -264,29 +267,52 @@ class _Encoder:
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = bits_for(1 + max(self.library.get_vocab(with_added_tokens=True).values()))
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.splitter = Splitter(json.loads(text))
+        known = self.library.get_vocab(with_added_tokens=True)
+        self.width = bits_for(1 + max(known.values()))
+        self.final = np.zeros(1 + max(known.values()), bool)
+        self.final[[i for t, i in known.items() if t.endswith(self.splitter.suffix)]] = True
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.splitter.special.items()}
+        self.pieces: dict[bytes, bytes] = {}
+        self.words = dict(self.special)
+        self.older: tuple[dict, dict] = {}, {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > REMEMBERED:  # what is seen again outlives the change
-            self.older, self.known = self.known, {}
+        """Make the encodings of all these pieces known."""
+        if len(self.pieces) > REMEMBERED:  # what is seen again outlives the change
+            self.older = self.pieces, self.words
+            self.pieces, self.words = {}, dict(self.special)
+        pieces, words, (old_pieces, old_words) = self.pieces, self.words, self.older
         fresh: set[bytes] = set().union(*texts)
-        fresh.difference_update(self.known)
-        again = [p for p in fresh if p in self.older]
-        self.known.update((p, self.older[p]) for p in again)
+        fresh.difference_update(pieces)
+        again = [p for p in fresh if p in old_pieces]
+        pieces.update((p, old_pieces[p]) for p in again)
         fresh.difference_update(again)
-        # ASCII letters of either case are the same word to nearly every vocabulary, but
-        # that is for the library to say: each spelling is encoded as it is written.
-        pieces = list(fresh)
-        for start in range(0, len(pieces), 20_000):
-            part = pieces[start : start + 20_000]
-            for piece, found in zip(part, self.library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        split = {piece: self.splitter.split(piece) for piece in fresh}
+        unknown = {w for own in split.values() for w in own if w not in words}
+        again = [w for w in unknown if w in old_words]
+        words.update((w, old_words[w]) for w in again)
+        unknown.difference_update(again)
+        self._encode_words(list(unknown))
+        for piece, own in split.items():
+            pieces[piece] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+
+    def _encode_words(self, words: list[str], together: int = 1000) -> None:
+        for start in range(0, len(words), together):
+            part = words[start : start + together]
+            (found,) = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(part) or (len(ends) and ends[-1] != len(ids)):
+                raise ValueError("the library splits these words otherwise than the vocabulary's rules say")
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, (ends * 4).tolist()):
+                self.words[word] = raw[at:end]
+                at = end
 
     def encode(self, pieces: list[bytes]) -> bytes:
         """The ids of a text's pieces as unsigned 32-bit numbers."""
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 _encoders: dict[str, _Encoder] = {}
