@@ -34,7 +34,8 @@ def run(spark: SparkSession, chosen: argparse.Namespace) -> None:
     if chosen.table is None:
         counted.orderBy(F.desc("count"), "word").show(chosen.rows, truncate=False)
         return
-    catalog.create_database(spark, chosen.table.rpartition(".")[0])
+    if database := chosen.table.rpartition(".")[0]:
+        catalog.create_database(spark, database)
     catalog.create_table(spark, chosen.table, COLUMNS, chosen.format)
     catalog.append_rows(spark, chosen.table, counted)
 

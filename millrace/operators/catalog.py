@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,31 @@ def create_database(spark: SparkSession, database: str, location: str | None = N
 
 def create_scratch_database(spark: SparkSession, prefix: str) -> str:
     """A database of its own for one run, below the shared folder."""
-    database = workspace.fresh_name(prefix)
+    database = f"{_scratch_prefix(spark)}_{workspace.fresh_name(prefix)}"
     create_database(spark, database, workspace.fresh_path(spark, database))
     return database
 
 
+def scratch_database(spark: SparkSession) -> str:
+    """The application's one database for tables that only have a name for a moment."""
+    database = _scratch_prefix(spark)
+    create_database(spark, database, f"{workspace.shared_folder(spark)}/{database}")
+    return database
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove all scratch databases of this application with their tables and files; says
+    how many went. Results that still read from them must be finished."""
+    names = [row.namespace for row in list_databases(spark, f"{_scratch_prefix(spark)}*").toLocalIterator()]
+    for name in names:
+        reset_database(spark, name)
+    return len(names)
+
+
+def _scratch_prefix(spark: SparkSession) -> str:
+    return "scratch_" + re.sub(r"[^a-z0-9]+", "_", spark.sparkContext.applicationId.lower())
+
+
 def create_table(
     spark: SparkSession,
     table: str,
@@ -83,6 +104,24 @@ def reset_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"TRUNCATE TABLE {quoted(table)}")
 
 
+def reset_ingested(spark: SparkSession, table: str, checkpoint: str, name: str | None = None) -> None:
+    """Take back everything a streaming job has done: stop it if it runs here, and remove
+    table, files and sink log together with the checkpoint. Run again, the job reads its
+    topic from the start. ``reset_table`` alone would leave a checkpoint that believes the
+    rows are there, and a table whose sink log is gone."""
+    for query in spark.streams.active:
+        if query.name == name and name is not None:
+            query.stop()
+    where = None
+    if spark.catalog.tableExists(table):
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").filter("col_name = 'Location'").first()
+        where = described.data_type if described else None
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
+    for path in (where, checkpoint):
+        if path:
+            workspace.remove(spark, path)
+
+
 def reset_database(spark: SparkSession, database: str) -> None:
     """Remove a database with the tables and files it manages."""
     spark.sql(f"DROP DATABASE IF EXISTS {quoted(database)} CASCADE")

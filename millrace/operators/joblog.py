@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import running
 from millrace.operators.percentiles import exact_percentiles
 
 
@@ -60,11 +59,11 @@ def stages(events: DataFrame) -> DataFrame:
     )
 
 
-def task_skew(events: DataFrame, task_rows: int = running.TASK_ROWS) -> DataFrame:
+def task_skew(events: DataFrame) -> DataFrame:
     """The longest against the median task of each stage."""
     taken = tasks(events).select("app", "stage", "took_ms")
     wanted = {"median_ms": 0.5, "longest": 1.0}
-    times = exact_percentiles(taken, ["app", "stage"], "took_ms", wanted, count_as="n_tasks", task_rows=task_rows)
+    times = exact_percentiles(taken, ["app", "stage"], "took_ms", wanted, count_as="n_tasks")
     skew = F.when(F.col("median_ms") > 0, F.round(F.col("longest") / F.col("median_ms"), 6))
     return times.select(
         "app", "stage", "n_tasks", F.col("longest").cast("bigint").alias("longest_ms"), "median_ms", skew.alias("skew")

@@ -16,7 +16,6 @@ def exact_percentiles(
     value: str,
     wanted: dict[str, float],
     count_as: str | None = None,
-    task_rows: int = running.TASK_ROWS,
 ) -> DataFrame:
     """One row per group with a column per wanted percentile (0..1), and with ``count_as``
     the number of values; NULL values are left out.
@@ -25,16 +24,12 @@ def exact_percentiles(
     the two neighbouring ranks are then found by their running count.
     """
     counts = rows.groupBy(*groups, value).agg(F.count(value).alias("__n"))
-    # The sketch errs by a few percent; half as much again keeps it on the safe side.
-    distinct = rows.groupBy(*groups).agg(F.approx_count_distinct(value).alias("n")).agg(F.max("n")).first()[0] or 0
     ranked = running.running_total(
         counts,
         groups,
         [F.col(value).asc_nulls_first()],
         {"__upto": F.col("__n")},
         totals=True,
-        largest=int(distinct * 1.5) + 1,
-        task_rows=task_rows,
     )
 
     found = []

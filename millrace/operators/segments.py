@@ -10,18 +10,10 @@ from pyspark.sql import functions as F
 from millrace.operators import running
 
 
-def assign_segments(
-    rows: DataFrame,
-    partition_cols: Sequence[str],
-    order_col: str,
-    max_rows: int,
-    task_rows: int = running.TASK_ROWS,
-) -> DataFrame:
+def assign_segments(rows: DataFrame, partition_cols: Sequence[str], order_col: str, max_rows: int) -> DataFrame:
     """Add ``segment``, counted from 0 within each partition. ``order_col`` is the
     arrival order and has no ties."""
-    numbered = running.running_total(
-        rows, partition_cols, [F.col(order_col).asc()], {"__row": F.lit(1)}, task_rows=task_rows
-    )
+    numbered = running.running_total(rows, partition_cols, [F.col(order_col).asc()], {"__row": F.lit(1)})
     number = F.floor((F.col("__row") - 1) / F.lit(max_rows)).cast("bigint")
     return numbered.withColumn("segment", number).drop("__row")
 

@@ -72,7 +72,7 @@ _WORD_TABLE = "word string, `count` bigint"
 
 def _event_words(spark: SparkSession, directory: str) -> str:
     """A session view of (word, count) rows: every event's type and user."""
-    view = workspace.fresh_name("view_data")
+    view = workspace.fresh_name("word_rows")
     events = tables.read(spark, directory, "events")
     events.select(F.col("event_type").alias("word"), F.col("user_id").alias("count")).createOrReplaceTempView(view)
     return view
@@ -88,10 +88,10 @@ def _summary(spark: SparkSession, table: str) -> DataFrame:
 @query(_WORD_COUNT_SQL)
 def table_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     """View, database, typed table, positional insert, and all rows read back."""
-    view = workspace.fresh_name("view_data")
+    view = workspace.fresh_name("word_rows")
     word_count(spark, directory).createOrReplaceTempView(view)
     database = catalog.create_scratch_database(spark, "round_trip")
-    table = f"{database}.table_01"
+    table = f"{database}.words"
     catalog.create_table(spark, table, _WORD_TABLE)
     catalog.append(spark, table, view)
     spark.catalog.dropTempView(view)
@@ -102,7 +102,7 @@ def table_round_trip(spark: SparkSession, directory: str) -> DataFrame:
 def catalog_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     """The same through a three-part name and another table format."""
     database = catalog.create_scratch_database(spark, "catalog_trip")
-    table = f"spark_catalog.{database}.table_01"
+    table = f"spark_catalog.{database}.words"
     catalog.create_table(spark, table, _WORD_TABLE, fmt="orc")
     catalog.append_rows(spark, table, word_count(spark, directory))
     return spark.table(table)
@@ -116,7 +116,7 @@ FROM events GROUP BY event_type
 )
 def table_append_twice(spark: SparkSession, directory: str) -> DataFrame:
     view = _event_words(spark, directory)
-    table = f"{catalog.create_scratch_database(spark, 'append_twice')}.table_01"
+    table = f"{catalog.create_scratch_database(spark, 'append_twice')}.words"
     catalog.create_table(spark, table, _WORD_TABLE)
     catalog.append(spark, table, view)
     catalog.append(spark, table, view)
@@ -132,7 +132,7 @@ FROM events GROUP BY event_type
 )
 def table_reset_reload(spark: SparkSession, directory: str) -> DataFrame:
     view = _event_words(spark, directory)
-    table = f"{catalog.create_scratch_database(spark, 'reset_reload')}.table_01"
+    table = f"{catalog.create_scratch_database(spark, 'reset_reload')}.words"
     catalog.create_table(spark, table, _WORD_TABLE)
     catalog.append(spark, table, view)
     catalog.reset_table(spark, table)
@@ -159,8 +159,11 @@ def _table_counts(spark: SparkSession, names: dict[str, str]) -> DataFrame:
 @query(_table_counts_sql(tables.ALL_TABLES))
 def dataset_tables(spark: SparkSession, directory: str) -> DataFrame:
     """Every table of a benchmark directory, by its registered view, and its rows."""
-    tables.register_views(spark, directory)
-    return _table_counts(spark, {name: name for name in tables.ALL_TABLES})
+    views = tables.register_views(spark, directory, prefix=f"{workspace.fresh_name('dataset')}_")
+    counts = _table_counts(spark, views)
+    for view in views.values():  # the counts know their files; only the names go
+        spark.catalog.dropTempView(view)
+    return counts
 
 
 @query(
@@ -174,7 +177,7 @@ FROM ({_table_counts_sql(tables.ACTIVITY_TABLES)})
 )
 def list_databases(spark: SparkSession, directory: str) -> DataFrame:
     """Two databases over the given tables, found again in the list of databases."""
-    run = workspace.fresh_name("run")
+    run = f"{catalog.scratch_database(spark)}_{workspace.fresh_name('run')}"
     contents = {"star": tables.STAR_TABLES, "activity": tables.ACTIVITY_TABLES}
     counts = None
     for kind, names in contents.items():

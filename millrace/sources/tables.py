@@ -19,10 +19,13 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(location(directory, name))
 
 
-def register_views(spark: SparkSession, directory: str, names: Iterable[str] = ALL_TABLES) -> None:
-    """Make the tables of a directory visible to SQL text."""
-    for name in names:
-        read(spark, directory, name).createOrReplaceTempView(name)
+def register_views(spark: SparkSession, directory: str, names: Iterable[str] = ALL_TABLES, prefix: str = "") -> dict[str, str]:
+    """Make the tables of a directory visible to SQL text; each table's view. A prefix keeps
+    them apart from views of the session that have the tables' names."""
+    views = {name: f"{prefix}{name}" for name in names}
+    for name, view in views.items():
+        read(spark, directory, name).createOrReplaceTempView(view)
+    return views
 
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_folder: str | None = None
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a session in local mode may do without it: there, and nowhere else,
-    a folder of this machine is visible to every task.
-    """
-    global _local_folder
+    """The folder named by ``spark.checkpoint.dir``, or else one below the warehouse, which
+    all executors share as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="millrace-")
-    return _local_folder
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/millrace"
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
@@ -38,6 +25,13 @@ def job_path(spark: SparkSession, job_id: str, purpose: str) -> str:
     return f"{shared_folder(spark)}/jobs/{job_id}/{purpose}"
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a path with all below it, in whatever file system it is; says if it was there."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_name(prefix: str) -> str:
     """A database, table or view name that no other run uses."""
     return f"{prefix}_{uuid.uuid4().hex[:10]}"

@@ -91,13 +91,30 @@ def test_sql_arguments_are_values(spark):
         sqljobs.run_sql(spark, "SELECT * FROM nowhere.table_01")
 
 
-def test_shared_folder(spark, monkeypatch):
-    assert workspace.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-
+def test_shared_folder(spark):
     class Session:
-        def __init__(self, master):
-            self.conf = {"spark.master": master}
+        def __init__(self, **known):
+            self.conf = self
+            self.known = known
 
-    assert workspace.shared_folder(Session("local[2]")) == workspace.shared_folder(Session("local[2]"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        workspace.shared_folder(Session("yarn"))
+        def get(self, name, default=None):
+            return self.known.get(name, default)
+
+    warehouse = {"spark.sql.warehouse.dir": "hdfs://nn/warehouse/"}
+    assert workspace.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert workspace.shared_folder(Session(**warehouse, **{"spark.checkpoint.dir": "hdfs://nn/shared/"})) == "hdfs://nn/shared"
+    # Without the setting, a restarted job in another process still finds its own path.
+    assert workspace.job_path(Session(**warehouse), "job", "checkpoint") == "hdfs://nn/warehouse/millrace/jobs/job/checkpoint"
+
+
+def test_scratch_is_dropped_whole(spark):
+    from millrace.plans import QUERIES
+
+    catalog.drop_scratch(spark)
+    before = {r.namespace for r in spark.sql("SHOW DATABASES").collect()}
+    views = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    for name in ("table_round_trip", "dataset_tables", "list_databases", "ds_running_sum"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert {t.name for t in spark.catalog.listTables() if t.isTemporary} == views
+    assert catalog.drop_scratch(spark) > 0
+    assert {r.namespace for r in spark.sql("SHOW DATABASES").collect()} == before

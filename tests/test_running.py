@@ -31,26 +31,50 @@ def expected_running(rows):
     return result
 
 
-def computed_running(spark, rows, task_rows):
+def computed_running(spark, rows):
     frame = spark.createDataFrame(rows, ROWS_SCHEMA).repartition(5)
-    done = running.running_total(frame, ["g"], [F.col("o")], {"run": F.col("v")}, totals=True, task_rows=task_rows)
+    done = running.running_total(frame, ["g"], [F.col("o")], {"run": F.col("v")}, totals=True)
     assert done.columns == ["g", "o", "v", "run", "run_total"]
     collected = [(r.g, r.o, r.run, r.run_total) for r in done.collect()]
     assert len(collected) == len(rows)
     return set(collected)
 
 
-@pytest.mark.parametrize("task_rows", [10, 10**6])
-def test_running_total_of_hot_group(spark, task_rows):
+def test_running_total_of_hot_group(spark):
     rows = hot_rows()
-    assert computed_running(spark, rows, task_rows) == expected_running(rows)
+    assert computed_running(spark, rows) == expected_running(rows)
+
+
+def test_rows_are_shuffled_once_and_nothing_is_counted_ahead(spark, monkeypatch):
+    """Building the plan writes the slices and runs no other job over the rows; reading
+    them back shuffles sums of slices only."""
+    frame = spark.createDataFrame(hot_rows(), ROWS_SCHEMA).repartition(5)
+    for eager in ("first", "collect", "count", "take"):
+        monkeypatch.setattr(type(frame), eager, lambda *a, **k: pytest.fail("a job ran while the plan was built"))
+    done = running.running_total(frame, ["g"], [F.col("o")], {"run": F.col("v")}, totals=True)
+    found = percentiles.exact_percentiles(frame, ["g"], "v", {"mid": 0.5})
+    segments.assign_segments(frame, ["g"], "o", 50)
+    monkeypatch.undo()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    below = [plan[plan.index(line) :] for line in shuffles]
+    assert len(shuffles) == 1 and "__of_slice" not in shuffles[0]
+    assert "HashAggregate" in below[0].split("FileScan")[0]  # of one row per slice and group
+    assert found.count() > 0
+
+
+def test_no_tables_are_left(spark):
+    before = {(r.namespace, r.tableName) for db in spark.sql("SHOW DATABASES").collect() for r in spark.sql(f"SHOW TABLES IN {db.namespace}").collect()}
+    assert computed_running(spark, hot_rows(300)) == expected_running(hot_rows(300))
+    after = {(r.namespace, r.tableName) for db in spark.sql("SHOW DATABASES").collect() for r in spark.sql(f"SHOW TABLES IN {db.namespace}").collect()}
+    assert after == before
 
 
 def test_hot_group_is_cut_into_slices(spark, conf):
     conf("spark.sql.adaptive.enabled", "false")
     rows = [("hot", i, 1) for i in range(4000)]
     frame = spark.createDataFrame(rows, ROWS_SCHEMA)
-    done = running.running_total(frame, ["g"], [F.col("o")], {"run": F.lit(1)}, task_rows=10)
+    done = running.running_total(frame, ["g"], [F.col("o")], {"run": F.lit(1)})
     sizes = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2000  # no task holds half of the only group
     assert done.filter("run <> o + 1").count() == 0
@@ -58,19 +82,18 @@ def test_hot_group_is_cut_into_slices(spark, conf):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(data=st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(-5, 5)), min_size=1, max_size=60))
-def test_both_ways_agree(spark, data):
+def test_any_rows(spark, data):
     rows = [(g, i, v) for i, (g, v) in enumerate(data)]
-    assert computed_running(spark, rows, 0) == computed_running(spark, rows, 10**6) == expected_running(rows)
+    assert computed_running(spark, rows) == expected_running(rows)
 
 
-@pytest.mark.parametrize("task_rows", [10, 10**6])
-def test_percentiles_are_exact(spark, task_rows):
+def test_percentiles_are_exact(spark):
     picked = random.Random(3)
     rows = [("hot" if i % 3 else "g%d" % (i % 7), picked.choice([picked.random() * 100, 5.0, None])) for i in range(3000)]
     rows += [("empty", None), ("one", 4.5)]
     frame = spark.createDataFrame(rows, "g string, x double")
     wanted = {"low": 0.0, "p10": 0.1, "mid": 0.5, "p99": 0.99, "high": 1.0}
-    found = percentiles.exact_percentiles(frame, ["g"], "x", wanted, count_as="n", task_rows=task_rows)
+    found = percentiles.exact_percentiles(frame, ["g"], "x", wanted, count_as="n")
     groups = {}
     for g, x in rows:
         groups.setdefault(g, []).extend([] if x is None else [x])
@@ -85,11 +108,10 @@ def test_percentiles_are_exact(spark, task_rows):
                 assert result[g][name] is None
 
 
-@pytest.mark.parametrize("task_rows", [10, 10**6])
-def test_segments_hold_at_most_n_rows_in_order(spark, task_rows):
+def test_segments_hold_at_most_n_rows_in_order(spark):
     rows = [("hot" if i % 3 else f"p{i % 4}", i * 7, i) for i in range(2000)]
     frame = spark.createDataFrame(rows, ROWS_SCHEMA).repartition(4)
-    done = segments.assign_segments(frame, ["g"], "o", 50, task_rows=task_rows).collect()
+    done = segments.assign_segments(frame, ["g"], "o", 50).collect()
     by_group = {}
     for r in done:
         by_group.setdefault(r.g, []).append((r.o, r.segment))
