@@ -46,6 +46,16 @@ def decode_json(messages: DataFrame, schema: T.StructType, value_col: str = "val
     return good, bad.select(F.col(CORRUPT).alias("raw_value"))
 
 
+def parse_avro(messages: DataFrame, avro_schema: str, value_col: str = "value") -> DataFrame:
+    """As ``parse_json`` for Avro messages; what does not fit is given in Base64. Spark raises
+    its own error where its Avro package is missing."""
+    from pyspark.sql.avro.functions import from_avro
+
+    parsed = messages.withColumn("row", from_avro(F.col(value_col), avro_schema, {"mode": "PERMISSIVE"}))
+    raw = F.coalesce(F.base64(F.col(value_col)), F.lit(""))
+    return parsed.withColumn(CORRUPT, F.when(F.col("row").isNull(), raw))
+
+
 def decode_avro(messages: DataFrame, avro_schema: str, schema: T.StructType, value_col: str = "value") -> DataFrame:
     """Decode Avro messages; Spark raises its own error where its Avro package is missing."""
     from pyspark.sql.avro.functions import from_avro

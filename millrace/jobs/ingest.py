@@ -49,6 +49,7 @@ def source_options(pairs: list[str]) -> dict[str, str]:
 
 def run(spark: SparkSession, chosen: argparse.Namespace) -> None:
     catalog.create_database(spark, chosen.database)
+    table = f"{chosen.database}.{chosen.topic}"
     messages = topics.read_topic(
         spark,
         chosen.topic,
@@ -58,15 +59,15 @@ def run(spark: SparkSession, chosen: argparse.Namespace) -> None:
     )
     query = ingest.ingest_topic(
         messages,
-        f"{chosen.database}.{chosen.topic}",
+        table,
         workspace.job_path(spark, f"{chosen.id}-{chosen.topic}", "checkpoint"),
         trigger_seconds=chosen.triggerSeconds,
         name=chosen.id,
-        print_rows=PRINTED_ROWS if chosen.printTableData == "true" else 0,
     )
-    ingest.run_to_end(query)
-    for printing in spark.streams.active:
-        ingest.run_to_end(printing)
+    if chosen.printTableData == "true":
+        ingest.print_batches(spark, query, table, PRINTED_ROWS)
+    else:
+        ingest.run_to_end(query)
 
 
 if __name__ == "__main__":

@@ -4,13 +4,15 @@
         --schemaFile flights_schema.json --tableConfigFile flights_table_config.json --database realtime
 
 Topic, servers, message format, first offset, segment size and time, retention and index
-columns come from the declarations. Expired days are dropped when the job starts; run it
+columns come from the declarations. Messages that do not decode are kept in a table of the
+same name with the ending _quarantine. Expired days are dropped when the job starts; run it
 with --expireOnly to do no more than that, for instance once a day.
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -30,6 +32,7 @@ def options(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--topicFolder", help="replay a topic kept as Parquet files, up to its end")
     parser.add_argument("--kafkaOption", action="append", default=[], metavar="NAME=VALUE")
     parser.add_argument("--expireOnly", action="store_true")
+    parser.add_argument("--asOf", type=dt.date.fromisoformat, help="the day retention counts from; today (UTC) by default")
     return parser.parse_args(arguments)
 
 
@@ -40,7 +43,7 @@ def run(spark: SparkSession, chosen: argparse.Namespace) -> None:
     table = f"{chosen.database}.{declared.name}"
     catalog.create_database(spark, chosen.database)
     realtime.create_declared(spark, table, declared)
-    realtime.expire_declared(spark, table, declared)
+    realtime.expire_declared(spark, table, declared, chosen.asOf or dt.datetime.now(dt.timezone.utc).date())
     if chosen.expireOnly:
         return
     messages = topics.read_topic(

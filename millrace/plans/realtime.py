@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +97,22 @@ def ingest_topic_append(spark: SparkSession, directory: str) -> DataFrame:
     return spark.table(table).select(*EVENT.names)
 
 
+@query("SELECT event_type, count(*) AS n_events, CAST(sum(event_id) AS BIGINT) AS total_event_id FROM events GROUP BY event_type")
+def ingest_reset_reload(spark: SparkSession, directory: str) -> DataFrame:
+    """A job that ran, was taken back with all it did, and ran again: each event is there once."""
+    folder = _published(spark, _messages(_events(spark, directory)))
+    job = workspace.fresh_name("ingestion")
+    table = f"{catalog.create_scratch_database(spark, 'reset')}.{TOPIC}"
+    checkpoint = workspace.job_path(spark, job, "checkpoint")
+    for run in range(2):
+        if run:
+            catalog.reset_ingested(spark, table, checkpoint, job)
+        ingest.run_to_end(ingest.ingest_topic(_stream(spark, folder), table, checkpoint, schema=EVENT, name=job))
+    spark.catalog.refreshTable(table)
+    kept = spark.table(table).groupBy("event_type")
+    return kept.agg(F.count("*").alias("n_events"), F.sum("event_id").alias("total_event_id"))
+
+
 @query("SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type")
 def ingest_restart(spark: SparkSession, directory: str) -> DataFrame:
     """The same named job run twice: the second run finds nothing left to do."""
@@ -264,7 +282,11 @@ def rt_segments(spark: SparkSession, directory: str) -> DataFrame:
 
 def _realtime_events(spark: SparkSession, directory: str) -> str:
     """A real-time table of all events, filled from a topic."""
-    folder = _published(spark, _messages(_events(spark, directory)))
+    return _realtime_table(spark, _messages(_events(spark, directory)))
+
+
+def _realtime_table(spark: SparkSession, messages: DataFrame) -> str:
+    folder = _published(spark, messages)
     table = f"{catalog.create_scratch_database(spark, 'realtime')}.{TOPIC}"
     realtime.create_realtime_table(spark, table, EVENT, segment_rows=50_000, cluster_by=["event_type"])
     checkpoint = workspace.fresh_path(spark, "checkpoint")
@@ -278,19 +300,46 @@ def _realtime_events(spark: SparkSession, directory: str) -> str:
 @query(
     """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", count(*) AS n_rows
-FROM events
-WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 7
+FROM (SELECT CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN TIMESTAMP '9999-12-31 00:00:00' ELSE ts END AS ts
+      FROM events)
+WHERE CAST(ts AS DATE) > DATE '2024-01-18' - 7 OR ts IS NULL
 GROUP BY 1
 """
 )
 def rt_retention(spark: SparkSession, directory: str) -> DataFrame:
-    """A real-time table after its older days are dropped; the last seven stay."""
-    table = _realtime_events(spark, directory)
-    retention.drop_expired(spark, table, realtime.DAY, 7)
+    """A real-time table after retention on 18 January 2024: the last seven days stay, and
+    so do events without a time or dated far ahead, of which there are some of each."""
+    odd = (
+        F.when(F.col("event_id") % 13 == 0, F.lit(None))
+        .when(F.col("event_id") % 17 == 0, F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
+        .otherwise(F.col("ts"))
+    )
+    table = _realtime_table(spark, _messages(_events(spark, directory).withColumn("ts", odd)))
+    retention.drop_expired(spark, table, realtime.DAY, 7, dt.date(2024, 1, 18))
     kept = realtime.read_realtime(spark, table).groupBy("day").agg(F.count("*").alias("n_rows"))
     return kept.withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    """
+SELECT CASE WHEN event_id % 11 = 0 THEN 'broken' ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS "day", count(*) AS n_rows,
+       CAST(sum(event_id) AS BIGINT) AS total_event_id
+FROM events GROUP BY 1
+"""
+)
+def rt_quarantine(spark: SparkSession, directory: str) -> DataFrame:
+    """Every eleventh message is broken: good ones are in the table, and the others, by
+    their place in the topic, in its quarantine."""
+    broken = F.concat(F.lit("{broken "), F.col("event_id").cast("string"))
+    value = F.when(F.col("event_id") % 11 == 0, broken).otherwise(decode.encode_json("*"))
+    table = _realtime_table(spark, _messages(_events(spark, directory), value))
+    good = realtime.read_realtime(spark, table).select(F.col("day").cast("string").alias("day"), "event_id")
+    told = F.regexp_extract(F.col("raw_value").cast("string"), "([0-9]+)$", 1).cast("bigint")
+    bad = realtime.read_quarantined(spark, table).select(F.lit("broken").alias("day"), told.alias("event_id"))
+    both = good.unionByName(bad)
+    return both.groupBy("day").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("total_event_id"))
+
+
 @query(
     """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", event_type, count(*) AS n_rows,
@@ -410,7 +459,8 @@ def rt_declared_table(spark: SparkSession, directory: str) -> DataFrame:
     ingest.run_to_end(
         realtime.ingest_declared(stream, table, MERGED_CHANGES, workspace.fresh_path(spark, "checkpoint"))
     )
-    expired = realtime.expire_declared(spark, table, MERGED_CHANGES)
+    # On the day the newest change was merged, so that nothing is old enough to go.
+    expired = realtime.expire_declared(spark, table, MERGED_CHANGES, dt.date(2024, 1, 31))
     return (
         realtime.read_realtime(spark, table)
         .groupBy(F.col("day").cast("string").alias("day"))
@@ -433,9 +483,13 @@ FROM events GROUP BY 1, 2
 """
 )
 def stream_hourly_metrics(spark: SparkSession, directory: str) -> DataFrame:
-    """Events published to a topic, and hourly metrics kept by a stream over it."""
-    folder = _published(spark, _messages(_events(spark, directory)))
-    rows, _ = decode.decode_json(_stream(spark, folder), EVENT)
+    """Events published to a topic in four parts, none of them in the order of time, and
+    hourly metrics kept by a stream that takes a file at a time."""
+    folder = workspace.fresh_path(spark, "topic")
+    for part in (2, 0, 3, 1):
+        topics.publish_to_folder(_messages(_events(spark, directory).filter(F.col("event_id") % 4 == part)), folder)
+    stream = topics.read_topic(spark, TOPIC, folder=folder, options={"maxFilesPerTrigger": "1"})
+    rows, _ = decode.decode_json(stream, EVENT)
     events = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
     metrics = f"{catalog.create_scratch_database(spark, 'metrics')}.hourly"
     ingest.run_to_end(hourly.keep_hourly_metrics(events, metrics, workspace.fresh_path(spark, "checkpoint")))

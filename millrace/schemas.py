@@ -254,8 +254,9 @@ def _flight_field(line: str) -> Field:
     )
 
 
+# The names under which these two tables are declared.
 FLIGHTS = TableSchema(
-    name="flights",
+    name="airlineStats",
     fields=tuple(_flight_field(line) for line in _FLIGHT_FIELDS.split("\n") if line),
     time_column="DaysSinceEpoch",
     time_unit="DAYS",
@@ -264,7 +265,7 @@ FLIGHTS = TableSchema(
 )
 
 MERGED_CHANGES = TableSchema(
-    name="merged_changes",
+    name="pullRequestMergedEvents",
     fields=(
         *(Field(n.removesuffix("[]"), "string", many=n.endswith("[]"), default="") for n in _MERGED_DIMENSIONS.split()),
         *(

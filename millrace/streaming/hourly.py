@@ -1,8 +1,8 @@
 """Metrics per hour and type, the same whether computed in batch or kept by a stream.
 
-The stream keeps a table of versions: each batch adds the new figures of the hours it
-changed, and an hour's newest version counts. A version is true wherever it stands, so
-a batch may be replayed, and old versions merged, while others read the table.
+The stream keeps a table of partial sums: each batch adds what its own events amount to, in
+a partition of its own, and readers add the parts up. No event is too late, no state is
+kept, and a batch that is replayed overwrites its part.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from millrace.functions.money import cents
 from millrace.operators import catalog
 from millrace.streaming.ingest import triggered
 
-_COLUMNS = "hour_start timestamp, event_type string, n bigint, cents decimal(28,0), version bigint, written_by string"
-_BATCH, _MERGED = "batch-", "merged-"
+_COLUMNS = "hour_start timestamp, event_type string, n bigint, cents decimal(28,0), merged boolean, upto bigint"
 
 
 def hourly_metrics(events: DataFrame) -> DataFrame:
@@ -31,55 +30,58 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
 
 
 def keep_hourly_metrics(
-    events: DataFrame, table: str, checkpoint: str, lateness: str = "2 days", trigger_seconds: float | None = None
+    events: DataFrame, table: str, checkpoint: str, trigger_seconds: float | None = None
 ) -> StreamingQuery:
-    """Keep a table of hourly metrics up to date. An hour leaves the stream's state once no
-    event may come that late any more. Table and checkpoint belong together."""
+    """Keep a table of hourly metrics up to date. Table and checkpoint belong together."""
     catalog.create_table(
         events.sparkSession,
         table,
         _COLUMNS,
-        partitioned_by=["written_by"],
+        partitioned_by=["merged", "upto"],
         options={"partitionOverwriteMode": "dynamic"},
     )
-    metrics = hourly_metrics(events.withWatermark("at", lateness))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A replayed batch overwrites what it wrote before.
-        version = F.lit(batch_id).cast("bigint")
-        batch.withColumns({"version": version, "written_by": F.lit(f"{_BATCH}{batch_id}")}).write.insertInto(
-            table, overwrite=True
-        )
+        parts = hourly_metrics(batch).withColumns({"merged": F.lit(False), "upto": F.lit(batch_id).cast("bigint")})
+        parts.write.insertInto(table, overwrite=True)
 
-    writer = metrics.writeStream.outputMode("update").foreachBatch(write)
+    writer = events.writeStream.foreachBatch(write)
     return triggered(writer.option("checkpointLocation", checkpoint), trigger_seconds).start()
 
 
-def _newest(versions: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("n", "cents", "version"), "version").alias("newest")
-    return versions.groupBy("hour_start", "event_type").agg(newest).select("hour_start", "event_type", "newest.*")
+def _counting(spark: SparkSession, table: str) -> DataFrame:
+    """The parts that count: the newest merged ones, and those of later batches. A merge
+    counts from the moment its partition is there, and what it replaces no longer does."""
+    name = catalog.quoted(table)
+    newest = f"coalesce((SELECT max(upto) FROM {name} WHERE merged), -1)"
+    return spark.sql(f"SELECT * FROM {name} WHERE (merged AND upto = {newest}) OR (NOT merged AND upto > {newest})")
+
+
+def _added_up(parts: DataFrame) -> DataFrame:
+    total = F.sum("cents").cast("decimal(28,0)")
+    return parts.groupBy("hour_start", "event_type").agg(F.sum("n").alias("n"), total.alias("cents"))
 
 
 def read_hourly_metrics(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of every hour."""
+    """Every hour's figures."""
     spark.catalog.refreshTable(table)
-    return _newest(spark.table(table)).drop("version")
+    return _added_up(_counting(spark, table))
 
 
-def merge_versions(spark: SparkSession, table: str) -> int:
-    """Replace the versions written so far by the newest of each hour; says how many
-    partitions went. Readers see the same figures before, during and after."""
+def merge_parts(spark: SparkSession, table: str) -> int:
+    """Add the parts written so far up into one partition; says how many went. Readers see
+    the same figures before, during and after, and a running stream is not disturbed."""
     # Partition names only, one per batch since the last merge.
     listed = spark.sql(f"SHOW PARTITIONS {catalog.quoted(table)}").toLocalIterator()
-    held = [row.partition.removeprefix("written_by=") for row in listed]
-    batches = [int(name.removeprefix(_BATCH)) for name in held if name.startswith(_BATCH)]
-    if not batches:
+    specs = [dict(part.split("=", 1) for part in row.partition.split("/")) for row in listed]
+    upto = max((int(s["upto"]) for s in specs if s["merged"] == "false"), default=None)
+    if upto is None:
         return 0
     spark.catalog.refreshTable(table)
-    merged = _newest(spark.table(table).filter(F.col("written_by").isin(*held)))
-    target = f"{_MERGED}{max(batches)}"
-    merged.withColumn("written_by", F.lit(target)).write.insertInto(table, overwrite=True)
-    replaced = [{"written_by": name} for name in held if name != target]
+    merged = _added_up(_counting(spark, table).filter(F.col("upto") <= upto))
+    merged = merged.withColumns({"merged": F.lit(True), "upto": F.lit(upto).cast("bigint")})
+    merged.write.insertInto(table, overwrite=True)
+    replaced = [s for s in specs if int(s["upto"]) <= upto and s != {"merged": "true", "upto": str(upto)}]
     catalog.drop_partitions(spark, table, replaced)
     return len(replaced)
 

@@ -49,30 +49,41 @@ def ingest_topic(
     schema: T.StructType | None = None,
     trigger_seconds: float | None = None,
     name: str | None = None,
-    print_rows: int = 0,
     fmt: str = "parquet",
 ) -> StreamingQuery:
     """Append a topic to a table.
 
     The checkpoint remembers what is done: a restarted job goes on where it stopped, and
-    the file sink's own log keeps a half-written batch out of the table. ``print_rows``
-    shows so many rows of each batch on the driver's console, from a query of its own.
+    the file sink's own log keeps a half-written batch out of the table.
     """
     rows = table_rows(messages, schema)
     if name:
         stop_named(rows.sparkSession, name)
-        stop_named(rows.sparkSession, f"{name}_print")
     writer = rows.writeStream.format(fmt).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
-    query = triggered(writer, trigger_seconds).toTable(table)
-    if print_rows > 0:
-        printer = rows.writeStream.format("console").option("numRows", print_rows)
-        printer = printer.option("checkpointLocation", f"{checkpoint}-print")
-        if name:
-            printer = printer.queryName(f"{name}_print")
-        triggered(printer, trigger_seconds).start()
-    return query
+    return triggered(writer, trigger_seconds).toTable(table)
+
+
+def print_batches(spark: SparkSession, query: StreamingQuery, table: str, rows: int, every_seconds: float = 1.0) -> None:
+    """Show some rows of what each new batch added to the table, until the query ends; its
+    failure is raised here.
+
+    The topic is not read again: rows come out of the table's newest files, and no more
+    than ``rows`` of them reach the driver. Batches that end close together are shown as one.
+    """
+    seen: tuple | None = None
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(every_seconds)
+        done = [p for p in query.recentProgress if p.numInputRows]
+        latest = (done[-1].batchId, done[-1].timestamp) if done else None
+        if latest and latest != seen:
+            since = next(p.timestamp for p in done if seen is None or p.batchId > seen[0])
+            spark.catalog.refreshTable(table)
+            fresh = spark.table(table).filter(F.col("_metadata.file_modification_time") >= F.lit(since).cast("timestamp"))
+            fresh.limit(rows).show(rows, truncate=False)
+            seen = latest
 
 
 def ingest_with_quarantine(

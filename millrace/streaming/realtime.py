@@ -56,8 +56,8 @@ def ingest_realtime(
     avro_schema: str | None = None,
 ) -> StreamingQuery:
     """Decode a topic into a real-time table. ``day`` is a row's date by its time column.
-    Messages are JSON, or Avro if their schema is given; JSON values that do not decode
-    are left out (``ingest_with_quarantine`` keeps them).
+    Messages are JSON, or Avro if their schema is given. Values that do not decode go into
+    the table's quarantine (``read_quarantined``), for either format.
 
     A file is closed with its batch, so the trigger interval is the longest time that a
     segment stays open.
@@ -65,16 +65,31 @@ def ingest_realtime(
     # The query's id is kept in its checkpoint and known once the query has started.
     query_id: Future[str] = Future()
 
+    catalog.create_table(
+        messages.sparkSession,
+        quarantine_of(table),
+        "topic string, `partition` int, `offset` bigint, raw_value binary, batch string",
+        partitioned_by=[BATCH],
+        options={"partitionOverwriteMode": "dynamic"},
+    )
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        if avro_schema:
-            rows = decode.decode_avro(batch, avro_schema, schema)
-        else:
-            rows, _ = decode.decode_json(batch, schema)
-        rows = decode.fill_defaults(rows, defaults or {})
-        rows = rows.withColumn(DAY, day).withColumn(BATCH, F.lit(f"{query_id.result()}-{batch_id}"))
-        # Small days share a task and a hot day is split over several.
-        rows = rows.hint("rebalance", F.col(DAY)).sortWithinPartitions(DAY, *cluster_by)
-        rows.write.insertInto(table, overwrite=True)
+        own = F.lit(f"{query_id.result()}-{batch_id}")
+        parsed = decode.parse_avro(batch, avro_schema) if avro_schema else decode.parse_json(batch, schema)
+        # Both tables are written from one parse; a batch that is replayed overwrites both.
+        parsed = parsed.persist()
+        try:
+            rows = parsed.filter(F.col(decode.CORRUPT).isNull()).select("row.*")
+            rows = decode.fill_defaults(decode.project(rows, schema), defaults or {})
+            rows = rows.withColumn(DAY, day).withColumn(BATCH, own)
+            # Small days share a task and a hot day is split over several.
+            rows = rows.hint("rebalance", F.col(DAY)).sortWithinPartitions(DAY, *cluster_by)
+            rows.write.insertInto(table, overwrite=True)
+            broken = parsed.filter(F.col(decode.CORRUPT).isNotNull())
+            broken = broken.select("topic", "partition", "offset", F.col("value").alias("raw_value"), own.alias(BATCH))
+            broken.write.insertInto(quarantine_of(table), overwrite=True)
+        finally:
+            parsed.unpersist()
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     query = triggered(writer, trigger_seconds).start()
@@ -82,6 +97,17 @@ def ingest_realtime(
     return query
 
 
+def quarantine_of(table: str) -> str:
+    """The table that keeps a real-time table's undecodable messages."""
+    return f"{table}_quarantine"
+
+
+def read_quarantined(spark: SparkSession, table: str) -> DataFrame:
+    """The messages that did not decode: where they stand in their topic, and their value."""
+    spark.catalog.refreshTable(quarantine_of(table))
+    return spark.table(quarantine_of(table)).drop(BATCH)
+
+
 def read_realtime(spark: SparkSession, table: str) -> DataFrame:
     """A real-time table's rows with their day. A stream writes from a session of its own,
     so what this session remembers of the table's files is looked up anew."""
@@ -125,7 +151,7 @@ def ingest_declared(
     )
 
 
-def expire_declared(spark: SparkSession, table: str, declared: TableSchema, as_of: dt.date | None = None) -> int:
+def expire_declared(spark: SparkSession, table: str, declared: TableSchema, as_of: dt.date) -> int:
     """Drop the days beyond the declared retention; says how many partitions went."""
     if declared.retention_days is None:
         return 0

@@ -93,18 +93,50 @@ def test_restarted_ingestion_appends_only_what_is_new(spark, events, database, p
 def test_raw_ingestion_keeps_the_record(spark, events, database, place):
     folder, table = place("topic"), f"{database}.raw"
     publish(events, folder)
-    ingest.ingest_topic(stream(spark, folder), table, place("checkpoint"), trigger_seconds=20, name="raw", print_rows=3)
-    running = {query.name: query for query in spark.streams.active}
-    assert running.keys() >= {"raw", "raw_print"}
-    for name in ("raw", "raw_print"):
-        running[name].processAllAvailable()
-        assert running[name].lastProgress.numInputRows == events.count() or len(running[name].recentProgress) > 1
-        ingest.stop_named(spark, name)
+    query = ingest.ingest_topic(stream(spark, folder), table, place("checkpoint"), trigger_seconds=20, name="raw")
+    assert [q.name for q in spark.streams.active] == ["raw"]
+    query.processAllAvailable()
+    ingest.stop_named(spark, "raw")
     assert not any(query.name == "raw" for query in spark.streams.active)
     assert spark.table(table).schema == topics.RECORD
     assert spark.table(table).count() == events.count()
 
 
+def test_printing_brings_few_rows_to_the_driver(spark, events, database, place, capsys, monkeypatch):
+    folder, table = place("topic"), f"{database}.printed"
+    publish(events, folder, "event_id < 700")
+    publish(events, folder, "event_id >= 700")
+    query = ingest.ingest_topic(stream(spark, folder, maxFilesPerTrigger="1"), table, place("checkpoint"))
+    limits = []
+    shown = type(events).limit
+    monkeypatch.setattr(type(events), "limit", lambda self, n: limits.append(n) or shown(self, n))
+    ingest.print_batches(spark, query, table, 3, every_seconds=0.2)
+    out = capsys.readouterr().out
+    assert limits and set(limits) == {3}
+    assert out.count("|events|") == 3 * len(limits)
+    assert len(spark.streams.active) == 0 and spark.table(table).count() == events.count()
+    assert sum(p.numInputRows for p in query.recentProgress) == events.count()  # the topic is read once
+
+
+def test_ingestion_is_taken_back_whole(spark, events, database, place):
+    folder, checkpoint, table = place("topic"), place("checkpoint"), f"{database}.taken_back"
+
+    def run():
+        ingest.run_to_end(ingest.ingest_topic(stream(spark, folder), table, checkpoint, schema=EVENT))
+        spark.catalog.refreshTable(table)
+        return spark.table(table).count()
+
+    publish(events, folder, "event_id < 500")
+    assert run() == 500
+    catalog.reset_ingested(spark, table, checkpoint)
+    assert not spark.catalog.tableExists(table)
+    assert run() == 500
+    publish(events, folder, "event_id >= 500")
+    assert run() == events.count()
+    catalog.reset_ingested(spark, table, checkpoint)
+    catalog.reset_ingested(spark, table, checkpoint)  # nothing there is fine
+
+
 def test_running_job_of_the_same_name_is_replaced(spark, events, database, place):
     folder, checkpoint, table = place("topic"), place("checkpoint"), f"{database}.named"
     publish(events, folder)
@@ -182,12 +214,20 @@ def test_retention_drops_whole_days(spark, database):
     rows.write.insertInto(table, overwrite=True)
     assert spark.table(table).count() == 100
     expected = retention.retain_days(rows, "day", 3, dt.date(2024, 1, 10)).count()
-    assert retention.drop_expired(spark, table, "day", 3) == 7  # seven days, of one batch each
-    assert spark.table(table).count() == expected == 30
-    assert {r.day.day for r in spark.table(table).select("day").distinct().collect()} == {8, 9, 10}
-    assert retention.drop_expired(spark, table, "day", 3) == 0
-    assert retention.drop_expired(spark, table, "day", 3, as_of=dt.date(2030, 1, 1)) == 3
-    assert retention.drop_expired(spark, table, "day", 3) == 0
+    odd = spark.range(4).selectExpr("id", "CASE WHEN id > 0 THEN date'9999-12-31' END AS day", "'odd' AS batch")
+    odd.write.insertInto(table, overwrite=True)
+    today = dt.date(2024, 1, 10)
+    assert retention.drop_expired(spark, table, "day", 3, today) == 7  # seven days, of one batch each
+    assert spark.table(table).filter("batch = 'odd'").count() == 4  # no day, or one to come
+    catalog.drop_partitions(spark, table, [{"day": "9999-12-31", "batch": "odd"}])
+    spark.table(table).filter("batch <> 'odd'").count()
+    held = spark.table(table).filter("batch <> 'odd'")
+    assert held.count() == expected == 30
+    assert {r.day.day for r in held.select("day").distinct().collect()} == {8, 9, 10}
+    assert retention.drop_expired(spark, table, "day", 3, today) == 0
+    assert retention.drop_expired(spark, table, "day", 3, dt.date(2030, 1, 1)) == 3
+    assert retention.drop_expired(spark, table, "day", 3, dt.date(2030, 1, 1)) == 0
+    assert spark.table(table).count() == 1
 
 
 def test_declared_tables(spark, database, place):
@@ -208,7 +248,7 @@ def test_declared_tables(spark, database, place):
     assert held.columns == [*FLIGHTS.struct().names, "day"]
     assert held.select(*rows.columns).exceptAll(rows).count() == 0
     assert held.filter(F.datediff("day", F.lit("1970-01-01")) != F.col("DaysSinceEpoch")).count() == 0
-    assert realtime.expire_declared(spark, table, FLIGHTS) == 1  # exactly 3650 days old is too old
+    assert realtime.expire_declared(spark, table, FLIGHTS, dt.date(1970, 1, 1) + dt.timedelta(days=22650)) == 1  # exactly 3650 days old is too old
     assert spark.table(table).count() == 10
 
 
@@ -233,7 +273,7 @@ def test_hourly_metrics_over_many_batches_equal_the_batch_form(spark, events, da
     def run():
         rows, _ = decode.decode_json(stream(spark, folder, maxFilesPerTrigger="1"), EVENT)
         timed = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
-        ingest.run_to_end(hourly.keep_hourly_metrics(timed, table, checkpoint, lateness="60 days"))
+        ingest.run_to_end(hourly.keep_hourly_metrics(timed, table, checkpoint))
 
     def check(condition):
         chosen = events.filter(condition).select(clock.instant("ts").alias("at"), "event_type", "value")
@@ -246,10 +286,49 @@ def test_hourly_metrics_over_many_batches_equal_the_batch_form(spark, events, da
         run()
         check(f"event_id % 4 <= {part}")
         if part == 2:
-            versions = spark.table(table).count()
-            assert hourly.merge_versions(spark, table) >= 3
+            parts = spark.table(table).count()
+            assert hourly.merge_parts(spark, table) >= 3
             check("event_id % 4 <= 2")
-            assert hourly.read_hourly_metrics(spark, table).count() == spark.table(table).count() < versions
-            assert hourly.merge_versions(spark, table) == 0
-    hourly.merge_versions(spark, table)
+            assert hourly.read_hourly_metrics(spark, table).count() == spark.table(table).count() < parts
+            assert hourly.merge_parts(spark, table) == 0
+    hourly.merge_parts(spark, table)
     check("true")
+
+
+def test_a_merge_counts_once_even_while_what_it_replaces_is_there(spark, events, database, place, monkeypatch):
+    folder, table = place("topic"), f"{database}.hourly"
+    publish(events, folder)
+    rows, _ = decode.decode_json(stream(spark, folder), EVENT)
+    timed = rows.select(clock.instant("ts").alias("at"), "event_type", "value")
+    ingest.run_to_end(hourly.keep_hourly_metrics(timed, table, place("checkpoint")))
+    before = sorted(map(tuple, hourly.read_hourly_metrics(spark, table).collect()))
+    monkeypatch.setattr(catalog, "drop_partitions", lambda *_: None)  # the merge stops here
+    assert hourly.merge_parts(spark, table) == 1
+    assert sorted(map(tuple, hourly.read_hourly_metrics(spark, table).collect())) == before
+
+
+def test_undecodable_messages_are_kept_apart(spark, database, place):
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    values = ['{"id": 1}', "broken", None, '{"id": "two"}', '{"id": 2}', "{", '{"id": null}']
+    rows = spark.createDataFrame(list(enumerate(values)), "n bigint, v string")
+    folder, checkpoint, table = place("topic"), place("checkpoint"), f"{database}.mixed"
+    topics.publish_to_folder(topics.records(rows, "q", F.col("n"), F.col("v"), F.col("n"), F.timestamp_seconds("n")), folder)
+    realtime.create_realtime_table(spark, table, schema)
+
+    def run():
+        source = topics.read_topic(spark, "q", folder=folder)
+        ingest.run_to_end(realtime.ingest_realtime(source, table, schema, F.lit("2024-01-01").cast("date"), checkpoint))
+
+    def check():
+        assert sorted(r.id or 0 for r in realtime.read_realtime(spark, table).collect()) == [0, 1, 2]
+        bad = realtime.read_quarantined(spark, table).collect()
+        assert sorted((r.offset, r.raw_value and bytes(r.raw_value).decode()) for r in bad) == [
+            (1, "broken"), (2, None), (3, '{"id": "two"}'), (5, "{"),
+        ]
+
+    run()
+    check()
+    for commit in Path(checkpoint, "commits").iterdir():  # the batch runs again
+        commit.unlink()
+    run()
+    check()
