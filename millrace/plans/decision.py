@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace import workspace
 from millrace.functions import clock
 from millrace.functions.money import amount, cents, revenue
 from millrace.operators import running, sets
@@ -661,20 +662,20 @@ GROUP BY l_returnflag
 def ds_correlated(spark: SparkSession, directory: str) -> DataFrame:
     """Lines of more than 1.2 times their part's mean quantity, by return flag.
 
-    Lines of one part, flag and quantity are counted first. Quantities are few, so even a
-    hot part is a handful of counts, and its mean can be set beside them by a window. The
-    subquery itself would join every raw line of the part to its mean in one task.
+    Each part's mean is written down first, one row per part. Lines and means are then both
+    scans, so the join can be split where a part is hot, however many quantities it has;
+    the subquery itself would join behind a sum, where it cannot.
     """
     lines = _read(spark, directory, "lineitem").filter("l_quantity IS NOT NULL AND l_partkey IS NOT NULL")
-    counted = lines.groupBy("l_partkey", "l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
-    part = Window.partitionBy("l_partkey")
-    quantity = F.col("n") * F.col("l_quantity")
-    mean = F.sum(quantity).over(part) / F.sum("n").over(part)
+    path = workspace.fresh_path(spark, "part-means")
+    means = lines.groupBy("l_partkey").agg((F.sum("l_quantity") / F.count("*")).alias("mean"))
+    means.write.parquet(path)
+    known = spark.read.schema(means.schema).parquet(path)
     return (
-        counted.withColumn("mean", mean)
+        lines.join(known, "l_partkey")
         .filter("l_quantity > 1.2D * mean")
         .groupBy(F.col("l_returnflag").alias("returnflag"))
-        .agg(F.sum("n").alias("n_lines"), F.sum(quantity).alias("quantity"))
+        .agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"))
     )
 
 
