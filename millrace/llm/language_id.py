@@ -15,10 +15,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textscan
+from millrace.llm.sampling import first_by_hash
 
 #: Trigrams are hashed to this many counters.
 GRAMS = 1 << 15
@@ -45,28 +46,24 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     """Learn from the rows where ``usable`` holds and text and language are not null.
 
     A language is learned from the ``SAMPLE`` rows that come first by a hash of their id, or
-    from all if it has fewer. Trigram counts are added up by Spark; what reaches the driver
-    is the model itself. Without usable rows the model knows no language.
+    from all if it has fewer; rows without an id are not learned from. Trigram counts are
+    added up by Spark; what reaches the driver is the model itself. Without usable rows the
+    model knows no language.
     """
-    given = docs.filter(usable & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(id_col).alias("id")
-    )
-    first = Window.partitionBy("lang").orderBy("order", "id")
-    chosen = given.filter("lang IS NOT NULL").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= SAMPLE)
-    last = {r.lang: (r.order, r.id) for r in chosen.groupBy("lang").agg(F.max(F.struct("order", "id")).alias("l")).select("lang", "l.*").collect()}
-    if not last:
+    lang = F.col(lang_col).cast("string")
+    known = docs.filter(usable & F.col(text_col).isNotNull() & lang.isNotNull())
+    names = sorted(r[0] for r in known.select(lang).distinct().collect())
+    if not names:
         return LanguageModel((), np.zeros((GRAMS, 0)))
-    # Reading the texts by the bound found needs no join.
-    lang, order = F.col(lang_col).cast("string"), F.xxhash64(F.col(id_col).cast("string"))
-    within = F.lit(False)
-    for name, (bound, _) in last.items():
-        within = within | ((lang == name) & (order <= bound))
-    texts = docs.filter(usable & F.col(text_col).isNotNull() & within).select(lang.alias("lang"), F.col(text_col).alias("text"))
-    counted = texts.mapInArrow(_counter(sorted(last)), "lang int, gram int, n long")
-    counts = np.full((GRAMS, len(last)), 0.5)
+    chosen = first_by_hash(known.select(lang.alias("lang"), F.col(id_col).alias("__id")), "lang", F.col("__id"), SAMPLE, 3)
+    # Bounded by SAMPLE rows for each language.
+    ids = F.broadcast(chosen.select("__id").distinct())
+    texts = known.join(ids, F.col(id_col) == F.col("__id")).select(lang.alias("lang"), F.col(text_col).alias("text"))
+    counted = texts.mapInArrow(_counter(names), "lang int, gram int, n long")
+    counts = np.full((GRAMS, len(names)), 0.5)
     for row in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.gram, row.lang] += row.n
-    return LanguageModel(tuple(sorted(last)), counts / counts.sum(axis=0))
+    return LanguageModel(tuple(names), counts / counts.sum(axis=0))
 
 
 def predict(model: LanguageModel, rows: DataFrame, text_col: str = "text") -> DataFrame:

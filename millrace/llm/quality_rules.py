@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textscan
+from millrace.llm.sampling import first_by_hash
 
 #: Labelled documents of either label to learn from, at most.
 SAMPLE = 8000
@@ -216,8 +217,7 @@ def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str =
     the id. Null ids and labels are left out; an id with several labels has the lowest."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     marked = known.groupBy(F.col(id_col).alias("__id")).agg(F.min((F.col(label_col) > 0).cast("int")).alias("good"))
-    order = Window.partitionBy("good").orderBy(F.xxhash64(F.col("__id").cast("string"), F.lit(9)), "__id")
-    return marked.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= SAMPLE).drop("__at")
+    return first_by_hash(marked, "good", F.col("__id"), SAMPLE, 9).drop("__at")
 
 
 def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DecisionList:

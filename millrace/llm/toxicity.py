@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, textscan
+from millrace.llm.sampling import first_by_hash
 
 #: Labelled documents of either label to learn from, and which part of them (every so many)
 #: is kept from training to set thresholds with.
@@ -75,9 +76,8 @@ def train(
     usable = F.lit(True) if usable is None else usable
     known = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     marked = known.groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("__id").cast("string"), F.lit(6)), "__id")
     # Bounded by the parameters above, whatever the number of labels.
-    sample = marked.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SAMPLE)
+    sample = first_by_hash(marked, "label", F.col("__id"), SAMPLE, 6).withColumnRenamed("__at", "at")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
 
     tongues = language_id.learn(docs, usable, text_col, lang_col, id_col)

@@ -107,7 +107,7 @@ def test_covering_is_precise_and_stops():
     covered = np.zeros(len(values), bool)
     for rule in rules:
         covered |= Q._covers(rule, values)
-    assert (covered == bad).mean() > 0.95
+    assert (covered == bad).mean() > 0.9
     assert Q.cover(values[:400], rng.random(400) < 0.1, values[400:], rng.random(200) < 0.1) == []
 
 
