@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
@@ -61,7 +62,7 @@ def test_published_messages(spark):
         ("1", {"FlightNum": 1, "TailNum": "N1", "extra": "x"}),
         ("2", {"FlightNum": 2, "extra": "y"}),
     ]
-    declared = publish.messages(rows, "json", schema="flights")
+    declared = publish.messages(rows, "json", schema="airlineStats")
     assert declared.columns == ["value"]
     good, bad = decode.decode_json(declared, FLIGHTS.struct())
     assert bad.count() == 0
@@ -118,11 +119,12 @@ def test_realtime_job(spark, tmp_path):
     topics.publish_to_folder(topics.records(rows, "trips-topic", id_column, value, id_column, F.timestamp_seconds("n")), folder)
     arguments = ["--schemaFile", str(tmp_path / "schema.json"), "--tableConfigFile", str(tmp_path / "config.json")]
     arguments += ["--database", database, "--topicFolder", folder]
-    realtime_job.run(spark, realtime_job.options(arguments))
+    as_of = (dt.date(1970, 1, 1) + dt.timedelta(days=19019)).isoformat()
+    realtime_job.run(spark, realtime_job.options([*arguments, "--asOf", as_of]))
     held = realtime.read_realtime(spark, f"{database}.trips")
     assert held.count() == 60
     assert {r.who for r in held.select("who").distinct().collect()} == {"u", "nobody"}
-    realtime_job.run(spark, realtime_job.options([*arguments, "--expireOnly"]))
+    realtime_job.run(spark, realtime_job.options([*arguments, "--expireOnly", "--asOf", as_of]))
     kept = realtime.read_realtime(spark, f"{database}.trips")
     assert sorted(r.days for r in kept.select("days").distinct().collect()) == list(range(19010, 19020))
     assert kept.count() == 30
