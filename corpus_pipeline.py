@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = bpe.encode_digests(docs.select("doc_id", "text"), vocabulary_text())
+    found = bpe.encode_digests(docs.select("doc_id", "text"), vocabulary_text(), keep=["doc_id"])
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

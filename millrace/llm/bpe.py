@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
@@ -293,22 +293,24 @@ def _encoder(text: str) -> Encoder:
     return _encoders[text]
 
 
-def encode(rows: DataFrame, vocabulary_text: str, text_col: str = "text") -> DataFrame:
-    """Add ``ids array<int>`` and ``decoded string`` to rows, which keep all columns; columns
-    of these names are replaced.
+def encode(rows: DataFrame, vocabulary_text: str, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``ids array<int>`` and ``decoded string`` to rows, which keep all columns, or those
+    of ``keep``; columns of these names are replaced.
 
     Special tokens in a text are encoded as such and none are added. Decoding joins tokens
     by a space, as the library does for a file without a decoder. Whole texts are encoded;
     a null or empty text, or one of white space, has no ids and decodes to the empty string.
     """
-    return _mapped(rows, vocabulary_text, text_col, {"ids": "array<int>", "decoded": "string"}, _whole)
+    return _mapped(rows, vocabulary_text, text_col, keep, {"ids": "array<int>", "decoded": "string"}, _whole)
 
 
-def encode_digests(rows: DataFrame, vocabulary_text: str, text_col: str = "text") -> DataFrame:
+def encode_digests(
+    rows: DataFrame, vocabulary_text: str, text_col: str = "text", keep: Sequence[str] | None = None
+) -> DataFrame:
     """As ``encode``, but adds ``n_tokens long``, and the SHA-256 of the ids (decimal, joined
     by a space) and of the decoded text: ``ids_sha256`` and ``decoded_sha256``."""
     return _mapped(
-        rows, vocabulary_text, text_col, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, _digests
+        rows, vocabulary_text, text_col, keep, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, _digests
     )
 
 
@@ -324,20 +326,20 @@ def _digests(found: list[tuple[bytes, bytes]]) -> list[pa.Array]:
     ]
 
 
-def _mapped(rows: DataFrame, vocabulary_text: str, text_col: str, added: dict[str, str], results) -> DataFrame:
-    work = rows.withColumn("__text", F.col(text_col))
-    kept = rows.drop(*added)
-    columns, names = kept.columns, list(added)
-    schema = kept.withColumns({n: F.lit(None).cast(t) for n, t in added.items()}).schema
+def _mapped(
+    rows: DataFrame, vocabulary_text: str, text_col: str, keep: Sequence[str] | None, added: dict[str, str], results
+) -> DataFrame:
+    columns, names = [c for c in (rows.columns if keep is None else keep) if c not in added], list(added)
+    schema = rows.select(*columns).withColumns({n: F.lit(None).cast(t) for n, t in added.items()}).schema
     shipped = rows.sparkSession.sparkContext.broadcast(vocabulary_text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value)
         for whole in parts:
-            for batch in textscan.pieces(whole, "__text", _PIECE):
-                texts = [(x or b"").split() for x in batch.column("__text").cast(pa.binary()).to_pylist()]
+            for batch in textscan.pieces(whole, text_col, _PIECE):
+                texts = [(x or b"").split() for x in textscan.texts_of(batch, text_col).cast(pa.binary()).to_pylist()]
                 encoder.learn(texts)
                 found = [encoder.encode(x) for x in texts]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *results(found)], [*columns, *names])
 
-    return work.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

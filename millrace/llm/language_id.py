@@ -8,7 +8,7 @@ another language raises the log-likelihood by more than a penalty per language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -66,9 +66,9 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     return LanguageModel(tuple(names), counts / counts.sum(axis=0))
 
 
-def predict(model: LanguageModel, rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``proportions`` to rows, which keep all columns; a
-    column of one of these names is replaced.
+def predict(model: LanguageModel, rows: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``lang_pred``, ``score`` and ``proportions`` to rows, which keep all columns, or
+    those of ``keep``; a column of one of these names is replaced.
 
     ``proportions`` maps the languages of the chosen set to their shares, which sum to 1.
     ``lang_pred`` has the largest share (ties: first by name), and ``score`` is that share;
@@ -77,19 +77,17 @@ def predict(model: LanguageModel, rows: DataFrame, text_col: str = "text") -> Da
     if the model knows no language. Whole texts are used.
     """
     added = ["lang_pred", "score", "proportions"]
-    kept = rows.drop(*added)
-    columns = kept.columns
+    columns = [c for c in (rows.columns if keep is None else keep) if c not in added]
     shipped = rows.sparkSession.sparkContext.broadcast(model)
-    work = kept.withColumn("__text", F.col(text_col))
-    schema = kept.withColumns(
+    schema = rows.select(*columns).withColumns(
         {"lang_pred": F.lit(""), "score": F.lit(0.0), "proportions": F.lit(None).cast("map<string,double>")}
     ).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for batch in textscan.pieces(whole, "__text"):
+            for batch in textscan.pieces(whole, text_col):
                 names, scores, shares = [], [], []
-                for name, score, mixture in languages(shipped.value, batch.column("__text")):
+                for name, score, mixture in languages(shipped.value, textscan.texts_of(batch, text_col)):
                     names.append(name)
                     scores.append(score)
                     shares.append(mixture)
@@ -99,7 +97,7 @@ def predict(model: LanguageModel, rows: DataFrame, text_col: str = "text") -> Da
                 own = [batch.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*own, *found], [*columns, *added])
 
-    return work.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def languages(model: LanguageModel, texts: pa.Array) -> Iterator[tuple[str, float, list[tuple[str, float]] | None]]:

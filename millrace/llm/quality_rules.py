@@ -96,8 +96,9 @@ def _sql(condition: Condition) -> str:
     return f"{_ratio(condition.feature)} {'>=' if condition.above else '<'} {condition.cut!r}D"
 
 
-def with_statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add a long column ``__<name>`` for each of ``STATISTICS`` to rows, which keep all columns.
+def with_statistics(rows: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Add a long column ``__<name>`` for each of ``STATISTICS`` to rows, which keep all
+    columns, or those of ``keep``.
 
     Words are the runs between ASCII white space. ``word_chars`` counts the code points in
     words, ``n_symbols`` the characters of ``SYMBOLS``. Lines end with a line feed;
@@ -107,20 +108,19 @@ def with_statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
     digits, ``n_marks`` words whose last two bytes are no letters or digits, ``n_distinct``
     different words. A null text counts as empty: all zero.
     """
-    columns = rows.columns
+    columns = list(rows.columns if keep is None else keep)
     names = [f"__{n}" for n in STATISTICS]
-    work = rows.withColumn("__text", F.col(text_col))
-    schema = rows.withColumns({n: F.lit(0).cast("long") for n in names}).schema
+    schema = rows.select(*columns).withColumns({n: F.lit(0).cast("long") for n in names}).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for batch in textscan.pieces(whole, "__text"):
-                found = measure(batch.column("__text"))
+            for batch in textscan.pieces(whole, text_col):
+                found = measure(textscan.texts_of(batch, text_col))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in columns), *(pa.array(found[n]) for n in STATISTICS)], [*columns, *names]
                 )
 
-    return work.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 _LINE_END = np.zeros(256, bool)
@@ -313,6 +313,6 @@ def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs``, all columns, that the base rules and the learned list keep."""
     sample = F.broadcast(labelled_sample(labels, id_col, label_col).select("__id"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, F.col("doc_id") == F.col("__id"))
-    rules = learn(with_statistics(slim).drop("__id", "text"), labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("quality")))
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t"))
-    return judge(with_statistics(whole, "__t"), rules).filter("__kept").select("__row.*")
+    rules = learn(with_statistics(slim, keep=["doc_id"]), labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("quality")))
+    whole = docs.select(F.struct(*docs.columns).alias("__row"))
+    return judge(with_statistics(whole, f"__row.{text_col}"), rules).filter("__kept").select("__row.*")

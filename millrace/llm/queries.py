@@ -25,11 +25,16 @@ ORACLE: dict[str, str] = {}
 #: The vocabulary file of the queries; operators take the text of any such file.
 VOCABULARY = "word_bpe_49k.json"
 
+#: Rows that a Python worker is handed at a time. Texts are long, and memory goes by batches.
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the library importable in the executors' Python, as ``--py-files`` would."""
+    """Make the library importable in the executors' Python, as ``--py-files`` would, and
+    keep the batches that go there small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -124,7 +129,7 @@ def op3_language_id(spark: SparkSession, directory: str) -> DataFrame:
     docs = tables.read(spark, directory, "documents")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     model = language_id.learn(docs, ~held)
-    found = language_id.predict(model, docs.select("doc_id", "text"))
+    found = language_id.predict(model, docs.select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
@@ -144,7 +149,7 @@ def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     docs, labels = (tables.read(spark, directory, t) for t in ("documents", "labels"))
     held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     model = toxicity.train(docs, labels, ~held)
-    found = toxicity.score(model, docs.select("doc_id", "text"))
+    found = toxicity.score(model, docs.select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
@@ -222,8 +227,7 @@ def op8_rendezvous_shards(spark: SparkSession, directory: str) -> DataFrame:
 @query()
 def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     docs, labels = (tables.read(spark, directory, t) for t in ("documents", "labels"))
-    slim = docs.select("doc_id", F.col("text").alias("__t"))
-    measured = written(quality_rules.with_statistics(slim, "__t").drop("__t"), "statistics")
+    measured = written(quality_rules.with_statistics(docs.select("doc_id", "text"), keep=["doc_id"]), "statistics")
     judged = quality_rules.judge(measured, quality_rules.learn(measured, labels))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select(
@@ -238,5 +242,5 @@ def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
 @query()
 def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
     docs = tables.read(spark, directory, "documents").select("doc_id", "text")
-    found = bpe.encode_digests(docs, vocabulary_text())
+    found = bpe.encode_digests(docs, vocabulary_text(), keep=["doc_id"])
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

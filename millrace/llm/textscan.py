@@ -47,9 +47,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A column of a batch, or a field of a struct column as ``column.field``."""
+    outer, _, inner = column.partition(".") if column not in batch.schema.names else (column, "", "")
+    found = batch.column(outer)
+    return found.field(inner) if inner else found
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``most`` bytes."""
-    _, bounds = utf8(batch.column(column))
+    _, bounds = utf8(texts_of(batch, column))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(bounds, bounds[start] + most, "right")) - 1

@@ -9,7 +9,7 @@ labelled texts of that language are told apart best. The language is inferred fr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +23,9 @@ from millrace.llm.sampling import first_by_hash
 
 #: Labelled documents of either label to learn from, and which part of them (every so many)
 #: is kept from training to set thresholds with.
-SAMPLE, HELD = 5000, 5
+SAMPLE, HELD = 3000, 5
 #: Words of the training sample that reach the driver at most.
-TRAIN_WORDS = 5_000_000
+TRAIN_WORDS = 3_000_000
 #: A language with fewer calibration texts of either label takes the common threshold.
 FEWEST = 20
 
@@ -89,7 +89,7 @@ def train(
     network = _fit([np.frombuffer(w, np.uint64) for w in chosen["words"]], chosen["label"].to_numpy(np.float32))
     raw = ToxicityModel(network, tongues)
     shares = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    held = _scored(raw, rows.filter(F.col("at") % HELD == 0).select("label", "text"), "text").select("label", "__lang", "__logit").toPandas()
+    held = _scored(raw, rows.filter(F.col("at") % HELD == 0), "text", ["label"]).select("label", "__lang", "__logit").toPandas()
     if held["label"].nunique() < 2:
         return raw
     seen = held["label"].value_counts()
@@ -103,16 +103,16 @@ def train(
     return raw
 
 
-def score(model: ToxicityModel, rows: DataFrame, text_col: str = "text") -> DataFrame:
+def score(model: ToxicityModel, rows: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5 on) to rows, which
-    keep all columns; a column of one of these names is replaced.
+    keep all columns, or those of ``keep``; a column of one of these names is replaced.
 
     Only the text is looked at, and all of it. A null text counts as empty, and an empty
     text has the score of a text in which no filter found anything.
     """
-    kept = rows.drop("score", "predicted")
+    kept = [c for c in (rows.columns if keep is None else keep) if c not in ("score", "predicted")]
     logit = F.col("__logit") - F.col("__threshold")
-    found = _scored(model, kept, text_col).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
+    found = _scored(model, rows, text_col, kept).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
     if model.network is None:
         found = found.withColumn("score", F.lit(0.0))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("__lang", "__logit", "__threshold")
@@ -121,23 +121,20 @@ def score(model: ToxicityModel, rows: DataFrame, text_col: str = "text") -> Data
 def drop_toxic(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not predicted to be toxic."""
     model = train(docs, labels, **columns)
-    kept = [F.col(c) for c in docs.columns]
-    marked = docs.withColumn("__kept", F.struct(*kept))
-    scored = score(model, marked.select("__kept", F.col(columns.get("text_col", "text")).alias("__t")), "__t")
+    whole = docs.select(F.struct(*docs.columns).alias("__kept"))
+    scored = score(model, whole, f"__kept.{columns.get('text_col', 'text')}")
     return scored.filter("predicted = 0").select("__kept.*")
 
 
-def _scored(model: ToxicityModel, rows: DataFrame, text_col: str) -> DataFrame:
+def _scored(model: ToxicityModel, rows: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
     shipped = rows.sparkSession.sparkContext.broadcast(model)
-    columns = rows.columns
-    work = rows.withColumn("__text", F.col(text_col))
-    schema = rows.withColumns({"__lang": F.lit(""), "__logit": F.lit(0.0), "__threshold": F.lit(0.0)}).schema
+    schema = rows.select(*columns).withColumns({"__lang": F.lit(""), "__logit": F.lit(0.0), "__threshold": F.lit(0.0)}).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         for whole in parts:
-            for batch in textscan.pieces(whole, "__text", _PIECE):
-                texts = batch.column("__text")
+            for batch in textscan.pieces(whole, text_col, _PIECE):
+                texts = textscan.texts_of(batch, text_col)
                 if known.network is None:
                     tongues, logits = [language_id.UNDETERMINED] * len(texts), np.zeros(len(texts))
                 else:
@@ -148,7 +145,7 @@ def _scored(model: ToxicityModel, rows: DataFrame, text_col: str) -> DataFrame:
                 found = [pa.array(tongues, pa.string()), pa.array(logits.astype(np.float64)), pa.array(limits, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, "__lang", "__logit", "__threshold"])
 
-    return work.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +229,6 @@ def _stretches(first: np.ndarray, filled: np.ndarray, step: int) -> Iterator[tup
 def _fit(texts: list[np.ndarray], labels: np.ndarray) -> Network:
     rng = np.random.default_rng(6)
     network = _started(texts, labels, rng)
-    buckets = [_buckets(x) for x in texts]
     rates = {"tables": np.full(network.tables.shape, 1e-3, np.float32)} | {w: np.full(f.shape, 1e-2, np.float32) for w, f in network.filters.items()}
     rates |= {"bias": np.full(network.bias.shape, 1e-2, np.float32), "out": np.full(network.out.shape, 1e-2, np.float32)}
     weight = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)).astype(np.float32)
@@ -243,7 +239,7 @@ def _fit(texts: list[np.ndarray], labels: np.ndarray) -> Network:
         for at in rng.permutation(np.arange(0, len(order), _BATCH)).tolist():
             chosen = [i for i in order[at : at + _BATCH].tolist() if len(texts[i])]
             if chosen:
-                _step(network, rates, [buckets[i] for i in chosen], labels[chosen], weight[chosen])
+                _step(network, rates, [_buckets(texts[i]) for i in chosen], labels[chosen], weight[chosen])
     return network
 
 
