@@ -63,8 +63,12 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
         F.sum("weight").over(later).alias("sharing"),
         F.row_number().over(level).alias("at"),
     ).withColumn("rest", F.col("total") - F.col("stopped"))
+
+    def exact(name: str, digits: int) -> Column:
+        return F.col(name).cast(f"decimal({digits},0)")
+
     # The first source whose share of the rest does not exceed its cap sets the level.
-    fits = (F.col("rest") * F.col("weight")) <= (F.col("cap") * F.col("sharing"))
+    fits = exact("rest", 20) * exact("weight", 17) <= exact("cap", 20) * exact("sharing", 17)
     first = F.min(F.when(fits, F.struct("at", "rest", "sharing"))).over(everything)
     levelled = told.withColumn("first", first)
     free = F.col("first").isNotNull() & (F.col("at") >= F.col("first.at"))
