@@ -1,0 +1,37 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.llm import filters
+
+
+def told(rows, ids):
+    return {r.k: r["__maybe"] for r in filters.maybe_in(rows, F.col("k"), ids, "id").collect()}
+
+
+def test_no_id_is_missed_and_few_others_are_let_through(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7 - 50_000).alias("k"), F.lit("x").alias("__x"))
+    ids = spark.range(0, 20_000, 10).select((F.col("id") * 7 - 50_000).alias("id"))
+    found = told(rows, ids)
+    wanted = {r.id for r in ids.collect()}
+    assert all(found[k] for k in wanted)
+    assert sum(found.values()) < len(wanted) + 50
+
+
+def test_a_full_map_lets_everything_through(spark, monkeypatch):
+    monkeypatch.setattr(filters, "BITS", 64)
+    found = told(spark.range(500).select(F.col("id").alias("k")), spark.range(2000))
+    assert all(found.values())
+
+
+def test_rows_stay_where_they_are(spark, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    rows = spark.range(1000, numPartitions=4).select(F.col("id").alias("k"))
+    plan = filters.maybe_in(rows, F.col("k"), spark.range(10), "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan  # of the map's words only
+
+
+def test_nulls_and_no_ids(spark):
+    rows = spark.createDataFrame([(None,), (5,)], "k long")
+    assert told(rows, spark.createDataFrame([], "id long")) == {None: False, 5: False}
+    assert told(rows, spark.createDataFrame([(5,), (None,)], "id long"))[5]
