@@ -137,7 +137,8 @@ def skewed_lines(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize(
-    "name", ["ds_star_join", "ds_multi_avg", "ds_theta_residual", "ds_or_ranges", "ds_rollup", "ds_lag_lead", "ds_date_funcs"]
+    "name",
+    ["ds_star_join", "ds_multi_avg", "ds_theta_residual", "ds_or_ranges", "ds_rollup", "ds_lag_lead", "ds_date_funcs", "ds_correlated"],
 )
 def test_hot_keys_of_joined_rows_are_split(spark, conf, skewed_lines, name):
     """Where lines are joined as they are, adaptive execution cuts a hot partition up; the
