@@ -28,6 +28,7 @@ def test_numbers_follow_stratum_and_hash_without_gaps(spark):
 
 def test_no_task_holds_a_hot_group(spark, conf):
     conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")  # so few rows would be broadcast themselves
     rows = spark.range(4000, numPartitions=4).select("id", F.lit("hot").alias("g"))
     held = numbered(rows, ()).groupBy(F.spark_partition_id()).agg(F.count("*").alias("rows"), F.max("n").alias("last")).collect()
     assert max(r["rows"] for r in held) < 1000 and max(r["last"] for r in held) == sum(r["rows"] for r in held) == 4000
