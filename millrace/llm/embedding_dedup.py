@@ -59,7 +59,10 @@ def near_duplicates(
       an id come back as they are: no links, no component, kept.
     * An empty table gives no rows. Other columns are not looked at.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Floats travel as they are; cosines are taken in double precision.
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
     usable = F.col("v").isNotNull() & ~F.exists(
         "v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     ) & F.exists("v", lambda x: x != 0)
@@ -129,7 +132,8 @@ def _hasher(planes: int, tables: int, seed: int):
                 rows = np.flatnonzero(widths == width)
                 if width not in normals:
                     normals[width] = np.random.default_rng([seed, width]).standard_normal((width, planes * tables))
-                values = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
+                values = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+                values = values.astype(np.float64).reshape(len(rows), width)
                 scaled = values / np.abs(values).max(axis=1, keepdims=True)
                 sides = (scaled @ normals[width] >= 0).reshape(len(rows), tables, planes)
                 codes = (sides * weights).sum(axis=2, dtype=np.uint64)
@@ -152,7 +156,7 @@ def _linker(threshold: float, counting: bool):
             low, high = batches.numbers(batch, "low"), batches.numbers(batch, "high")
             vectors = batch.column("v")
             lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             at = np.concatenate([[0], np.cumsum(lengths)])
             weight = batches.numbers(batch, "n") if counting else None
             first, second = [], []
