@@ -39,6 +39,8 @@ BLOCK_IDS = 4096
 #: has not met lately.
 REMEMBERED = 150_000
 _PIECE = 4 << 20
+#: Blocks that are packed together.
+_TOGETHER = 64
 _FIELDS = ("width", "block", "docs", "ids", "blocks")
 
 
@@ -80,29 +82,44 @@ def unpack(words: np.ndarray, count: int, width: int) -> np.ndarray:
 
 
 class Writer:
-    """Packs documents one after the other into one file; holds packed blocks only."""
+    """Packs documents one after the other into one file; holds packed blocks, and up to
+    ``_TOGETHER`` blocks of ids that are not packed yet."""
 
     def __init__(self, width: int, block: int = BLOCK_IDS):
         self.width, self.block = width, block
         self.names: list[int | None] = []
         self.lengths: list[int] = []
         self.packed: list[np.ndarray] = []
-        self.open = np.zeros(0, np.uint32)
+        self.open: list[np.ndarray] = []
+        self.waiting = 0
 
     def add(self, name: int | None, ids: np.ndarray) -> None:
         if len(ids) and int(ids.max()) >> self.width:
             raise ValueError(f"id {int(ids.max())} needs more than {self.width} bits")
         self.names.append(name)
         self.lengths.append(len(ids))
-        self.open = np.concatenate([self.open, ids])
-        whole = len(self.open) // self.block * self.block
-        for start in range(0, whole, self.block):
-            self.packed.append(pack(self.open[start : start + self.block], self.width))
-        self.open = self.open[whole:]
+        self.open.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= _TOGETHER * self.block:
+            self._pack()
+
+    def _pack(self, last: bool = False) -> None:
+        ids = np.concatenate([*self.open, np.zeros(0, np.uint32)])
+        whole = len(ids) // self.block * self.block
+        if self.block % 64:
+            blocks = [pack(ids[s : s + self.block], self.width) for s in range(0, whole, self.block)]
+        else:  # such blocks end with a word, so all are packed in one go
+            blocks = list(pack(ids[:whole], self.width).reshape(-1, self.block * self.width // 64))
+        self.packed += blocks
+        rest = ids[whole:].copy()
+        if last and len(rest):
+            self.packed.append(pack(rest, self.width))
+        self.open, self.waiting = [rest], len(rest)
 
     def write(self, out) -> int:
         """Write the file to an open stream; the number of ids."""
-        blocks = [*self.packed, pack(self.open, self.width)] if len(self.open) else self.packed
+        self._pack(last=True)
+        blocks = self.packed
         starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype("<u8")
         offsets = np.concatenate([[0], np.cumsum([len(b) * 8 for b in blocks])]).astype("<u8")
         out.write(MARK)
@@ -141,6 +158,9 @@ class Reader:
         first, last = start // self.block, (end - 1) // self.block
         self.source.seek(self.begin + int(self.offsets[first]))
         words = np.frombuffer(self.source.read(int(self.offsets[last + 1] - self.offsets[first])), "<u8")
+        if self.block % 64 == 0:
+            held = min((last + 1) * self.block, self.ids) - first * self.block
+            return unpack(words, held, self.width)[start - first * self.block : end - first * self.block]
         parts = []
         for k in range(first, last + 1):
             at = slice(*((self.offsets[k : k + 2] - self.offsets[first]) // 8).tolist())
@@ -233,7 +253,9 @@ def read_files(files: DataFrame) -> DataFrame:
     before it), ``n_tokens`` and ``ids_crc32`` (of its ids as unsigned 32-bit numbers)."""
     # One row per file: the table is small, whatever the files hold.
     before = F.coalesce(F.sum("ids").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = files.withColumn("before", before.cast("long")).repartition("path")
+    # The rows are few but each stands for a file, so they are not to be merged into one task.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = files.withColumn("before", before.cast("long")).repartition(tasks, "path")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
