@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textscan
 
-#: Encodings of words that a Python worker remembers; beyond that it
+#: Encodings of words that a task remembers; beyond that it
 #: forgets those that it has not met lately.
 REMEMBERED = 120_000
 #: Texts are encoded together up to this many bytes, as one trie.
@@ -224,11 +224,6 @@ def _symbols(word: str) -> str:
     return word.encode().decode("latin-1").translate(_byte_names())
 
 
-@cache
-def vocabulary(text: str) -> Vocabulary:
-    return Vocabulary(text)
-
-
 Encoded = tuple[bytes, bytes]
 
 
@@ -282,17 +277,6 @@ class Encoder:
         return b" ".join(ids), b" ".join(tokens)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(text: str) -> Encoder:
-    """The worker's own encoder: what it has learned serves the next task too."""
-    if text not in _encoders:
-        _encoders.clear()
-        _encoders[text] = Encoder(vocabulary(text))
-    return _encoders[text]
-
-
 def encode(rows: DataFrame, vocabulary_text: str, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``ids array<int>`` and ``decoded string`` to rows, which keep all columns, or those
     of ``keep``; columns of these names are replaced.
@@ -334,7 +318,7 @@ def _mapped(
     shipped = rows.sparkSession.sparkContext.broadcast(vocabulary_text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shipped.value)
+        encoder = Encoder(Vocabulary(shipped.value))  # goes with the task; workers live on
         for whole in parts:
             for batch in textscan.pieces(whole, text_col, _PIECE):
                 texts = [(x or b"").split() for x in textscan.texts_of(batch, text_col).cast(pa.binary()).to_pylist()]
