@@ -28,9 +28,9 @@ from millrace.llm import textscan
 
 #: Encodings of words that a task remembers; beyond that it
 #: forgets those that it has not met lately.
-REMEMBERED = 120_000
+REMEMBERED = 100_000
 #: Texts are encoded together up to this many bytes, as one trie.
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 
 _NEVER = 1 << 60
 
