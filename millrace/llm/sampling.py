@@ -19,6 +19,8 @@ def first_by_hash(rows: DataFrame, group: str, key: Column, most: int, seed: int
     hashed = rows.filter(F.col(group).isNotNull()).withColumn("__order", F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(_STEPS)))
     share = F.lit(2.0 * most) / F.col("__count").cast("double")
     counts = hashed.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__count"))
-    low = hashed.join(counts, F.col(group) == F.col("__group")).filter(F.col("__order") < share * float(_STEPS))
+    # A row per group; callers hold a model of every group, so groups are few. Broadcast, the
+    # counts reach the rows without dealing these out by group first.
+    low = hashed.join(F.broadcast(counts), F.col(group) == F.col("__group")).filter(F.col("__order") < share * float(_STEPS))
     first = Window.partitionBy(group).orderBy("__order", key)
     return low.withColumn("__at", F.row_number().over(first)).filter(F.col("__at") <= most).drop("__order", "__group", "__count")
