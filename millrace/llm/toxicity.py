@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, textscan
@@ -24,8 +24,8 @@ from millrace.llm.sampling import first_by_hash
 #: Labelled documents of either label to learn from, and which part of them (every so many)
 #: is kept from training to set thresholds with.
 SAMPLE, HELD = 3000, 5
-#: Words of the training sample that reach the driver at most.
-TRAIN_WORDS = 3_000_000
+#: Words of one text that are learned from at most. A longer text gives runs of so many words.
+TEXT_WORDS, RUN = 2_000, 100
 #: A language with fewer calibration texts of either label takes the common threshold.
 FEWEST = 20
 
@@ -69,7 +69,8 @@ def train(
     ``id_col`` alone.
 
     At most ``SAMPLE`` documents of either label are used, those that come first by a hash
-    of their id. Null labels and ids are left out; an id that is labelled
+    of their id, and of each at most ``TEXT_WORDS`` words, in runs from all over the text; of
+    documents that share an id, the network is fitted to one. Null labels and ids are left out; an id that is labelled
     several times counts as toxic if any label says so. If either label is missing, the
     model scores every text 0.
     """
@@ -81,12 +82,13 @@ def train(
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
 
     tongues = language_id.learn(docs, usable, text_col, lang_col, id_col)
-    ordered = rows.filter(F.col("at") % HELD != 0).mapInArrow(_hashed_words, "id string, label int, words binary")
-    so_far = F.sum(F.length("words")).over(Window.orderBy(F.xxhash64("id", F.lit(7)), "id"))
-    chosen = ordered.withColumn("bytes", so_far).filter(F.col("bytes") <= TRAIN_WORDS * 8).select("label", "words").toPandas()
-    if chosen["label"].nunique() < 2:
+    texts = rows.filter(F.col("at") % HELD != 0).mapInArrow(_hashed_words, "label int, at int, words binary")
+    # Bounded by SAMPLE and TEXT_WORDS, whatever the number of rows with one id.
+    chosen = texts.groupBy("label", "at").agg(F.min("words").alias("words")).toArrow().sort_by([("at", "ascending"), ("label", "ascending")])
+    truth = chosen["label"].to_numpy()
+    if len(np.unique(truth)) < 2:
         return ToxicityModel(None, tongues)
-    network = _fit([np.frombuffer(w, np.uint64) for w in chosen["words"]], chosen["label"].to_numpy(np.float32))
+    network = _fit([np.frombuffer(w.as_buffer(), np.uint64) for w in chosen["words"]], truth.astype(np.float32))
     raw = ToxicityModel(network, tongues)
     shares = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     held = _scored(raw, rows.filter(F.col("at") % HELD == 0), "text", ["label"]).select("label", "__lang", "__logit").toPandas()
@@ -158,10 +160,20 @@ def _hashed_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in parts:
         for batch in textscan.pieces(whole, "text"):
             words, first = _words(batch.column("text"))
-            lines = [words[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__id").cast(pa.string()), batch.column("label"), pa.array(lines, pa.binary())], ["id", "label", "words"]
-            )
+            lines = [_spread(words[s:e]).tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("at"), pa.array(lines, pa.binary())], ["label", "at", "words"])
+
+
+def _spread(words: np.ndarray) -> np.ndarray:
+    """All words of a text, or of a long one a run from each of as many equal stretches as
+    there may be runs. Where in its stretch a run begins is drawn by a hash of the text."""
+    if len(words) <= TEXT_WORDS:
+        return words
+    runs = TEXT_WORDS // RUN
+    cuts = np.arange(runs + 1) * len(words) // runs
+    drawn = textscan.mix(np.bitwise_xor.reduce(words) + np.arange(runs, dtype=np.uint64))
+    starts = cuts[:-1] + (drawn % (np.diff(cuts) - RUN + 1).astype(np.uint64)).astype(np.int64)
+    return words[(starts[:, None] + np.arange(RUN)).ravel()]
 
 
 def _buckets(words: np.ndarray) -> np.ndarray:

@@ -106,6 +106,29 @@ def test_without_both_labels_everything_scores_nothing(spark, marks):
     assert {(r.score, r.predicted) for r in toxicity.score(model, docs(spark, rows)).collect()} == {(0.0, 0)}
 
 
+def test_a_giant_labelled_text_pushes_no_other_out(spark):
+    """It comes first by each hash of its id, and has more words than were once learned from in all."""
+    rows, marks = corpus()
+    name = F.col("id").cast("string")
+    drawn, ordered = F.pmod(F.xxhash64(name, F.lit(6)), F.lit(1 << 40)), F.xxhash64(name, F.lit(7))
+    least = spark.range(len(rows)).agg(F.min(drawn), F.min(ordered)).first()
+    giant = spark.range(1000, 3_000_000).filter((drawn < least[0]) & (ordered < least[1])).first().id
+    frame = docs(spark, [*rows, (giant, "word " * 3_000_001, "xx")])
+    model = toxicity.train(frame, labels(spark, [*marks, (giant, 0)], "toxic"))
+    assert model.network is not None
+    rows, marks = corpus(seed=2)
+    told = {r.doc_id: r.predicted for r in toxicity.score(model, docs(spark, rows)).collect()}
+    assert sum(told[i] == m for i, m in marks) / len(marks) > 0.95
+
+
+def test_long_texts_are_learned_from_all_over():
+    words = np.arange(1_000_003, dtype=np.uint64)
+    kept = toxicity._spread(words)
+    assert len(kept) == toxicity.TEXT_WORDS and (np.diff(kept.astype(np.int64)) > 0).all()
+    assert np.histogram(kept, 10, (0, len(words)))[0].min() >= toxicity.TEXT_WORDS // 10 - 2 * toxicity.RUN
+    assert all(len(toxicity._spread(words[:n])) == n for n in (0, 7, toxicity.TEXT_WORDS))
+
+
 def test_threshold_makes_the_fewest_mistakes():
     rng = np.random.default_rng(2)
     for _ in range(30):
