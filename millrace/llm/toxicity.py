@@ -13,21 +13,24 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, textscan
+from millrace.llm import filters, language_id, textscan
 from millrace.llm.sampling import first_by_hash
 
 #: Labelled documents of either label to learn from, and which part of them (every so many)
-#: is kept from training to set thresholds with.
+#: is kept from training. Thresholds are set with all labelled documents not trained with.
 SAMPLE, HELD = 3000, 5
 #: Words of one text that are learned from at most. A longer text gives runs of so many words.
 TEXT_WORDS, RUN = 2_000, 100
 #: A language with fewer calibration texts of either label takes the common threshold.
 FEWEST = 20
+#: Logits of calibration texts are counted in so many cells.
+CELLS = 4096
 
 _TABLES, _BUCKETS, _DIMS = 3, 1 << 14, 6
 _WIDTHS, _FILTERS = (1, 2, 3), 8
@@ -70,7 +73,8 @@ def train(
 
     At most ``SAMPLE`` documents of either label are used, those that come first by a hash
     of their id, and of each at most ``TEXT_WORDS`` words, in runs from all over the text; of
-    documents that share an id, the network is fitted to one. Null labels and ids are left out; an id that is labelled
+    documents that share an id, the network is fitted to one. Thresholds are set with all
+    labelled documents that the network was not fitted to. Null labels and ids are left out; an id that is labelled
     several times counts as toxic if any label says so. If either label is missing, the
     model scores every text 0.
     """
@@ -91,16 +95,17 @@ def train(
     network = _fit([np.frombuffer(w.as_buffer(), np.uint64) for w in chosen["words"]], truth.astype(np.float32))
     raw = ToxicityModel(network, tongues)
     shares = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    held = _scored(raw, rows.filter(F.col("at") % HELD == 0), "text", ["label"]).select("label", "__lang", "__logit").toPandas()
-    if held["label"].nunique() < 2:
+    trained = F.broadcast(sample.filter(F.col("at") % HELD != 0).select("__id"))
+    held = _by_cell(raw, docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")), marked.join(trained, "__id", "left_anti"))
+    seen = held.groupby("label")["n"].sum()
+    if len(seen) < 2:
         return raw
-    seen = held["label"].value_counts()
-    weights = held["label"].map(lambda x: shares[x] / seen[x]).to_numpy()
-    logits, truth = held["__logit"].to_numpy(), held["label"].to_numpy() == 1
+    n, logits, truth = held["n"].to_numpy(), held["logit"].to_numpy(), held["label"].to_numpy() == 1
+    weights = n * held["label"].map(lambda x: shares[x] / seen[x]).to_numpy()
     raw.common = _threshold(logits, truth, weights)
-    for name in held["__lang"].unique():
-        own = (held["__lang"] == name).to_numpy()
-        if min((truth & own).sum(), (~truth & own).sum()) >= FEWEST:
+    for name in held["lang"].unique():
+        own = (held["lang"] == name).to_numpy()
+        if min(n[truth & own].sum(), n[~truth & own].sum()) >= FEWEST:
             raw.thresholds[name] = _threshold(logits[own], truth[own], weights[own])
     return raw
 
@@ -150,6 +155,26 @@ def _scored(model: ToxicityModel, rows: DataFrame, text_col: str, columns: list[
     return rows.mapInArrow(run, schema)
 
 
+def _by_cell(model: ToxicityModel, texts: DataFrame, marked: DataFrame) -> pd.DataFrame:
+    """How many texts of the marked ids there are (``n``), by label, inferred language and
+    cell of the logit, which is given by its middle.
+
+    Cells are ``CELLS`` equal parts of what the network can give at all. Texts are scored
+    where they are read, and only ids, languages and cells are joined with the labels.
+    """
+    def digest(column: str) -> Column:
+        return F.xxhash64(F.col(column).cast("string"))
+
+    reach = float(np.abs(model.network.out).sum()) or 1.0
+    least, step = float(model.network.base) - reach, 2 * reach / CELLS
+    near = filters.maybe_in(texts, digest("__id"), marked.select(digest("__id").alias("__digest")), "__digest").filter("__maybe")
+    cell = F.least(F.greatest(F.floor((F.col("__logit") - least) / step), F.lit(0)), F.lit(CELLS - 1))
+    placed = _scored(model, near, "text", ["__id"]).select("__id", F.col("__lang").alias("lang"), cell.alias("cell"))
+    # Bounded by labels, languages and cells.
+    counts = placed.join(marked, "__id").groupBy("label", "lang", "cell").agg(F.count("*").alias("n")).orderBy("lang", "cell", "label").toPandas()
+    return counts.assign(logit=least + (counts["cell"].astype("float64") + 0.5) * step)
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, bounds = textscan.utf8(pc.utf8_lower(texts))
     starts, lengths, first = textscan.spans(data, bounds, _SEPARATORS)

@@ -129,6 +129,35 @@ def test_long_texts_are_learned_from_all_over():
     assert all(len(toxicity._spread(words[:n])) == n for n in (0, 7, toxicity.TEXT_WORDS))
 
 
+def test_thresholds_are_set_with_all_labelled_rows_not_trained_with(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    greek = str.maketrans("abcdefghijklmnoprstuvw", "αβγδεζηθικλμνξοπρστυφχ")
+    rows, marks = corpus(1600)
+    rows = [(i, text.translate(greek) + " zzbad" * m, "yy") if i // 4 % 8 == 0 else (i, text, lang) for (i, text, lang), (_, m) in zip(rows, marks)]
+    frame, marked = docs(spark, rows), labels(spark, marks, "toxic")
+    counted, by_cell = [], toxicity._by_cell
+    monkeypatch.setattr(toxicity, "_by_cell", lambda *given: counted.append(by_cell(*given)) or counted[0])
+    model = toxicity.train(frame, marked)
+    # A fifth of 100 rows of either label is held; a language with an eighth of the rows has few among them.
+    assert set(model.thresholds) == {"xx", "yy"}
+    seen = counted[0].groupby("label")["n"].sum()
+    assert seen.to_dict() == {0: 1200 - 80, 1: 400 - 80}
+    # Cells are fine enough: rows are on the side that the exact logits would put them.
+    told = toxicity.score(model, frame).join(marked, "doc_id")
+    assert told.filter("predicted = toxic").count() > 0.95 * len(rows)
+
+
+def test_cells_hold_the_exact_logits(spark, model):
+    rows, marks = corpus(seed=2)
+    ids = labels(spark, marks, "label").withColumnRenamed("doc_id", "__id")
+    texts = docs(spark, [*rows, (None, "no id", "xx"), (5000, "no label", "xx")]).selectExpr("doc_id AS __id", "text")
+    cells = toxicity._by_cell(model, texts, ids)
+    words, first = toxicity._words(pa.array([text for _, text, _ in rows]))
+    exact = np.sort(toxicity._logits(model.network, words, first))
+    step = float(2 * np.abs(model.network.out).sum() / toxicity.CELLS)
+    assert np.repeat(np.sort(cells["logit"]), cells["n"].to_numpy()[np.argsort(cells["logit"], kind="stable")]) == pytest.approx(exact, abs=step)
+
+
 def test_threshold_makes_the_fewest_mistakes():
     rng = np.random.default_rng(2)
     for _ in range(30):
