@@ -147,6 +147,14 @@ def test_thresholds_are_set_with_all_labelled_rows_not_trained_with(spark, monke
     assert told.filter("predicted = toxic").count() > 0.95 * len(rows)
 
 
+def test_five_thousand_rows_of_a_label_less_a_fifth_are_learned_from(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "_fit", lambda texts, truth: fitted.extend(truth) or toxicity._started(texts, truth, np.random.default_rng(0)))
+    rows = [(i, f"word{i % 7} zz{i % 2}", "xx") for i in range(10_400)]
+    toxicity.train(docs(spark, rows), labels(spark, [(i, i % 2) for i, *_ in rows], "toxic"))
+    assert (fitted.count(0), fitted.count(1)) == (4000, 4000)
+
+
 def test_cells_hold_the_exact_logits(spark, model):
     rows, marks = corpus(seed=2)
     ids = labels(spark, marks, "label").withColumnRenamed("doc_id", "__id")
