@@ -11,7 +11,7 @@ bands as make it sure enough that a window with just enough of a template shares
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textscan
 
-#: Notices by which licenses are known.
+#: Notices by which licenses are known. ``license_texts`` has the longer list of the query.
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": (
@@ -80,6 +80,15 @@ class _Length:
     bands: np.ndarray  # the smallest hash of each template, by band
 
 
+@dataclass(frozen=True)
+class _Short:
+    """Templates of ``width`` words, fewer than a shingle has: each is one shingle of all its words."""
+
+    width: int
+    names: tuple[str, ...]
+    hashes: np.ndarray
+
+
 def bands_for(shortest: int, block: int, containment: Fraction, sure: float) -> int:
     """Bands of one hash each that a window needs. It holds at least ``containment`` of the
     template's shingles, so a hash function agrees on both with the probability of that
@@ -89,10 +98,18 @@ def bands_for(shortest: int, block: int, containment: Fraction, sure: float) ->
     return max(1, math.ceil(math.log(1 - sure) / math.log(1 - agree))) if agree < 1 else 1
 
 
-def prepare(templates: Mapping[str, str], width: int, containment: Fraction, sure: float) -> list[_Length]:
+def _each(templates: Mapping[str, str | Sequence[str]]) -> list[tuple[str, str]]:
+    return [(name, text) for name, given in sorted(templates.items()) for text in ([given] if isinstance(given, str) else given)]
+
+
+def prepare(templates: Mapping[str, str | Sequence[str]], width: int, containment: Fraction, sure: float, short: bool = False) -> list[_Length]:
+    """Templates by length. Those with fewer than ``width`` words are left to ``prepare_short``
+    if ``short`` is set, and refused otherwise."""
     by_block: dict[int, list[tuple[str, np.ndarray]]] = {}
-    for name, text in sorted(templates.items()):
+    for name, text in _each(templates):
         shingles = np.unique(_shingles(pa.array([text]), width)[0])
+        if not len(shingles) and short:
+            continue
         if not len(shingles):
             raise ValueError(f"template {name!r} has fewer than {width} words")
         # An occurrence may be longer than its template by what was put in between.
@@ -107,14 +124,26 @@ def prepare(templates: Mapping[str, str], width: int, containment: Fraction, sur
     return lengths
 
 
+def prepare_short(templates: Mapping[str, str | Sequence[str]], width: int) -> list[_Short]:
+    by_width: dict[int, list[tuple[str, np.uint64]]] = {}
+    for name, text in _each(templates):
+        count = int(_shingles(pa.array([text]), 1)[2][-1])
+        if not count:
+            raise ValueError(f"template {name!r} has no words")
+        if count < width:
+            by_width.setdefault(count, []).append((name, _shingles(pa.array([text]), count)[0][0]))
+    return [_Short(n, tuple(x for x, _ in own), np.array([h for _, h in own], np.uint64)) for n, own in sorted(by_width.items())]
+
+
 def scan(
     docs: DataFrame,
-    templates: Mapping[str, str] | None = None,
+    templates: Mapping[str, str | Sequence[str]] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = WIDTH,
     containment: float = CONTAINMENT,
     sure: float = SURE,
+    short: bool = False,
 ) -> DataFrame:
     """One row per match: ``id_col, license, start_word, n_words, containment``.
 
@@ -125,18 +154,22 @@ def scan(
 
     * Whole texts are scanned, however long, each within one task. A null text, and one
       with fewer words than ``width``, has no match. Without matches there is no row.
-    * ``templates`` is a fixed list, shipped to every task. Each must have ``width`` words.
+    * ``templates`` is a fixed list, shipped to every task; a name may have several texts, and
+      matches with any of them are its matches. Each text must have ``width`` words, unless
+      ``short`` is set: then one with fewer words matches where all of them stand in a row.
     * Rows that repeat an id are scanned one by one, and null ids are kept as null. Other
       columns are not looked at.
     """
     share = Fraction(str(containment))
-    shipped = docs.sparkSession.sparkContext.broadcast(prepare(TEMPLATES if templates is None else templates, width, share, sure))
+    known = TEMPLATES if templates is None else templates
+    prepared = prepare(known, width, share, sure, short), prepare_short(known, width) if short else []
+    shipped = docs.sparkSession.sparkContext.broadcast(prepared)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for batch in textscan.pieces(whole, "text", _PIECE):
-                found = matches(batch.column("text"), shipped.value, width, share)
+                found = matches(batch.column("text"), shipped.value[0], width, share, shipped.value[1])
                 columns = list(zip(*found)) or [(), (), (), (), ()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -154,16 +187,32 @@ def scan(
 
 def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of all texts in order, the first shingle of each text, and its first word."""
+    words, first = _words(texts)
+    runs, at = textscan.windows(words, first, width)
+    return runs, np.searchsorted(at, first), first
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, bounds = textscan.utf8(pc.utf8_lower(texts))
     starts, lengths, first = textscan.spans(data, bounds, _SEPARATORS)
-    runs, at = textscan.windows(textscan.hashes(data, starts, lengths), first, width)
-    return runs, np.searchsorted(at, first), first
+    return textscan.hashes(data, starts, lengths), first
 
 
-def matches(texts: pa.Array, lengths: list[_Length], width: int, share: Fraction) -> list[tuple[int, str, int, int, float]]:
+def matches(
+    texts: pa.Array, lengths: list[_Length], width: int, share: Fraction, short: Sequence[_Short] = ()
+) -> list[tuple[int, str, int, int, float]]:
     """``(text, license, start word, words, containment)`` for every match, in order."""
-    shingles, first, _ = _shingles(texts, width)
+    words, heads = _words(texts)
+    shingles, at = textscan.windows(words, heads, width)
+    first = np.searchsorted(at, heads)
     found: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
+    for few in short:
+        runs, at = textscan.windows(words, heads, few.width)
+        for hit in np.flatnonzero(np.isin(runs, few.hashes)).tolist():
+            text = int(np.searchsorted(heads, at[hit], "right")) - 1
+            place = int(at[hit] - heads[text])
+            for template in np.flatnonzero(few.hashes == runs[hit]).tolist():
+                found.setdefault((text, few.names[template]), []).append((place, place + few.width, 1.0))
     for length in lengths:
         starts, ends, owner = _windows(first, length.block)
         for window, template in _retrieved(shingles, first, length):

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, embedding_dedup, language_id, licenses, mixing, ngram_join, quality_rules, sharding, token_files, toxicity
+from millrace.llm import bpe, embedding_dedup, language_id, license_texts, licenses, mixing, ngram_join, quality_rules, sharding, token_files, toxicity
 from millrace.llm.store import written
 from millrace.sources import tables
 
@@ -135,7 +135,7 @@ def op3_language_id(spark: SparkSession, directory: str) -> DataFrame:
 
 @query()
 def op4_license_scan(spark: SparkSession, directory: str) -> DataFrame:
-    return licenses.scan(tables.read(spark, directory, "documents"))
+    return licenses.scan(tables.read(spark, directory, "documents"), licenses.TEMPLATES | license_texts.ALL, short=True)
 
 
 @query()

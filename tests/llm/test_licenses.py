@@ -7,7 +7,7 @@ from fractions import Fraction
 import pyarrow as pa
 import pytest
 
-from millrace.llm import licenses
+from millrace.llm import license_texts, licenses
 from tests.llm.helpers import docs, invented, sentence
 
 
@@ -92,3 +92,27 @@ def test_bands_make_it_sure(shortest, block):
     bands = licenses.bands_for(shortest, block, share, 0.9999)
     held = -(-shortest * share.numerator // share.denominator)
     assert 1 - (1 - held / (3 * block + shortest - held)) ** bands >= 0.9999
+
+
+def test_short_templates_are_one_shingle_of_all_their_words(spark):
+    rows = [(1, "was released under the MIT License today"), (2, "under the\nMIT"), (3, "licence under"), (4, "MIT License, then under the mit license.")]
+    own = {"line": ("under the MIT License", "licence")}
+    assert found(docs(spark, rows), templates=own, short=True) == [(1, "line", 2, 4, 1.0), (3, "line", 0, 1, 1.0), (4, "line", 3, 4, 1.0)]
+
+
+def test_the_declared_list_knows_the_usual_families(spark):
+    lines = {
+        "MIT line": "It is distributed under the MIT licence, as is.", "CC-BY line": "Licensed under CC BY 4.0.",
+        "CC-BY-SA line": "This work is available under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "LGPL line": "Published under the GNU Lesser General Public License.", "AGPL line": "Made available under the AGPLv3",
+        "GPL line": "Use is subject to the terms of the GNU General Public License, version 2", "EPL line": "under the EPL 2.0",
+    }
+    wholes = {name: "before it " + text + " after it" for name, text in license_texts.TEXTS.items()}
+    conditions = {"BSD third condition": license_texts._BSD_THIRD.replace("the copyright holder", "Some Firm"), "BSD-2-Clause": license_texts.HEADERS["BSD-2-Clause"]}
+    wanted = list((lines | wholes | conditions).items())
+    rows = [(i, text) for i, (_, text) in enumerate(wanted)]
+    every = licenses.TEMPLATES | license_texts.ALL
+    result = {(i, name) for i, name, *_ in found(docs(spark, rows), templates=every, short=True)}
+    assert result >= {(i, name) for i, (name, _) in enumerate(wanted)}
+    plain_rows = [(1, "the MIT professors went under the bridge"), (2, "a general public, under a license of its own")]
+    assert found(docs(spark, plain_rows), templates=every, short=True) == []
