@@ -13,7 +13,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, embedding_dedup, language_id, license_texts, licenses, mixing, ngram_join, quality_rules, sharding, token_files, toxicity
+from millrace.llm import (
+    alignment,
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    lexical,
+    license_texts,
+    licenses,
+    mixing,
+    ngram_join,
+    quality_rules,
+    sharding,
+    token_files,
+    toxicity,
+)
 from millrace.llm.store import written
 from millrace.sources import tables
 
@@ -24,6 +39,8 @@ ORACLE: dict[str, str] = {}
 
 #: The vocabulary file of the queries; operators take the text of any such file.
 VOCABULARY = "word_bpe_49k.json"
+#: The two files that ``op12_token_alignment`` aligns.
+BYTE_VOCABULARY, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Rows that a Python worker is handed at a time. Texts are long, and memory goes by batches.
 BATCH_ROWS = 1000
@@ -244,3 +261,55 @@ def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
     docs = tables.read(spark, directory, "documents").select("doc_id", "text")
     found = bpe.encode_digests(docs, vocabulary_text(), keep=["doc_id"])
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query(
+    """
+    SELECT doc_id,
+           max(doc_id) OVER same AS keep_id,
+           count(*) OVER same AS group_size,
+           row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """
+)
+def op11_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(tables.read(spark, directory, "documents"))
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    model = Path(public_tokenizers.path(PIECE_MODEL)).read_bytes()
+    return alignment.align(tables.read(spark, directory, "documents"), vocabulary_text(public_tokenizers.path(BYTE_VOCABULARY)), model)
+
+
+def _terms_of(table: str, name: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {name}, unnest(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table}"
+
+
+@query(
+    f"""
+    WITH
+    docs AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
+    items AS (SELECT row_number() OVER () AS item_row, item_id, text FROM benchmark),
+    words AS ({_terms_of("docs", "row_id")}),
+    asked AS (SELECT item_row, term, count(*) AS times FROM ({_terms_of("items", "item_row")}) GROUP BY 1, 2),
+    lengths AS (SELECT row_id, count(*) AS n FROM words GROUP BY 1),
+    corpus AS (SELECT count(*) AS documents, sum(n)::BIGINT AS terms FROM lengths),
+    postings AS (SELECT row_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM postings, corpus GROUP BY term, documents),
+    sized AS (SELECT row_id, 75 + (25 * n * documents) // terms AS m FROM lengths, corpus),
+    scored AS (
+        SELECT item_row, row_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+        FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sized USING (row_id) GROUP BY 1, 2),
+    ranked AS (
+        SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scored JOIN items USING (item_row) JOIN docs USING (row_id) WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """
+)
+def op13_ranked_search(spark: SparkSession, directory: str) -> DataFrame:
+    return lexical.search(tables.read(spark, directory, "documents"), tables.read(spark, directory, "benchmark"))

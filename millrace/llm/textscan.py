@@ -20,6 +20,9 @@ PIECE_BYTES = 4 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+#: Words of more bytes than this are hashed in runs of so many bytes, and so many at a time.
+_STEPS, _RUN, _TOGETHER_BYTES = 64, 4096, 1 << 20
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values, so that near values end up far apart."""
@@ -86,10 +89,14 @@ def spans(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word. Takes a step per byte of the longest word, over the
-    words that are still that long."""
+    """A 64-bit hash of each word: its bytes as digits of a number, scattered.
+
+    Takes a step per byte of the longest word of up to ``_STEPS`` bytes, over the words that
+    are still that long; longer words are summed in runs of bytes, whatever their length.
+    """
     out = lengths.astype(np.uint64)
-    open_words = np.arange(len(starts))
+    long = np.flatnonzero(lengths > _STEPS)
+    open_words = np.flatnonzero(lengths <= _STEPS) if len(long) else np.arange(len(starts))
     step = 0
     while len(open_words):
         if step:
@@ -97,9 +104,41 @@ def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
         at = starts[open_words] + step
         out[open_words] = out[open_words] * _MULTIPLIER + data[at] + np.uint64(1)
         step += 1
+    if len(long):
+        out[long] = _long_words(data, starts[long], lengths[long])
     return mix(out)
 
 
+def _powers(factor: np.uint64, count: int) -> np.ndarray:
+    """The powers 0 to ``count`` - 1 of a factor, as 64-bit numbers that wrap around."""
+    out = np.full(count, factor, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _long_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What the steps of ``hashes`` come to, out of sums over runs of ``_RUN`` bytes that are
+    counted from the end of each word."""
+    small = _powers(_MULTIPLIER, _RUN)
+    large = _powers(small[-1] * _MULTIPLIER, int(lengths.max()) // _RUN + 1)
+    runs = -(-lengths // _RUN)
+    first = np.cumsum(runs) - runs
+    nth = np.arange(int(runs.sum())) - np.repeat(first, runs)
+    ends = np.repeat(starts + lengths, runs) - nth * _RUN
+    begins = np.maximum(np.repeat(starts, runs), ends - _RUN)
+    sizes = ends - begins
+    sums = np.empty(len(sizes), np.uint64)
+    together = max(1, _TOGETHER_BYTES // _RUN)
+    for s in range(0, len(sizes), together):
+        own = sizes[s : s + together]
+        before = np.cumsum(own) - own
+        at = np.arange(int(own.sum())) + np.repeat(begins[s : s + together] - before, own)
+        power = np.repeat(ends[s : s + together] - 1, own) - at
+        sums[s : s + together] = np.add.reduceat((data[at] + np.uint64(1)) * small[power], before)
+    whole = np.add.reduceat(sums * large[nth], first)
+    return lengths.astype(np.uint64) * large[lengths // _RUN] * small[lengths % _RUN] + whole
+
+
 def windows(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words that stay within a text, and the place of
     each run's first word."""

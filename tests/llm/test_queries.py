@@ -11,7 +11,7 @@ from tests.llm.helpers import SMALL
 
 def test_each_operator_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert set(__spark_entry__.oracle_sql()) <= set(names)
@@ -29,6 +29,7 @@ COLUMNS = {
     "op6_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"],
     "op10_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
