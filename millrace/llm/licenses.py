@@ -6,6 +6,10 @@ is cut into windows that overlap, so that any occurrence lies within one of them
 window and template is put into one band per hash function, by its smallest hash. A window
 that shares a band with a template is compared with it shingle by shingle. There are as many
 bands as make it sure enough that a window with just enough of a template shares one.
+
+Shingles of templates are marked in a text first, and only windows that hold a marked one of
+their own templates are put into bands. A window without any cannot hold a part of a template,
+so this leaves nothing out, at any size.
 """
 
 from __future__ import annotations
@@ -66,6 +70,8 @@ SURE = 0.9999
 #: Words are runs of ASCII letters, digits and other scripts' letters, in lower case.
 _SEPARATORS = np.array([not (i >= 128 or chr(i).isalnum()) for i in range(256)])
 _PIECE = 2 << 20
+#: Shingles of windows that are hashed together.
+_WINDOW_SHINGLES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -124,6 +130,24 @@ def prepare(templates: Mapping[str, str | Sequence[str]], width: int, containmen
     return lengths
 
 
+@dataclass(frozen=True)
+class _Marks:
+    """All shingles of the templates, sorted, and for each a bit of every length that has it."""
+
+    shingles: np.ndarray
+    bits: np.ndarray
+
+
+def marks(lengths: Sequence[_Length]) -> _Marks:
+    """The shingles by which texts are looked through before they are put into bands."""
+    own = [(np.unique(np.concatenate(x.sets)), np.uint64(1) << np.uint64(k)) for k, x in enumerate(lengths)]
+    shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in own)]))
+    bits = np.zeros(len(shingles), np.uint64)
+    for some, bit in own:
+        bits[np.searchsorted(shingles, some)] |= bit
+    return _Marks(shingles, bits)
+
+
 def prepare_short(templates: Mapping[str, str | Sequence[str]], width: int) -> list[_Short]:
     by_width: dict[int, list[tuple[str, np.uint64]]] = {}
     for name, text in _each(templates):
@@ -162,14 +186,16 @@ def scan(
     """
     share = Fraction(str(containment))
     known = TEMPLATES if templates is None else templates
-    prepared = prepare(known, width, share, sure, short), prepare_short(known, width) if short else []
+    lengths = prepare(known, width, share, sure, short)
+    prepared = lengths, prepare_short(known, width) if short else [], marks(lengths)
     shipped = docs.sparkSession.sparkContext.broadcast(prepared)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for batch in textscan.pieces(whole, "text", _PIECE):
-                found = matches(batch.column("text"), shipped.value[0], width, share, shipped.value[1])
+                lengths, few, marked = shipped.value
+                found = matches(batch.column("text"), lengths, width, share, few, marked)
                 columns = list(zip(*found)) or [(), (), (), (), ()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -199,9 +225,10 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matches(
-    texts: pa.Array, lengths: list[_Length], width: int, share: Fraction, short: Sequence[_Short] = ()
+    texts: pa.Array, lengths: list[_Length], width: int, share: Fraction, short: Sequence[_Short] = (), marked: _Marks | None = None
 ) -> list[tuple[int, str, int, int, float]]:
     """``(text, license, start word, words, containment)`` for every match, in order."""
+    marked = marked or marks(lengths)
     words, heads = _words(texts)
     shingles, at = textscan.windows(words, heads, width)
     first = np.searchsorted(at, heads)
@@ -213,9 +240,13 @@ def matches(
             place = int(at[hit] - heads[text])
             for template in np.flatnonzero(few.hashes == runs[hit]).tolist():
                 found.setdefault((text, few.names[template]), []).append((place, place + few.width, 1.0))
-    for length in lengths:
-        starts, ends, owner = _windows(first, length.block)
-        for window, template in _retrieved(shingles, first, length):
+    at_marks = np.minimum(np.searchsorted(marked.shingles, shingles), max(len(marked.shingles) - 1, 0))
+    places = np.flatnonzero(marked.shingles[at_marks] == shingles) if len(marked.shingles) else np.zeros(0, np.int64)
+    bits = marked.bits[at_marks[places]]
+    for k, length in enumerate(lengths):
+        held = places[(bits >> np.uint64(k)) & np.uint64(1) == 1]
+        starts, ends, owner = _windows(first, length.block, held)
+        for window, template in _retrieved(shingles, starts, ends, length):
             s, e = int(starts[window]), int(ends[window])
             known = length.sets[template]
             inside = np.flatnonzero(np.isin(shingles[s:e], known))
@@ -238,38 +269,27 @@ def matches(
     return sorted(out)
 
 
-def _blocks(first: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each block of shingles starts, and the first block of each text."""
-    counts = -(-np.diff(first) // block)
-    heads = np.concatenate([[0], np.cumsum(counts)])
-    place = np.arange(heads[-1]) - np.repeat(heads[:-1], counts)
-    return np.repeat(first[:-1], counts) + place * block, heads
-
-
-def _windows(first: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of the window that begins with each block, and its text."""
-    starts, heads = _blocks(first, block)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(heads))
-    return starts, np.minimum(starts + 3 * block, first[1:][owner] if len(owner) else starts), owner
+def _windows(first: np.ndarray, block: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of the windows that hold one of the shingles at ``held``: those that
+    begin with its block or with one of the two before it, within its text."""
+    owner = np.searchsorted(first, held, "right") - 1
+    own = (held - first[owner]) // block
+    begins = (first[owner] + np.maximum(own - back, 0) * block for back in range(3))
+    starts = np.unique(np.concatenate([*begins]))
+    owner = np.searchsorted(first, starts, "right") - 1
+    return starts, np.minimum(starts + 3 * block, first[owner + 1]), owner
 
 
-def _retrieved(shingles: np.ndarray, first: np.ndarray, length: _Length) -> list[tuple[int, int]]:
+def _retrieved(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: _Length) -> list[tuple[int, int]]:
     """Windows and templates that share a band."""
-    starts, heads = _blocks(first, length.block)
-    if not len(starts):
-        return []
     met: set[tuple[int, int]] = set()
-    ends = heads[1:]
-    for factor, least in zip(length.factors, length.bands):
-        own = np.minimum.reduceat(shingles * factor, starts)
-        window = own.copy()
-        for ahead in (1, 2):
-            following = np.full(len(own), np.iinfo(np.uint64).max, np.uint64)
-            following[:-ahead] = own[ahead:]
-            for back in range(1, ahead + 1):  # blocks of the next text
-                at = ends - back
-                following[at[at >= 0]] = np.iinfo(np.uint64).max
-            np.minimum(window, following, out=window)
-        for at in np.flatnonzero(np.isin(window, least)).tolist():
-            met.update((at, int(t)) for t in np.flatnonzero(least == window[at]))
+    step = max(1, _WINDOW_SHINGLES // (3 * length.block))
+    for head in range(0, len(starts), step):
+        sizes = (ends - starts)[head : head + step]
+        before = np.cumsum(sizes) - sizes
+        own = shingles[np.arange(int(sizes.sum())) + np.repeat(starts[head : head + step] - before, sizes)]
+        for factor, least in zip(length.factors, length.bands):
+            smallest = np.minimum.reduceat(own * factor, before)
+            for at in np.flatnonzero(np.isin(smallest, least)).tolist():
+                met.update((head + at, int(t)) for t in np.flatnonzero(least == smallest[at]))
     return sorted(met)
