@@ -29,7 +29,6 @@ from millrace.llm import textscan
 
 #: Notices by which licenses are known. ``license_texts`` has the longer list of the query.
 TEMPLATES = {
-    "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required "
@@ -40,9 +39,7 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"
     ),
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
@@ -51,7 +48,6 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
-    "MIT line": "Released under the MIT License.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
@@ -62,6 +58,13 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: What a template's name has after the license that it stands for, and templates
+#: that stand for one under another name.
+PARTS = (" text", " header", " line", " warranty")
+STANDS_FOR = {"BSD third condition": "BSD-3-Clause", "GPL-3.0 header": "GPL-3.0", "EPL line": "EPL"}
+#: Licenses that share most of their words, beyond those that share a name up to the first hyphen.
+RELATED = {"GPL": "GNU", "LGPL": "GNU", "AGPL": "GNU"}
+
 WIDTH = 5
 CONTAINMENT = 0.8
 #: How surely a window with just enough of a template shares a band with it.
@@ -104,6 +107,24 @@ def bands_for(shortest: int, block: int, containment: Fraction, sure: float) ->
     return max(1, math.ceil(math.log(1 - sure) / math.log(1 - agree))) if agree < 1 else 1
 
 
+def identity(name: str) -> tuple[str, str]:
+    """The license that a template stands for, and its family."""
+    for part in PARTS:
+        name = STANDS_FOR.get(name, name).removesuffix(part)
+    head = name.split("-")[0]
+    return name, RELATED.get(head, head)
+
+
+def merged(*lists: Mapping[str, str | Sequence[str]]) -> dict[str, str | Sequence[str]]:
+    """Lists of templates as one; a name may be in one of them only."""
+    out: dict[str, str | Sequence[str]] = {}
+    for own in lists:
+        if both := out.keys() & own.keys():
+            raise ValueError(f"templates of two lists share the names {sorted(both)}")
+        out |= own
+    return out
+
+
 def _each(templates: Mapping[str, str | Sequence[str]]) -> list[tuple[str, str]]:
     return [(name, text) for name, given in sorted(templates.items()) for text in ([given] if isinstance(given, str) else given)]
 
@@ -169,13 +190,18 @@ def scan(
     sure: float = SURE,
     short: bool = False,
 ) -> DataFrame:
-    """One row per match: ``id_col, license, start_word, n_words, containment``.
+    """One row per match: ``id_col, license, start_word, n_words, containment, license_id, best``.
 
     A template matches where a window of the text holds at least ``containment`` of its
     distinct shingles of ``width`` words; case and punctuation do not count. The match runs
     from the first to the last word of those shingles; matches of one template that overlap
     or touch are one, with the best containment. Words count from 0.
 
+    ``license_id`` names the license that the template stands for. Licenses of one family
+    have much of their text in common, so that one text matches several of them. Among
+    matches of a family that overlap, ``best`` marks the one with the highest containment,
+    then the longest, then the first by name; all of them are returned.
+
     * Whole texts are scanned, however long, each within one task. A null text, and one
       with fewer words than ``width``, has no match. Without matches there is no row.
     * ``templates`` is a fixed list, shipped to every task; a name may have several texts, and
@@ -197,6 +223,7 @@ def scan(
                 lengths, few, marked = shipped.value
                 found = matches(batch.column("text"), lengths, width, share, few, marked)
                 columns = list(zip(*found)) or [(), (), (), (), ()]
+                license_ids = [identity(name)[0] for name in columns[1]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(pa.array(columns[0], pa.int64())),
@@ -204,11 +231,33 @@ def scan(
                         pa.array(columns[2], pa.int64()),
                         pa.array(columns[3], pa.int64()),
                         pa.array(columns[4], pa.float64()),
+                        pa.array(license_ids, pa.string()),
+                        pa.array(best_of_families(found), pa.bool_()),
                     ],
-                    [id_col, "license", "start_word", "n_words", "containment"],
+                    [id_col, "license", "start_word", "n_words", "containment", "license_id", "best"],
                 )
 
-    return rows.mapInArrow(run, f"`{id_col}` long, license string, start_word long, n_words long, containment double")
+    return rows.mapInArrow(run, f"`{id_col}` long, license string, start_word long, n_words long, containment double, license_id string, best boolean")
+
+
+def best_of_families(found: Sequence[tuple[int, str, int, int, float]]) -> list[bool]:
+    """Which matches no other one of their text and family that overlaps them surpasses."""
+    out = [True] * len(found)
+    groups: dict[tuple[int, str], list[int]] = {}
+    for i, match in enumerate(found):
+        groups.setdefault((match[0], identity(match[1])[1]), []).append(i)
+    for own in groups.values():
+        own.sort(key=lambda i: found[i][2])
+        open_matches: list[int] = []
+        for i in own:  # by start: what has ended before cannot overlap what follows
+            _, name, start, words, share = found[i]
+            open_matches = [j for j in open_matches if found[j][2] + found[j][3] > start]
+            for j in open_matches:
+                _, other, _, other_words, other_share = found[j]
+                first = (-share, -words, name) < (-other_share, -other_words, other)
+                out[j if first else i] = False
+            open_matches.append(i)
+    return out
 
 
 def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -58,8 +58,9 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[2]
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as archive:
-        for source in sorted((root / "millrace").rglob("*.py")):
-            archive.write(source, source.relative_to(root))
+        for source in sorted((root / "millrace").rglob("*")):
+            if source.suffix in (".py", ".txt"):
+                archive.write(source, source.relative_to(root))
     # Spark's file server hands the archive to the executors; the folder is the driver's own.
     path = Path(tempfile.mkdtemp(prefix="millrace-code-")) / "millrace_code.zip"
     path.write_bytes(packed.getvalue())
@@ -152,7 +153,7 @@ def op3_language_id(spark: SparkSession, directory: str) -> DataFrame:
 
 @query()
 def op4_license_scan(spark: SparkSession, directory: str) -> DataFrame:
-    return licenses.scan(tables.read(spark, directory, "documents"), licenses.TEMPLATES | license_texts.ALL, short=True)
+    return licenses.scan(tables.read(spark, directory, "documents"), licenses.merged(licenses.TEMPLATES, license_texts.ALL), short=True)
 
 
 @query()

@@ -71,10 +71,10 @@ def test_each_notice_is_found_whatever_its_case_and_punctuation(spark):
 
 
 def test_odd_texts(spark):
-    notice = licenses.TEMPLATES["MIT line"]
+    notice = "Released under the MIT License."
     long = "word " * 60_000 + notice + " word" * 60_000
     rows = [(1, None), (2, ""), (3, "MIT License"), (4, notice), (4, notice), (None, notice), (5, long)]
-    assert [r[:3] for r in found(docs(spark, rows))] == [
+    assert [r[:3] for r in found(docs(spark, rows), templates={"MIT line": notice})] == [
         (-1, "MIT line", 0), (4, "MIT line", 0), (4, "MIT line", 0), (5, "MIT line", 60_000),
     ]
     assert found(docs(spark, [])) == []
@@ -111,8 +111,58 @@ def test_the_declared_list_knows_the_usual_families(spark):
     conditions = {"BSD third condition": license_texts._BSD_THIRD.replace("the copyright holder", "Some Firm"), "BSD-2-Clause": license_texts.HEADERS["BSD-2-Clause"]}
     wanted = list((lines | wholes | conditions).items())
     rows = [(i, text) for i, (_, text) in enumerate(wanted)]
-    every = licenses.TEMPLATES | license_texts.ALL
+    every = licenses.merged(licenses.TEMPLATES, license_texts.ALL)
     result = {(i, name) for i, name, *_ in found(docs(spark, rows), templates=every, short=True)}
     assert result >= {(i, name) for i, (name, _) in enumerate(wanted)}
     plain_rows = [(1, "the MIT professors went under the bridge"), (2, "a general public, under a license of its own")]
     assert found(docs(spark, plain_rows), templates=every, short=True) == []
+
+
+CONFUSED = {
+    "BSD-3-Clause": license_texts.HEADERS["BSD-3-Clause"], "BSD-2-Clause": license_texts.HEADERS["BSD-2-Clause"],
+    "GFDL-1.2": license_texts.TEXTS["GFDL-1.2 text"], "GFDL-1.3": license_texts.TEXTS["GFDL-1.3 text"],
+    "LGPL-2.0": license_texts.TEXTS["LGPL-2.0 text"], "LGPL-2.1": license_texts.TEXTS["LGPL-2.1 text"],
+    "GPL-3.0": license_texts.HEADERS["GPL-3.0 header"], "GPL-2.0": license_texts.HEADERS["GPL-2.0 header"],
+    "AGPL-3.0": license_texts.HEADERS["AGPL-3.0"], "MIT": license_texts.HEADERS["MIT text"], "CC-BY-NC": "Licensed under CC BY-NC 4.0.",
+}
+
+
+def test_the_best_match_names_the_license(spark):
+    rows = [(i, f"before it {text} after it") for i, text in enumerate(CONFUSED.values())]
+    every = licenses.merged(licenses.TEMPLATES, license_texts.ALL)
+    result = licenses.scan(docs(spark, rows), templates=every, short=True).collect()
+    whole = {}
+    for r in result:
+        if r.best and r.n_words > whole.get(r.doc_id, (0, None))[0]:
+            whole[r.doc_id] = r.n_words, r.license_id
+    assert [whole[i][1] for i in range(len(rows))] == list(CONFUSED)
+    assert sum(not r.best for r in result) >= 10
+
+
+def test_best_is_chosen_among_overlapping_matches_of_a_family_alone():
+    matches = [
+        (0, "GPL-2.0 text", 0, 100, 0.9), (0, "GPL-3.0 text", 50, 100, 0.95), (0, "MIT", 60, 10, 0.8), (0, "LGPL line", 160, 4, 1.0),
+        (1, "GPL-2.0 text", 0, 100, 0.9), (1, "MIT", 5, 10, 1.0), (1, "MIT text", 0, 30, 1.0), (1, "MIT warranty", 30, 5, 0.8),
+    ]
+    assert licenses.best_of_families(matches) == [False, True, True, True, True, False, True, True]
+    assert licenses.best_of_families([]) == []
+
+
+def test_names_of_two_lists_must_differ():
+    with pytest.raises(ValueError, match="share the names"):
+        licenses.merged({"a": "x"}, {"b": "y", "a": "z"})
+
+
+def test_marks_leave_out_no_match(spark):
+    """The whole list over texts full of licenses and over plain ones, against all windows."""
+    rng, vocabulary = random.Random(9), invented(9)
+    whole = {n: t for n, t in (license_texts.HEADERS | license_texts.TEXTS).items() if isinstance(t, str)}
+    some = {n: whole[n] for n in ("GPL-1.0 text", "Artistic-1.0 text", "BSD-2-Clause", "BSD-3-Clause", "BSD warranty", "MIT text", "MIT warranty")}
+    rows = [(0, " ".join(some.values())), (1, sentence(rng, vocabulary, 3000))]
+    for i, text in enumerate(some.values()):
+        changed = [w if rng.random() > 0.02 else rng.choice(vocabulary) for w in text.split()]
+        rows.append((2 + i, " ".join([sentence(rng, vocabulary, 50), *changed])))
+    expected = sorted((i, *m) for i, text in rows for m in plain(text, some))
+    result = found(docs(spark, rows), templates=some)
+    assert [r[:4] for r in result] == [e[:4] for e in expected]
+    assert len(result) > 10

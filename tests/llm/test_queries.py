@@ -24,7 +24,7 @@ def test_query_equals_its_sql(spark, name):
 
 COLUMNS = {
     "op3_language_id": ["doc_id", "held_out", "lang_pred", "score"],
-    "op4_license_scan": ["doc_id", "license", "start_word", "n_words", "containment"],
+    "op4_license_scan": ["doc_id", "license", "start_word", "n_words", "containment", "license_id", "best"],
     "op5_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op6_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"],
