@@ -3,14 +3,17 @@
 A file holds the ids of a run of documents. Each id takes the fewest bits that the
 vocabulary's largest id needs, and ids are packed into blocks of 4,096 with an offset each,
 so a reader can fetch any stretch of ids by seeking to its blocks and unpack them with a few
-numpy operations per block. Layout, all numbers little-endian:
+numpy operations per block. Blocks are written as they fill; what tells where they are comes
+after them. Layout, all numbers little-endian:
 
-    8 bytes    the mark "MRIDPK01"
-    5 x u64    bits per id, ids per block, documents, ids, blocks
+    8 bytes    the mark "MRIDPK02"
+    2 x u64    bits per id, ids per block
+    blocks     packed from the lowest bit on, each padded to whole 64-bit words
     i64 + u8   each document's id, and whether it is null (two arrays)
     u64        where each document's ids start, and their number (documents + 1 numbers)
-    u64        where each block starts behind the header, and their end (blocks + 1 numbers)
-    blocks     packed from the lowest bit on, each padded to whole 64-bit words
+    u64        where each block starts in the file, and their end (blocks + 1 numbers)
+    4 x u64    documents, ids, blocks, and where the documents' ids are in the file
+    8 bytes    the mark again
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,18 +34,18 @@ from pyspark.sql import functions as F
 
 from millrace import workspace
 from millrace.llm import textscan
-from millrace.llm.bpe import Splitter
 from millrace.llm.store import written
 
-MARK = b"MRIDPK01"
+MARK = b"MRIDPK02"
 BLOCK_IDS = 4096
-#: Pieces of text whose ids a Python worker remembers; beyond that it forgets those that it
-#: has not met lately.
-REMEMBERED = 150_000
+#: Ids of a file; a range of documents with more of them makes several files.
+FILE_IDS = 1 << 28
+#: Pieces of text whose ids a Python worker remembers; beyond that it starts afresh.
+REMEMBERED = 400_000
 _PIECE = 4 << 20
-#: Blocks that are packed together.
-_TOGETHER = 64
-_FIELDS = ("width", "block", "docs", "ids", "blocks")
+#: Blocks that are packed together, and pieces that the library encodes in one call.
+_TOGETHER, _PIECES = 64, 2000
+_HEADER, _TAIL = ("width", "block"), ("docs", "ids", "blocks", "footer")
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -82,16 +86,29 @@ def unpack(words: np.ndarray, count: int, width: int) -> np.ndarray:
 
 
 class Writer:
-    """Packs documents one after the other into one file; holds packed blocks, and up to
-    ``_TOGETHER`` blocks of ids that are not packed yet."""
+    """Packs documents one after the other into one file. Given an open stream, it writes
+    blocks there as they fill and holds up to ``_TOGETHER`` blocks of ids, and some numbers
+    for each document and block; without one, packed blocks wait for ``write``."""
 
-    def __init__(self, width: int, block: int = BLOCK_IDS):
+    def __init__(self, width: int, block: int = BLOCK_IDS, out=None):
         self.width, self.block = width, block
         self.names: list[int | None] = []
         self.lengths: list[int] = []
+        self.ids = 0
+        self.sizes: list[int] = []  # bytes of each block
         self.packed: list[np.ndarray] = []
         self.open: list[np.ndarray] = []
         self.waiting = 0
+        self.out = None
+        if out is not None:
+            self._begin(out)
+
+    def _begin(self, out) -> None:
+        self.out = out
+        out.write(MARK + np.array([self.width, self.block], "<u8").tobytes())
+        for block in self.packed:
+            out.write(block.astype("<u8").tobytes())
+        self.packed = []
 
     def add(self, name: int | None, ids: np.ndarray) -> None:
         if len(ids) and int(ids.max()) >> self.width:
@@ -99,6 +116,7 @@ class Writer:
         self.names.append(name)
         self.lengths.append(len(ids))
         self.open.append(ids)
+        self.ids += len(ids)
         self.waiting += len(ids)
         if self.waiting >= _TOGETHER * self.block:
             self._pack()
@@ -110,26 +128,31 @@ class Writer:
             blocks = [pack(ids[s : s + self.block], self.width) for s in range(0, whole, self.block)]
         else:  # such blocks end with a word, so all are packed in one go
             blocks = list(pack(ids[:whole], self.width).reshape(-1, self.block * self.width // 64))
-        self.packed += blocks
         rest = ids[whole:].copy()
         if last and len(rest):
-            self.packed.append(pack(rest, self.width))
+            blocks.append(pack(rest, self.width))
+            rest = rest[:0]
+        self.sizes += [len(b) * 8 for b in blocks]
+        if self.out is None:
+            self.packed += blocks
+        else:
+            for block in blocks:
+                self.out.write(block.astype("<u8").tobytes())
         self.open, self.waiting = [rest], len(rest)
 
-    def write(self, out) -> int:
-        """Write the file to an open stream; the number of ids."""
+    def write(self, out=None) -> int:
+        """Write what is left to the stream, or the whole file to ``out``; the number of ids."""
         self._pack(last=True)
-        blocks = self.packed
+        if self.out is None:
+            self._begin(out)
+        out = self.out
         starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype("<u8")
-        offsets = np.concatenate([[0], np.cumsum([len(b) * 8 for b in blocks])]).astype("<u8")
-        out.write(MARK)
-        out.write(np.array([self.width, self.block, len(self.names), starts[-1], len(blocks)], "<u8").tobytes())
+        offsets = (len(MARK) + 8 * len(_HEADER) + np.concatenate([[0], np.cumsum(self.sizes)])).astype("<u8")
         out.write(np.array([n or 0 for n in self.names], "<i8").tobytes())
         out.write(np.array([n is None for n in self.names], np.uint8).tobytes())
         out.write(starts.tobytes())
         out.write(offsets.tobytes())
-        for block in blocks:
-            out.write(block.astype("<u8").tobytes())
+        out.write(np.array([len(self.names), starts[-1], len(self.sizes), offsets[-1]], "<u8").tobytes() + MARK)
         return int(starts[-1])
 
 
@@ -140,13 +163,18 @@ class Reader:
         self.source = source
         if source.read(len(MARK)) != MARK:
             raise ValueError("not a file of packed token ids")
-        for name, value in zip(_FIELDS, self._numbers(len(_FIELDS), "<u8").tolist()):
+        for name, value in zip(_HEADER, self._numbers(len(_HEADER), "<u8").tolist()):
+            setattr(self, name, value)
+        source.seek(-(8 * len(_TAIL) + len(MARK)), 2)
+        for name, value in zip(_TAIL, self._numbers(len(_TAIL), "<u8").tolist()):
             setattr(self, name, value)
+        if source.read(len(MARK)) != MARK:
+            raise ValueError("the file of packed token ids was not written to its end")
+        source.seek(self.footer)
         self.names = self._numbers(self.docs, "<i8")
         self.nameless = self._numbers(self.docs, "u1").astype(bool)
         self.starts = self._numbers(self.docs + 1, "<u8").astype(np.int64)
         self.offsets = self._numbers(self.blocks + 1, "<u8").astype(np.int64)
-        self.begin = source.tell()
 
     def _numbers(self, count: int, kind: str) -> np.ndarray:
         return np.frombuffer(self.source.read(count * np.dtype(kind).itemsize), kind)
@@ -156,7 +184,7 @@ class Reader:
         if start >= end:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
-        self.source.seek(self.begin + int(self.offsets[first]))
+        self.source.seek(int(self.offsets[first]))
         words = np.frombuffer(self.source.read(int(self.offsets[last + 1] - self.offsets[first])), "<u8")
         if self.block % 64 == 0:
             held = min((last + 1) * self.block, self.ids) - first * self.block
@@ -195,9 +223,9 @@ def write_files(
     Returns the table of files: ``file_no, path, docs, ids``, in the order of the documents.
     ``folder`` is a place that all executors share, by default below the shared folder.
 
-    * Files are ranges of ids, as many as Spark makes of the sort; ids before and after
-      each other may share a file, and rows that repeat an id come in the order of their
-      texts' hash and may be spread over files. Null ids come first.
+    * Files are ranges of ids, as many as Spark makes of the sort, or more where a range has
+      over ``FILE_IDS`` token ids; rows that repeat an id come in the order of their texts'
+      hash and may be spread over files. Null ids come first.
     * Whole texts are encoded, without special tokens; a null text counts as empty and has
       the end id alone. Other columns are not looked at. An empty table makes no files.
     * A task writes its file under a name of its own and moves it into place, and the table
@@ -206,40 +234,49 @@ def write_files(
     spark = docs.sparkSession
     folder = folder or workspace.fresh_path(spark, "token-files")
     shipped = spark.sparkContext.broadcast((tokenizer_text, folder, end_id))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, where, end = shipped.value
-        encoder = _encoder(text)
-        writer = Writer(encoder.width)
-        final = np.array([end], "<u4").tobytes()
+        encoder = _encoder(text, end)
+        file = None
+        number = TaskContext.get().partitionId() << 20
         for whole in parts:
             for batch in textscan.pieces(whole, "text", _PIECE):
-                pieces = [(x or b"").split() for x in batch.column("text").to_pylist()]
-                encoder.learn(pieces)
-                for name, own in zip(batch.column("id").to_pylist(), pieces):
-                    writer.add(name, np.frombuffer(encoder.encode(own) + final, "<u4"))
-        if writer.names:
-            number = TaskContext.get().partitionId()
-            path = _save(writer, where, number)
-            yield pa.RecordBatch.from_pylist(
-                [{"file_no": number, "path": path, "docs": len(writer.names), "ids": sum(writer.lengths)}],
-                pa.schema([("file_no", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]),
-            )
-
-    return written(ranged.mapInArrow(run, "file_no int, path string, docs long, ids long"), "token-file-list")
-
-
-def _save(writer: Writer, folder: str, number: int) -> str:
-    place, root = _filesystem(folder)
-    place.create_dir(root, recursive=True)
-    name = f"part-{number:06d}-{uuid.uuid4().hex[:12]}.ids"
-    with place.open_output_stream(f"{root}/.{name}") as out:
-        writer.write(out)
-    place.move(f"{root}/.{name}", f"{root}/{name}")
-    return f"{folder}/{name}"
+                ids, bounds = encoder.encode(batch.column("text"))
+                for name, s, e in zip(batch.column("id").to_pylist(), bounds, bounds[1:]):
+                    if file and file.writer.ids >= FILE_IDS:
+                        yield file.finish()
+                        file, number = None, number + 1
+                    file = file or _File(where, number, encoder.width)
+                    file.writer.add(name, ids[s:e])
+        if file:
+            yield file.finish()
+
+    return written(ranged.mapInArrow(run, "file_no long, path string, docs long, ids long"), "token-file-list")
+
+
+class _File:
+    """A file that is being written under a name of its own."""
+
+    def __init__(self, folder: str, number: int, width: int):
+        self.place, self.root = _filesystem(folder)
+        self.place.create_dir(self.root, recursive=True)
+        self.folder, self.number = folder, number
+        self.name = f"part-{number:012d}-{uuid.uuid4().hex[:12]}.ids"
+        self.out = self.place.open_output_stream(f"{self.root}/.{self.name}")
+        self.writer = Writer(width, out=self.out)
+
+    def finish(self) -> pa.RecordBatch:
+        """Move the file into place; its row in the table of files."""
+        count = self.writer.write()
+        self.out.close()
+        self.place.move(f"{self.root}/.{self.name}", f"{self.root}/{self.name}")
+        return pa.RecordBatch.from_pylist(
+            [{"file_no": self.number, "path": f"{self.folder}/{self.name}", "docs": len(self.writer.names), "ids": count}],
+            pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]),
+        )
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -279,70 +316,84 @@ def read_files(files: DataFrame) -> DataFrame:
 
 class _Encoder:
     """The library's encodings of the pieces that ASCII white space separates; its rules do
-    not look beyond it. Pieces are split into words by the vocabulary's own rules, and the
-    library encodes many distinct words in one call, each of which ends in a final token."""
+    not look beyond it. The library encodes many distinct pieces in one call, with a special
+    token between them that tells where each ends. What is known of a piece are its ids, as
+    a stretch of one array, so that a batch of texts is put together by a few look-ups."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.splitter = Splitter(json.loads(text))
         known = self.library.get_vocab(with_added_tokens=True)
         self.width = bits_for(1 + max(known.values()))
-        self.final = np.zeros(1 + max(known.values()), bool)
-        self.final[[i for t, i in known.items() if t.endswith(self.splitter.suffix)]] = True
-        self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.splitter.special.items()}
-        self.pieces: dict[bytes, bytes] = {}
-        self.words = dict(self.special)
-        self.older: tuple[dict, dict] = {}, {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make the encodings of all these pieces known."""
-        if len(self.pieces) > REMEMBERED:  # what is seen again outlives the change
-            self.older = self.pieces, self.words
-            self.pieces, self.words = {}, dict(self.special)
-        pieces, words, (old_pieces, old_words) = self.pieces, self.words, self.older
-        fresh: set[bytes] = set().union(*texts)
-        fresh.difference_update(pieces)
-        again = [p for p in fresh if p in old_pieces]
-        pieces.update((p, old_pieces[p]) for p in again)
-        fresh.difference_update(again)
-        split = {piece: self.splitter.split(piece) for piece in fresh}
-        unknown = {w for own in split.values() for w in own if w not in words}
-        again = [w for w in unknown if w in old_words]
-        words.update((w, old_words[w]) for w in again)
-        unknown.difference_update(again)
-        self._encode_words(list(unknown))
-        for piece, own in split.items():
-            pieces[piece] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
-
-    def _encode_words(self, words: list[str], together: int = 1000) -> None:
-        for start in range(0, len(words), together):
-            part = words[start : start + together]
-            (found,) = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) != len(part) or (len(ends) and ends[-1] != len(ids)):
-                raise ValueError("the library splits these words otherwise than the vocabulary's rules say")
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(part, (ends * 4).tolist()):
-                self.words[word] = raw[at:end]
-                at = end
-
-    def encode(self, pieces: list[bytes]) -> bytes:
-        """The ids of a text's pieces as unsigned 32-bit numbers."""
-        return b"".join(map(self.pieces.__getitem__, pieces))
-
-
-_encoders: dict[str, _Encoder] = {}
-
-
-def _encoder(text: str) -> _Encoder:
+        self.special = {t["content"].encode(): t["id"] for t in json.loads(text)["added_tokens"] if t["special"]}
+        self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        #: The end of a document is a piece too, and so is the empty one, which has no ids.
+        self.known: dict[bytes | None, int] = {None: 0, b"": 1}
+        self.ids = np.array([self.end_id], np.uint32)
+        self.first = np.array([0, 1, 1])
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Make the encodings of these different pieces known, none of which is yet."""
+        alone = [p for p in pieces if any(t in p for t in self.special)] if self.special else pieces
+        plain = [p for p in pieces if p not in set(alone)] if len(alone) < len(pieces) else []
+        ids, sizes = [self.ids], [np.diff(self.first)]
+        for start in range(0, len(plain), _PIECES):
+            own, bounds = self._together(plain[start : start + _PIECES])
+            ids.append(own)
+            sizes.append(bounds)
+        for piece in alone:
+            own = self._ids(piece.decode())
+            ids.append(own)
+            sizes.append([len(own)])
+        self.known.update(zip([*plain, *alone], range(len(self.known), len(self.known) + len(pieces))))
+        self.ids = np.concatenate(ids)
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that hold no special token, and the number of each piece's."""
+        mark, number = next(iter(self.special.items()))
+        found = self._ids((b" " + mark + b" ").join(pieces).decode())
+        marks = np.flatnonzero(found == number)
+        if len(marks) != len(pieces) - 1:
+            raise ValueError("the library finds other special tokens than the vocabulary's file says")
+        bounds = np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1
+        return np.delete(found, marks), bounds
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts, one after the other and each with the end id, and their bounds."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        self._learn([p for p in pieces if p not in self.known])
+        number = np.array([self.known[p] for p in pieces], np.int64)
+        counts = split.value_lengths().to_numpy()
+        ends = np.cumsum(counts)
+        units = np.insert(number[coded.indices.to_numpy()], ends, 0)
+        sizes = self.first[units + 1] - self.first[units]
+        after = np.cumsum(sizes)
+        place = np.arange(int(sizes.sum())) + np.repeat(self.first[units] - (after - sizes), sizes)
+        bounds = np.concatenate([[0], after[ends + np.arange(len(ends))]])
+        return self.ids[place], bounds.tolist()
+
+
+_encoders: dict[tuple[str, int], _Encoder] = {}
+
+
+def _encoder(text: str, end_id: int) -> _Encoder:
     """The worker's own encoder: what it has learned serves the next task too."""
-    if text not in _encoders:
+    if (text, end_id) not in _encoders:
         _encoders.clear()
-        _encoders[text] = _Encoder(text)
-    return _encoders[text]
+        _encoders[text, end_id] = _Encoder(text, end_id)
+    return _encoders[text, end_id]

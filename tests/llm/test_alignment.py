@@ -144,3 +144,20 @@ def test_texts_are_shuffled_once_and_aligned_once(spark):
     (row,) = alignment._aligned(alignment.Aligner(RULES, MODEL), batch).to_pylist()
     counted = pa.Table.from_batches(alignment._count_pairs([pa.RecordBatch.from_pylist([row])]))
     assert set(counted["docs"].to_pylist()) == {50}
+
+
+def test_limits_change_nothing_within_a_task(libraries, monkeypatch):
+    texts = [t.encode() for t in ODD if t] + [b"one text more, and the cat"] * 3
+    batch = pa.RecordBatch.from_pydict({"key": [bytes([i]) for i in range(len(texts))], "copies": [1] * len(texts), "text": texts})
+    own = alignment.Aligner(RULES, MODEL)
+    whole = alignment._aligned(own, batch)
+    counts = pa.Table.from_batches(alignment._count_pairs([whole])).sort_by("pair")
+    monkeypatch.setattr(alignment, "_WIDE", 2)
+    monkeypatch.setattr(alignment, "REMEMBERED", 3)
+    monkeypatch.setattr(alignment, "_TOGETHER", 2)
+    monkeypatch.setattr(alignment, "COUNTED_PAIRS", 10)
+    parts = [alignment._aligned(own, batch.slice(i, 2)) for i in range(0, batch.num_rows, 2)]
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([whole]).to_pylist()
+    several = pa.Table.from_batches(alignment._count_pairs(parts))
+    assert len(several) > len(counts)
+    assert several.group_by("pair").aggregate([("docs", "sum")]).sort_by("pair")["docs_sum"].to_pylist() == counts["docs"].to_pylist()

@@ -130,3 +130,13 @@ def test_no_accumulators_are_made_once_the_bounds_are_too_low(monkeypatch):
     at, scores = lists.best(np.array([1, 0]), np.array([1, 1]), 20)
     assert made == [30]  # the 30 with the rare term, and none after them
     assert Counter((1, n + 1, rows[x][0], s) for n, (x, s) in enumerate(zip(at.tolist(), scores.tolist()))) == expected(rows, [(1, "common rare")])
+
+
+def test_documents_are_put_together_up_to_a_block(monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 7)
+    parts = [
+        pa.RecordBatch.from_arrays([pa.array(range(s, s + 3)), pa.array([b"\0\0\0\0"] * 3, pa.binary())], ["id", "terms"]) for s in range(0, 30, 3)
+    ]
+    blocks = list(lexical._blocks(iter(parts)))
+    assert [b.num_rows for b in blocks] == [6] * 5
+    assert [i for b in blocks for i in b.column("id").to_pylist()] == list(range(30))

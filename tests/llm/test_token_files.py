@@ -4,6 +4,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,3 +99,36 @@ def test_repeated_ids_and_no_documents(spark, library):
     assert sorted(r[:1] + r[2:] for r in result) == sorted(e[:1] + e[2:] for e in expected(library, rows))
     assert [r[1] for r in result] == [0, *np.cumsum([r[2] for r in result]).tolist()[:-1]]
     assert found(docs(spark, []))[0] == []
+
+
+def test_blocks_are_written_as_they_fill(spark, library, monkeypatch):
+    out = io.BytesIO()
+    writer = token_files.Writer(16, 64, out)
+    for k in range(3000):
+        writer.add(k, np.full(50, k, np.uint32))
+    assert len(out.getvalue()) > 3000 * 50 * 2 - 2 * 64 * 65 and writer.waiting < 64 * 64 and not writer.packed
+    assert writer.write() == 150_000
+    reader = token_files.Reader(io.BytesIO(out.getvalue()))
+    assert reader.document(2999).tolist() == [2999] * 50
+    with pytest.raises(ValueError, match="to its end"):
+        token_files.Reader(io.BytesIO(out.getvalue()[:-1000]))
+
+
+def test_long_ranges_make_several_files_and_pieces_are_learned_again(spark, library, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_IDS", 100)
+    monkeypatch.setattr(token_files, "REMEMBERED", 5)
+    monkeypatch.setattr(token_files, "_PIECE", 200)
+    rows = [(i, f"some words {i} <|endoftext|> Ünï {i % 3} <|startoftext|>a " * (i % 5)) for i in range(200)]
+    result, files = found(docs(spark, rows).coalesce(1))
+    assert result == expected(library, rows)
+    assert files.count() > 20
+
+
+LETTERS = "ab AE'.!09\t\x0b\x1c\x85\xa0éÉßςΣİﬁ\u0301\u3000<|>\x00"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(LETTERS), max_size=40), min_size=1, max_size=6))
+def test_any_texts_are_encoded_as_the_library_does(library, texts):
+    ids, bounds = token_files._encoder(vocabulary_text(), 1).encode(pa.array(texts))
+    assert [ids[s:e].tolist() for s, e in zip(bounds, bounds[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
