@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -40,8 +39,9 @@ MARK = b"MRIDPK02"
 BLOCK_IDS = 4096
 #: Ids of a file; a range of documents with more of them makes several files.
 FILE_IDS = 1 << 28
-#: Pieces of text whose ids a Python worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a Python worker remembers; beyond that it forgets those that it
+#: has not met lately.
+REMEMBERED = 500_000
 _PIECE = 4 << 20
 #: Blocks that are packed together, and pieces that the library encodes in one call.
 _TOGETHER, _PIECES = 64, 2000
@@ -314,11 +314,33 @@ def read_files(files: DataFrame) -> DataFrame:
     return placed.select("path", "before").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
+#: Kinds of bytes: a letter, a digit, other ASCII signs, an apostrophe, a byte beyond ASCII.
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _BEYOND = range(5)
+_KIND = np.array(
+    [_BEYOND if i >= 128 else _LETTER if chr(i).isalpha() else _DIGIT if chr(i).isdigit() else _APOSTROPHE if i == 39 else _SIGN for i in range(256)],
+    np.uint8,
+)
+#: Whether a word ends between two kinds of bytes, whatever stands around them.
+_ENDS = np.zeros((5, 5), bool)
+_ENDS[[_LETTER, _SIGN], [_SIGN, _LETTER]] = True
+_ENDS[_DIGIT, [_LETTER, _DIGIT, _SIGN, _APOSTROPHE]] = True
+_ENDS[[_LETTER, _SIGN, _APOSTROPHE], _DIGIT] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: Fixed value: the split that allows these ends.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class _Encoder:
-    """The library's encodings of the pieces that ASCII white space separates; its rules do
-    not look beyond it. The library encodes many distinct pieces in one call, with a special
-    token between them that tells where each ends. What is known of a piece are its ids, as
-    a stretch of one array, so that a batch of texts is put together by a few look-ups."""
+    """The library's encodings of pieces of text, each encoded once as long as it is known.
+
+    Pieces are what ASCII white space separates; the vocabulary's rules do not look beyond
+    it. Where these split letters, single digits and signs from each other and lower the
+    case, which is read from the file, pieces are cut there too, and lowered first, so that
+    fewer of them differ. A batch that holds the text of a special token is cut at white
+    space alone. The library encodes many pieces in one call, with a special token between
+    them that tells where each ends. The ids of a batch are then put together by one look-up.
+    """
 
     def __init__(self, text: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
@@ -329,32 +351,36 @@ class _Encoder:
         self.library.no_padding()
         known = self.library.get_vocab(with_added_tokens=True)
         self.width = bits_for(1 + max(known.values()))
-        self.special = {t["content"].encode(): t["id"] for t in json.loads(text)["added_tokens"] if t["special"]}
-        self.end_id = end_id
-        self._forget()
+        rules = json.loads(text)
+        self.special = {t["content"].encode(): t["id"] for t in rules["added_tokens"] if t["special"]}
+        self.finely = _SPLIT in json.dumps(rules["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and "Lowercase" in json.dumps(rules["normalizer"])
+        #: The end of a document is a piece too.
+        self.known: dict[bytes | None, int] = {None: 0}
+        self.ids = pa.array([np.array([end_id], "<u4").tobytes()], pa.large_binary())
+        self.met = np.ones(1, bool)  # since something was forgotten
 
     def _forget(self) -> None:
-        #: The end of a document is a piece too, and so is the empty one, which has no ids.
-        self.known: dict[bytes | None, int] = {None: 0, b"": 1}
-        self.ids = np.array([self.end_id], np.uint32)
-        self.first = np.array([0, 1, 1])
-
-    def _learn(self, pieces: list[bytes]) -> None:
+        """Keep what was met since the last time; where that is most of it, nothing."""
+        keep = np.flatnonzero(self.met)
+        keep = keep if 2 * len(keep) <= REMEMBERED else keep[:1]
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids = self.ids.take(pa.array(keep))
+        self.met = np.zeros(len(keep), bool)
+
+    def _learn(self, pieces: list[bytes], special: bool) -> None:
         """Make the encodings of these different pieces known, none of which is yet."""
-        alone = [p for p in pieces if any(t in p for t in self.special)] if self.special else pieces
-        plain = [p for p in pieces if p not in set(alone)] if len(alone) < len(pieces) else []
-        ids, sizes = [self.ids], [np.diff(self.first)]
-        for start in range(0, len(plain), _PIECES):
-            own, bounds = self._together(plain[start : start + _PIECES])
-            ids.append(own)
-            sizes.append(bounds)
-        for piece in alone:
-            own = self._ids(piece.decode())
-            ids.append(own)
-            sizes.append([len(own)])
-        self.known.update(zip([*plain, *alone], range(len(self.known), len(self.known) + len(pieces))))
-        self.ids = np.concatenate(ids)
-        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        if special or not self.special:
+            found = [self._ids(p.decode()) for p in pieces]
+            sizes, ids = [len(x) for x in found], np.concatenate([*found, np.zeros(0, np.uint32)])
+        else:
+            parts = [self._together(pieces[s : s + _PIECES]) for s in range(0, len(pieces), _PIECES)]
+            ids, sizes = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [])
+        bounds = 4 * np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        raw = np.ascontiguousarray(ids, "<u4").tobytes()
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        self.ids = pa.concat_arrays([self.ids, own])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -366,26 +392,44 @@ class _Encoder:
         marks = np.flatnonzero(found == number)
         if len(marks) != len(pieces) - 1:
             raise ValueError("the library finds other special tokens than the vocabulary's file says")
-        bounds = np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1
-        return np.delete(found, marks), bounds
+        return np.delete(found, marks), np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, bool]:
+        """The pieces of all texts, where each text's end, and whether special tokens may be there."""
+        data, bounds = textscan.utf8(texts)
+        raw = data.tobytes()
+        special = any(t in raw for t in self.special)
+        word = ~textscan.SPACE[data]
+        before = np.concatenate([[0], np.cumsum(word)])  # places when white space is left out
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:-1] = word[1:] & ~word[:-1]
+        if self.finely and not special:
+            kind = _KIND[data]
+            begins[1:-1] |= word[1:] & _ENDS[kind[:-1], kind[1:]]
+            data = _LOWER[data]
+        begins[bounds] = True
+        starts = np.flatnonzero(begins[:-1])
+        cuts = np.concatenate([before[starts], before[-1:]])
+        cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]  # white space alone leaves no piece
+        count = max(len(cuts) - 1, 0)
+        kept = pa.py_buffer(np.ascontiguousarray(data[word]))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), count, [None, pa.py_buffer(cuts.astype(np.int64)), kept])
+        return found.dictionary_encode(), np.searchsorted(cuts[:count], before[bounds[1:]]), special
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
         """The ids of all texts, one after the other and each with the end id, and their bounds."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        coded = split.flatten().dictionary_encode()
-        pieces = coded.dictionary.cast(pa.binary()).to_pylist()
+        coded, ends, special = self._pieces(texts)
+        pieces = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self._forget()
-        self._learn([p for p in pieces if p not in self.known])
+        self._learn([p for p in pieces if p not in self.known], special)
         number = np.array([self.known[p] for p in pieces], np.int64)
-        counts = split.value_lengths().to_numpy()
-        ends = np.cumsum(counts)
+        self.met = np.concatenate([self.met, np.zeros(len(self.known) - len(self.met), bool)])
+        self.met[number], self.met[0] = True, True
         units = np.insert(number[coded.indices.to_numpy()], ends, 0)
-        sizes = self.first[units + 1] - self.first[units]
-        after = np.cumsum(sizes)
-        place = np.arange(int(sizes.sum())) + np.repeat(self.first[units] - (after - sizes), sizes)
-        bounds = np.concatenate([[0], after[ends + np.arange(len(ends))]])
-        return self.ids[place], bounds.tolist()
+        found, after = textscan.utf8(self.ids.take(pa.array(units)))
+        bounds = np.concatenate([[0], after[ends + np.arange(1, len(ends) + 1)] // 4])
+        return np.frombuffer(found, "<u4"), bounds.tolist()
 
 
 _encoders: dict[tuple[str, int], _Encoder] = {}
