@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from millrace import workspace
 from millrace.operators import catalog
 
-_SLICE = "__slice"
+SLICE = "__slice"
 
 
 def running_total(
@@ -29,23 +29,23 @@ def running_total(
     """
     keys = list(groups)
     sums = {name: F.coalesce(value, F.lit(0)) for name, value in sums.items()}
-    slices = _slices(rows, keys, order)
+    cut = slices(rows, keys, order)
 
     # Slices are contiguous, so a slice holds parts of at most two groups that reach
     # beyond it: this table has at most two rows per slice, whatever the data.
-    parts = slices.groupBy(*keys, _SLICE).agg(*(F.sum(value).alias(name) for name, value in sums.items()))
+    parts = cut.groupBy(*keys, SLICE).agg(*(F.sum(value).alias(name) for name, value in sums.items()))
     group = Window.partitionBy(*keys)
-    before = group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
         *(F.col(g).alias(f"__{g}") for g in keys),
-        F.col(_SLICE).alias("__of_slice"),
+        F.col(SLICE).alias("__of_slice"),
         F.count("*").over(group).alias("__slices"),
         *(F.sum(name).over(before).alias(f"__before_{name}") for name in sums),
         *(F.sum(name).over(group).alias(f"__all_{name}") for name in sums),
     ).filter("__slices > 1")
 
-    local = _add_sums(slices, [_SLICE, *keys], order, sums, totals)
-    same = F.col(_SLICE) == F.col("__of_slice")
+    local = _add_sums(cut, [SLICE, *keys], order, sums, totals)
+    same = F.col(SLICE) == F.col("__of_slice")
     for g in keys:
         same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
     joined = local.join(F.broadcast(carried), same, "left")
@@ -55,20 +55,21 @@ def running_total(
     return joined.withColumns(raised).select(*rows.columns, *raised)
 
 
-def _slices(rows: DataFrame, keys: list[str], order: Sequence[Column]) -> DataFrame:
-    """The rows with their slice, a task's slice in one bucket."""
+def slices(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows with their slice (``SLICE``), a task's slice in one bucket. Slices are numbered
+    in the order of the keys and of ``order``, and a slice is contiguous in it."""
     spark = rows.sparkSession
     # Slices are written down: range bounds come from a sample, and a lost executor
     # must not make the two reads disagree about them.
     path = workspace.fresh_path(spark, "slices")
-    ranged = rows.repartitionByRange(*(F.col(g) for g in keys), *order).withColumn(_SLICE, F.spark_partition_id())
+    ranged = rows.repartitionByRange(*(F.col(g) for g in keys), *order).withColumn(SLICE, F.spark_partition_id())
     table = f"{catalog.scratch_database(spark)}.{workspace.fresh_name('slices')}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged.write.bucketBy(buckets, _SLICE).option("path", path).saveAsTable(table)
-    slices = spark.table(table)
+    ranged.write.bucketBy(buckets, SLICE).option("path", path).saveAsTable(table)
+    cut = spark.table(table)
     # The frame knows its files; only the name goes.
     spark.sql(f"DROP TABLE {catalog.quoted(table)}")
-    return slices
+    return cut
 
 
 def _add_sums(rows: DataFrame, keys: list[str], order: Sequence[Column], sums: dict[str, Column], totals: bool) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +35,10 @@ def remove(spark: SparkSession, path: str) -> bool:
 def fresh_name(prefix: str) -> str:
     """A database, table or view name that no other run uses."""
     return f"{prefix}_{uuid.uuid4().hex[:10]}"
+
+
+def written(rows: DataFrame, purpose: str) -> DataFrame:
+    """Rows that are needed more than once, written below the shared folder and read back."""
+    path = fresh_path(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
