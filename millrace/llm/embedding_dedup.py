@@ -48,15 +48,16 @@ def near_duplicates(
     recall: float = 0.9999,
     seed: int = 1,
 ) -> DataFrame:
-    """One row per id: ``id_col``, ``n_links``, ``component_id``, ``kept``.
+    """One row per vector: ``id_col``, ``n_links``, ``component_id``, ``kept``.
 
     * ``recall`` is the chance that a pair right at the threshold meets in a table; pairs
       above it meet more often, and members of a group are compared whether they met or not.
     * Null, empty and zero vectors and vectors with a null or non-finite part have no links.
       Vectors of different lengths are never linked.
     * Equal vectors are linked with each other like any others.
-    * Rows that repeat an id are one vector, the least of them if they differ. Rows without
-      an id come back as they are: no links, no component, kept.
+    * Each row is a vector of its own, also where ids repeat or are null; it is linked by
+      what it holds. ``component_id`` is the smallest id of the component, null where none of
+      its vectors has an id; those are all kept, other vectors without an id are not.
     * An empty table gives no rows. Other columns are not looked at.
     """
     # Floats travel as they are; cosines are taken in double precision.
@@ -66,33 +67,29 @@ def near_duplicates(
     usable = F.col("v").isNotNull() & ~F.exists(
         "v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     ) & F.exists("v", lambda x: x != 0)
-    named = rows.filter("id IS NOT NULL").withColumn("v", F.when(usable, F.col("v")))
-    own = written(named.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    classes = written(
-        own.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes"
-    )
+    own = written(rows.withColumn("v", F.when(usable, F.col("v"))), "vectors")
+    # Classes of equal vectors get numbers of their own, whatever ids their rows have.
+    equal = own.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = written(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     planes, tables = table_shape(classes.count(), threshold, recall)
     links = components(_bucket_links(classes, planes, tables, threshold, seed))
     groups = links.withColumnRenamed("id", "rep").withColumnRenamed("component", "group")
     grouped = written(groups.join(classes, "rep"), "grouped")
     counts = _count_links(grouped, threshold)
-
-    found = (
-        own.join(classes.select("v", "rep", "n"), "v", "left")
-        .select("id", "rep", "n")
-        .join(groups, "rep", "left")
-        .join(counts, "rep", "left")
-    )
-    result = found.select(
-        F.col("id").alias(id_col),
+    tops = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    placed = grouped.select("rep", "group").join(tops, "group").join(counts, "rep", "left").select("rep", "component_id", "others")
+
+    found = own.join(classes.select("v", "rep", "n", "least"), "v", "left").select("id", "rep", "n", "least").join(placed, "rep", "left")
+    unusable, alone = F.col("n").isNull(), F.col("others").isNull()
+    component = F.when(unusable, F.col("id")).when(alone, F.col("least")).otherwise(F.col("component_id"))
+    told = found.select(
+        "id",
         (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("group", "rep", "id").alias("component_id"),
-    ).withColumn("kept", F.col(id_col) == F.col("component_id"))
-    unnamed = rows.filter("id IS NULL").select(
-        F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")
+        component.alias("component_id"),
     )
-    return result.unionByName(unnamed)
+    kept = F.col("component_id").isNull() | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return told.select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
 
 
 def _bucket_links(classes: DataFrame, planes: int, tables: int, threshold: float, seed: int) -> DataFrame:

@@ -21,7 +21,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import batches, textscan
@@ -71,21 +71,37 @@ def similar_documents(
       words than ``width`` has one shingle, all of its words. A text without words, or
       null, has an empty set, which is linked with nothing.
     * Whole texts count, however long. Documents with equal sets are linked like others.
-    * Rows that repeat an id are one document; it is linked by what any of its texts is
-      linked by. Rows without an id come back unlinked, without a class, and kept.
+    * Each row is a document, also where ids repeat or are null: it comes back once, and
+      is linked by its own text. A null id is in the class of its text; ``class_id`` is
+      null, and ``kept`` true, where no document of the class has an id.
     * An empty table gives no rows. Other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketched, found = _classified(docs, id_col, text_col, threshold, width, recall)
+    whole = sketched.select("id", "key").join(found.select("key", "n_links", "class_id"), "key", "left")
+    class_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    told = whole.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), class_id.alias("class_id"))
+    kept = F.col("class_id").isNull() | F.coalesce(F.col("id") == F.col("class_id"), F.lit(False))
+    return told.select(F.col("id").alias(id_col), "n_links", "class_id", kept.alias("kept"))
+
+
+def _classified(
+    docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, recall: float
+) -> tuple[DataFrame, DataFrame]:
+    """Each row's id, hashes of its text and key of its set; and for each key ``n_links`` of
+    its rows, ``component`` (a number of the connected classes), ``class_id`` and the number
+    of ``rows`` of the component."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *_text_hashes(text_col))
     sketched = written(
-        rows.mapInArrow(_sketcher(width), "id long, key binary, shingles long, sketch binary"), "sketches"
+        rows.mapInArrow(_sketcher(width), "id long, h long, h2 long, key binary, shingles long, sketch binary"), "sketches"
     )
-    named = sketched.filter("id IS NOT NULL AND shingles > 0")
+    # Classes are told apart by their content, whatever ids their rows have.
     classes = written(
-        named.groupBy("key").agg(
-            F.min("id").alias("rep"),
-            F.count_distinct("id").alias("n"),
+        sketched.filter("shingles > 0").groupBy("key").agg(
+            F.min("id").alias("least"),
+            F.count("*").alias("n"),
             F.min("shingles").alias("shingles"),
             F.min("sketch").alias("sketch"),
+            F.min(F.struct("h", "h2")).alias("text"),
         ),
         "classes",
     ).withColumn("node", F.xxhash64("key"))
@@ -94,34 +110,24 @@ def similar_documents(
     met = _met(buckets, classes)
     near = written(met.mapInArrow(_estimated(threshold), "a long, b long"), "candidates")
     groups = components(near).select(F.col("id").alias("node"), F.col("component").alias("group"))
-    grouped = written(groups.join(classes.drop("sketch"), "node"), "groups")
+    grouped = written(groups.join(classes.select("node", "key", "n", "shingles", "text.*"), "node"), "groups")
     compared = written(
         _with_texts(grouped, rows).mapInArrow(_exact(Fraction(str(threshold)), width), "a long, b long, others long"), "links"
     )
 
     counts = compared.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
-    # A document belongs to its class, and classes are linked: nodes of one graph. Ids of
-    # documents and of classes are told apart by hanging each class on its smallest id.
-    reps = grouped.select("node", "rep")
-    left, right = reps.toDF("a", "u"), reps.toDF("b", "v")
-    linked = compared.filter("b IS NOT NULL").join(left, "a").join(right, "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    member = named.select("id", "key").distinct().join(classes.select("key", "node", "rep", "n"), "key")
-    member = written(member.join(counts, "node", "left").select("id", "rep", "n", "others"), "members")
-    own = member.groupBy("id").agg(
-        F.min("rep").alias("rep"), F.max("rep").alias("last"), F.sum(F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
-    )
-    several = own.filter("rep <> last").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    several = several.union(member.join(own.filter("rep <> last").select("id"), "id").select("id", "rep"))
-    joined = components(linked.union(several)).toDF("rep", "component")
-    with_sets = own.join(joined, "rep", "left").select(
-        F.col("id"), F.col("n_links").cast("long"), F.coalesce("component", "rep").alias("class_id")
-    )
-    without = sketched.filter("id IS NOT NULL").groupBy("id").agg(F.max("shingles").alias("most")).filter("most = 0")
-    nameless = sketched.filter("id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_id"))
-    whole = with_sets.union(without.select("id", F.lit(0).cast("long"), "id")).union(nameless)
-    return whole.select(
-        F.col("id").alias(id_col), "n_links", "class_id", (F.col("class_id").isNull() | (F.col("id") == F.col("class_id"))).alias("kept")
-    )
+    joined = components(compared.filter("b IS NOT NULL").select("a", "b")).toDF("node", "component")
+    placed = classes.select("node", "key", "least", "n").join(counts, "node", "left").join(joined, "node", "left")
+    placed = written(placed.withColumn("component", F.coalesce("component", "node")), "placed")
+    tops = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("rows"))
+    links = F.col("n") - 1 + F.coalesce("others", F.lit(0))
+    return sketched, written(placed.join(tops, "component").select("key", links.alias("n_links"), "component", "class_id", "rows"), "classified")
+
+
+def _text_hashes(text_col: str) -> list[Column]:
+    """128 bits by which texts are told apart; a null text is an empty one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2")]
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +170,8 @@ def _sketcher(width: int):
                     keys.append(_key(sets[s:e]) if e > s else None)
                     sketches.append(_min_hashes(sets[s:e], factors).tobytes() if e > s else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(keys, pa.binary()), pa.array(np.diff(bounds)), pa.array(sketches, pa.binary())],
-                    ["id", "key", "shingles", "sketch"],
+                    [*(batch.column(c) for c in ("id", "h", "h2")), pa.array(keys, pa.binary()), pa.array(np.diff(bounds)), pa.array(sketches, pa.binary())],
+                    ["id", "h", "h2", "key", "shingles", "sketch"],
                 )
 
     return run
@@ -267,8 +273,9 @@ def _with_texts(grouped: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = grouped.groupBy("group").agg(F.count("*").alias("size"), F.sum("shingles").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES))
     named = grouped.join(sizes, "group").withColumn("parts", F.least(blocks, F.col("size")))
-    wanted = maybe_in(rows, F.col("id"), grouped, "rep").filter("__maybe")
-    texts = wanted.join(named, F.col("id") == F.col("rep")).select("group", "node", "key", "n", "text", "parts")
+    # One text of each class, whichever of its copies a task meets first.
+    wanted = maybe_in(rows, F.col("h"), grouped, "h").filter("__maybe").groupBy("h", "h2").agg(F.first("text").alias("text"))
+    texts = wanted.join(named, ["h", "h2"]).select("group", "node", "key", "n", "text", "parts")
     return in_blocks(texts, "node", F.col("parts")).drop("parts")
 
 
@@ -285,7 +292,7 @@ def _exact(threshold: Fraction, width: int):
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 sets, cuts = shingle_sets(batch.slice(s, e - s), width)
                 rows, seen = [], set()
-                for i in range(e - s):  # an id may come with other texts than its class's
+                for i in range(e - s):
                     node = int(nodes[s + i])
                     if node not in seen and _key(sets[cuts[i] : cuts[i + 1]]) == keys[s + i].as_py():
                         seen.add(node)
@@ -342,22 +349,30 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that ``similar_documents``
-    does not keep. Of rows that repeat an id, one stays: the least by text."""
-    found = similar_documents(docs, id_col, text_col, **how)
-    gone = found.filter("NOT kept").select(F.col(id_col).alias("__id"), F.lit(1).alias("__gone"))
-    several = docs.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1 AND __id IS NOT NULL")
-    flags = written(
-        gone.join(several.select("__id", F.lit(1).alias("__several")), "__id", "full"), "removed"
-    )
-    sorted_out = maybe_in(docs, F.col(id_col), flags, "__id")
-    untouched = sorted_out.filter("NOT __maybe").drop("__maybe")
-    looked_up = sorted_out.filter("__maybe").drop("__maybe")
-    marked = looked_up.join(flags, F.col(id_col) == F.col("__id"), "left").filter("__gone IS NULL").drop("__id", "__gone")
-    single = untouched.unionByName(marked.filter("__several IS NULL").drop("__several"))
-    repeated = marked.filter("__several IS NOT NULL").drop("__several")
-    one = repeated.groupBy(F.col(id_col).alias("__id")).agg(
-        F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("__row")
-    )
-    return single.unionByName(one.select(*(F.col(f"__row.{c}") for c in docs.columns)))
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, recall: float = 0.999
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of documents that are
+    connected by links: the one with the least id, null ids last, then the least hash of its
+    text. No row goes for its id alone. Texts without words are linked with nothing and stay.
+    """
+    sketched, found = _classified(docs, id_col, text_col, threshold, width, recall)
+    several = found.filter(F.col("rows") > 1).select("key", "component")
+    members = written(sketched.select("id", "h", "h2", "key").join(several, "key").drop("key"), "members")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "h2"))
+    best = members.groupBy("component").agg(first.alias("best")).select("component", "best.*")
+    stays = best.select(F.col("id").alias("stay_id"), "h", "h2", F.lit(True).alias("stays"))
+    flags = written(members.select("h", "h2").distinct().join(stays, ["h", "h2"], "left").withColumn("told", F.lit(True)), "flags")
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), *_text_hashes(text_col))
+    sorted_out = maybe_in(rows, F.col("h"), flags, "h")
+    untouched = sorted_out.filter("NOT __maybe").select("row")
+    looked_up = sorted_out.filter("__maybe").drop("__maybe").join(flags, ["h", "h2"], "left")
+    left = written(looked_up.filter("told IS NULL OR (stays AND id <=> stay_id)").select("row", "h", "h2", "told"), "left")
+    alone, candidates = left.filter("told IS NULL").select("row"), left.filter("told")
+    # Rows alike in id and text may differ elsewhere; the least of them in JSON stays.
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c != text_col]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    least = candidates.groupBy("h", "h2").agg(F.min_by("row", order).alias("row")).select("row")
+    whole = untouched.unionByName(alone).unionByName(least)
+    return whole.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

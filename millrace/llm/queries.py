@@ -95,20 +95,21 @@ def remainder(column: str, of: int):
 @query(
     """
     WITH RECURSIVE
+    vectors AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     usable AS (
-        SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        SELECT r, v FROM vectors
+        WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+          AND len(list_filter(v, lambda x: x <> 0)) > 0),
     links AS (
-        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.r <> b.r AND len(a.v) = len(b.v)
         WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
-    reached(id, top) AS (
-        SELECT vec_id, vec_id FROM embeddings UNION
-        SELECT l.b, r.top FROM reached r JOIN links l ON l.a = r.id),
-    tops AS (SELECT id, min(top) AS component_id FROM reached GROUP BY id),
+    reached(r, top) AS (
+        SELECT r, vec_id FROM vectors UNION
+        SELECT l.b, x.top FROM reached x JOIN links l ON l.a = x.r),
+    tops AS (SELECT r, min(top) AS component_id FROM reached GROUP BY r),
     counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-    SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept
-    FROM tops LEFT JOIN counts ON a = id
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id IS NULL OR coalesce(vec_id = component_id, false) AS kept
+    FROM vectors JOIN tops USING (r) LEFT JOIN counts ON a = r
     """
 )
 def op1_embedding_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
@@ -118,24 +119,25 @@ def op1_embedding_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
 @query(
     r"""
     WITH RECURSIVE
-    words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+    words AS (SELECT r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM docs),
     shingles AS (
-        SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+        SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS s
         FROM words, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0),
-    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
     shared AS (
-        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
-        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        SELECT a.r AS a, b.r AS b, count(*) AS n
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2),
     links AS (
-        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b
         WHERE 5 * shared.n >= 4 * (x.n + y.n - shared.n)),
-    reached(id, top) AS (
-        SELECT doc_id, doc_id FROM documents UNION
-        SELECT l.b, r.top FROM reached r JOIN links l ON l.a = r.id),
-    tops AS (SELECT id, min(top) AS class_id FROM reached GROUP BY id),
+    reached(r, top) AS (
+        SELECT r, doc_id FROM docs UNION
+        SELECT l.b, x.top FROM reached x JOIN links l ON l.a = x.r),
+    tops AS (SELECT r, min(top) AS class_id FROM reached GROUP BY r),
     counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-    SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_links, class_id, id = class_id AS kept
-    FROM tops LEFT JOIN counts ON a = id
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_links, class_id, class_id IS NULL OR coalesce(doc_id = class_id, false) AS kept
+    FROM docs JOIN tops USING (r) LEFT JOIN counts ON a = r
     """
 )
 def op2_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -22,23 +23,26 @@ def usable(v):
 def expected(rows, threshold=0.9):
     import numpy as np
 
-    own = {i: np.array(v, np.float32).astype(np.float64) for i, v in rows if usable(v)}
+    own = {r: np.array(v, np.float32).astype(np.float64) for r, (_, v) in enumerate(rows) if usable(v)}
     links = []
     for a in own:
         for b in own:
             if a < b and len(own[a]) == len(own[b]):
                 if own[a] @ own[b] / math.sqrt((own[a] @ own[a]) * (own[b] @ own[b])) >= threshold:
                     links.append((a, b))
-    ids = {i for i, _ in rows}
-    top = groups(ids, links)
-    return {i: (sum(i in x for x in links), top[i], top[i] == i) for i in ids}
+    top = groups(range(len(rows)), links)
+    counts = Counter(x for link in links for x in link)
+    out = Counter()
+    for r, (name, _) in enumerate(rows):
+        least = min((rows[x][0] for x in top if top[x] == top[r] and rows[x][0] is not None), default=None)
+        out[name, counts[r], least, least is None or name == least] += 1
+    return out
 
 
 def found(frame, **how):
     rows = embedding_dedup.near_duplicates(frame, **how).collect()
     assert list(rows[0].asDict()) == ["vec_id", "n_links", "component_id", "kept"] if rows else True
-    assert len(rows) == len({r.vec_id for r in rows})
-    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows}
+    return Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows)
 
 
 def clustered(seed=5):
@@ -75,14 +79,15 @@ def test_odd_vectors_have_no_links(spark):
 
 
 def test_repeated_and_missing_ids(spark):
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (None, None)]
-    result = embedding_dedup.near_duplicates(table(spark, rows)).collect()
-    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in result if r.vec_id) == [(1, 1, 1, True), (2, 1, 1, False)]
-    assert [(r.n_links, r.component_id, r.kept) for r in result if r.vec_id is None] == [(0, None, True)] * 2
+    rows = [
+        (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (None, None), (3, None), (3, None),
+        (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (4, [0.7, -0.7]),
+    ]
+    assert found(table(spark, rows)) == expected(rows)
 
 
 def test_empty_table(spark):
-    assert found(table(spark, [])) == {}
+    assert found(table(spark, [])) == Counter()
 
 
 @pytest.mark.parametrize("n", [10, 10_000, 10**9])

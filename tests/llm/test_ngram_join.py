@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,23 +15,27 @@ def shingles(text, width=5):
     return {tuple(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set()
 
 
+def classes(rows, num=4, den=5):
+    """The links of each row, and the rows of its class, by row number."""
+    sets = [shingles(text) for _, text, *_ in rows]
+    links = [
+        (a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) * den >= len(sets[a] | sets[b]) * num
+    ]
+    top = groups(range(len(rows)), links)
+    counts = Counter(x for link in links for x in link)
+    return [(counts[r], [x for x in top if top[x] == top[r]]) for r in range(len(rows))]
+
+
 def expected(rows, num=4, den=5):
-    sets = {}
-    for i, text, *_ in rows:
-        sets.setdefault(i, []).append(shingles(text))
-    links = []
-    for a in sets:
-        for b in sets:
-            if a < b and any(x and y and len(x & y) * den >= len(x | y) * num for x in sets[a] for y in sets[b]):
-                links.append((a, b))
-    top = groups(sets, links)
-    return {i: (sum(i in x for x in links), top[i], top[i] == i) for i in sets}
+    out = Counter()
+    for (name, *_), (links, own) in zip(rows, classes(rows, num, den)):
+        least = min((rows[x][0] for x in own if rows[x][0] is not None), default=None)
+        out[name, links, least, least is None or name == least] += 1
+    return out
 
 
 def found(frame, **how):
-    rows = ngram_join.similar_documents(frame, **how).collect()
-    assert len(rows) == len({r.doc_id for r in rows})
-    return {r.doc_id: (r.n_links, r.class_id, r.kept) for r in rows}
+    return Counter((r.doc_id, r.n_links, r.class_id, r.kept) for r in ngram_join.similar_documents(frame, **how).collect())
 
 
 def corpus(seed=2):
@@ -74,18 +79,33 @@ def test_short_empty_and_long_texts(spark):
     assert found(docs(spark, rows)) == expected(rows)
 
 
+CLASHING = ("id", "__id", "h", "h2", "key", "row", "told", "stays", "stay_id", "__at", "__maybe", "__gone", "__several", "__word", "__bits", "__place", "component", "n")
+TEXT = "a b c d e f g h"
+REPEATED = [
+    (1, TEXT), (5, TEXT), (1, "q r s t u v"), (6, "q r s t u v"), (2, "alone in the world of words"), (2, TEXT), (None, TEXT), (None, None), (None, None),
+    (None, "only without an id, twice"), (None, "only without an id, twice"), (3, ""), (3, ""), (4, "x y z"), (4, "x y z"),
+]
+
+
 def test_repeated_and_missing_ids(spark):
-    text = "a b c d e f g h"
-    rows = [(1, text), (1, text), (2, text), (3, "q r s t u v"), (3, text), (None, text), (None, None)]
-    result = ngram_join.similar_documents(docs(spark, rows)).collect()
-    assert sorted((r.doc_id, r.n_links, r.class_id, r.kept) for r in result if r.doc_id) == [
-        (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False),
-    ]
-    assert [(r.n_links, r.class_id, r.kept) for r in result if r.doc_id is None] == [(0, None, True)] * 2
+    assert found(docs(spark, REPEATED)) == expected(REPEATED)
+
+
+def test_no_row_goes_for_its_id_alone(spark):
+    """One row of each class stays, the one with the least id, and all rows of other texts."""
+    frame = docs(spark, REPEATED)
+    for name in CLASHING:
+        frame = frame.withColumn(name, F.lit("own"))
+    kept = ngram_join.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == sorted(
+        [(1, TEXT), (1, "q r s t u v"), (2, "alone in the world of words"), (0, ""), (0, ""), (0, "only without an id, twice"), (3, ""), (3, ""), (4, "x y z")]
+    )
+    assert kept.filter(" OR ".join(f"`{c}` <> 'own'" for c in CLASHING)).count() == 0
 
 
 def test_empty_table(spark):
-    assert found(docs(spark, [])) == {}
+    assert found(docs(spark, [])) == Counter()
 
 
 @pytest.mark.parametrize("depth", [1, 3])
@@ -99,11 +119,10 @@ def test_runs_meet_the_recall(depth):
 
 
 def test_one_of_each_group_stays_with_all_columns(spark):
-    rows = corpus(4) + [(0, corpus(4)[0][1]), (None, "x y"), (None, "x y")]
+    rows = corpus(4) + [(0, corpus(4)[0][1])]
     frame = docs(spark, rows)
     kept = ngram_join.drop_near_duplicates(frame)
     assert kept.columns == frame.columns
-    stay = sorted(i for i, (_, _, k) in expected([r for r in rows if r[0] is not None]).items() if k)
-    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == stay
-    assert kept.filter("doc_id IS NULL").count() == 2
+    stay = {min(rows[x][0] for x in own) for _, own in classes(rows)}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(stay)
     assert kept.filter(F.col("size") != "own size").count() == 0
