@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ from pyspark.sql import functions as F
 BITS = 1 << 25
 
 
+def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def maybe_in(rows: DataFrame, key: Column, ids: DataFrame, id_col: str) -> DataFrame:
     """Add ``__maybe``: false where ``key`` is surely none of the ids, true otherwise.
 

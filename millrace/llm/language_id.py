@@ -23,6 +23,8 @@ from millrace.llm.sampling import first_by_hash
 
 #: Trigrams are hashed to this many counters.
 GRAMS = 1 << 15
+#: Languages that a model may have: its tables go to every task.
+LANGUAGES = 500
 #: Labelled texts that a language is learned from, at most.
 SAMPLE = 2000
 #: A further language must raise the log-likelihood by this times the log of the number of
@@ -48,17 +50,20 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     A language is learned from the ``SAMPLE`` rows that come first by a hash of their id, or
     from all if it has fewer; rows without an id are not learned from. Trigram counts are
     added up by Spark; what reaches the driver is the model itself. Without usable rows the
-    model knows no language.
+    model knows no language. More than ``LANGUAGES`` of them are refused.
     """
     lang = F.col(lang_col).cast("string")
     known = docs.filter(usable & F.col(text_col).isNotNull() & lang.isNotNull())
-    names = sorted(r[0] for r in known.select(lang).distinct().collect())
+    known = known.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    names = sorted(r[0] for r in known.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"column {lang_col!r} has more than {LANGUAGES} values; the model holds a table for each")
     if not names:
         return LanguageModel((), np.zeros((GRAMS, 0)))
-    chosen = first_by_hash(known.select(lang.alias("lang"), F.col(id_col).alias("__id")), "lang", F.col("__id"), SAMPLE, 3)
+    chosen = first_by_hash(known.select("lang", "id"), "lang", F.col("id"), SAMPLE, 3)
     # Bounded by SAMPLE rows for each language.
-    ids = F.broadcast(chosen.select("__id").distinct())
-    texts = known.join(ids, F.col(id_col) == F.col("__id")).select(lang.alias("lang"), F.col(text_col).alias("text"))
+    ids = F.broadcast(chosen.select("id").distinct())
+    texts = known.join(ids, "id").select("lang", "text")
     counted = texts.mapInArrow(_counter(names), "lang int, gram int, n long")
     counts = np.full((GRAMS, len(names)), 0.5)
     for row in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():

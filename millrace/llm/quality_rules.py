@@ -98,7 +98,7 @@ def _sql(condition: Condition) -> str:
 
 def with_statistics(rows: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add a long column ``__<name>`` for each of ``STATISTICS`` to rows, which keep all
-    columns, or those of ``keep``.
+    columns, or those of ``keep``; columns of these names are replaced.
 
     Words are the runs between ASCII white space. ``word_chars`` counts the code points in
     words, ``n_symbols`` the characters of ``SYMBOLS``. Lines end with a line feed;
@@ -108,8 +108,8 @@ def with_statistics(rows: DataFrame, text_col: str = "text", keep: Sequence[str]
     digits, ``n_marks`` words whose last two bytes are no letters or digits, ``n_distinct``
     different words. A null text counts as empty: all zero.
     """
-    columns = list(rows.columns if keep is None else keep)
     names = [f"__{n}" for n in STATISTICS]
+    columns = [c for c in (rows.columns if keep is None else keep) if c not in names]
     schema = rows.select(*columns).withColumns({n: F.lit(0).cast("long") for n in names}).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +223,15 @@ def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str =
 def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DecisionList:
     """Learn which documents to reject: those labelled 0 among the ones that the base rules
     let through. ``measured`` has the statistics of all documents, or of the labelled ones
-    at least. Without documents of both labels the list is empty, and keeps everything."""
+    at least; of rows that share an id, those with the least features are learned from.
+    Without documents of both labels the list is empty, and keeps everything."""
     # Bounded by SAMPLE, whatever the number of labels.
     sample = F.broadcast(labelled_sample(labels, id_col, label_col))
     features = [F.expr(_ratio(f)).alias(f) for f in FEATURES]
-    rows = measured.filter(~base_failed()).join(sample, F.col(id_col) == F.col("__id"))
-    table = rows.select("good", F.xxhash64(F.col("__id").cast("string"), F.lit(10)).alias("part"), *features).toPandas()
+    passed = measured.filter(~base_failed()).select(F.col(id_col).alias("__own"), F.struct(*features).alias("__features"))
+    rows = passed.join(sample, F.col("__own") == F.col("__id")).groupBy("__id", "good").agg(F.min("__features").alias("__features"))
+    # One row for each id of the sample, however many rows share it.
+    table = rows.select("good", F.xxhash64(F.col("__id").cast("string"), F.lit(10)).alias("part"), "__features.*").toPandas()
     table = table.sort_values(["part", *FEATURES], kind="stable")
     values, bad = table[list(FEATURES)].to_numpy(np.float64), table["good"].to_numpy() == 0
     growing = (table["part"].to_numpy() % 3) != 0

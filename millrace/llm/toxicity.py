@@ -118,11 +118,12 @@ def score(model: ToxicityModel, rows: DataFrame, text_col: str = "text", keep: S
     text has the score of a text in which no filter found anything.
     """
     kept = [c for c in (rows.columns if keep is None else keep) if c not in ("score", "predicted")]
-    logit = F.col("__logit") - F.col("__threshold")
-    found = _scored(model, rows, text_col, kept).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
+    added = filters.free_names(rows.columns, "__lang", "__logit", "__threshold")
+    logit = F.col(added[1]) - F.col(added[2])
+    found = _scored(model, rows, text_col, kept, added).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
     if model.network is None:
         found = found.withColumn("score", F.lit(0.0))
-    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("__lang", "__logit", "__threshold")
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*added)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
@@ -133,9 +134,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     return scored.filter("predicted = 0").select("__kept.*")
 
 
-def _scored(model: ToxicityModel, rows: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+def _scored(
+    model: ToxicityModel, rows: DataFrame, text_col: str, columns: list[str], added: Sequence[str] = ("__lang", "__logit", "__threshold")
+) -> DataFrame:
+    """Add the inferred language, the logit and the language's threshold under these names."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)
-    schema = rows.select(*columns).withColumns({"__lang": F.lit(""), "__logit": F.lit(0.0), "__threshold": F.lit(0.0)}).schema
+    schema = rows.select(*columns).withColumns(dict(zip(added, (F.lit(""), F.lit(0.0), F.lit(0.0))))).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
@@ -150,7 +154,7 @@ def _scored(model: ToxicityModel, rows: DataFrame, text_col: str, columns: list[
                     tongues = [x[0] for x in language_id.languages(known.languages, texts)]
                 limits = [known.thresholds.get(x, known.common) for x in tongues]
                 found = [pa.array(tongues, pa.string()), pa.array(logits.astype(np.float64)), pa.array(limits, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, "__lang", "__logit", "__threshold"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], [*columns, *added])
 
     return rows.mapInArrow(run, schema)
 
