@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace import workspace
 from millrace.functions import clock, decode
 from millrace.functions.money import amount, cents
-from millrace.operators import carry, catalog, intervals, sessions
+from millrace.operators import carry, catalog, intervals, panes, sessions
 from millrace.plans.realtime import EVENT, TOPIC, _events, _messages, _published, _stream
 from millrace.plans.registry import query
 from millrace.sources import tables, topics
@@ -214,3 +214,20 @@ def ingest_without_retries(spark: SparkSession, directory: str) -> DataFrame:
     spark.catalog.refreshTable(table)
     rows, _ = decode.decode_json(spark.table(table), EVENT)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("total_event_id"))
+
+
+@query(
+    """
+WITH spread AS (
+    SELECT (epoch_us(ts) // 600000000) * 600 - 600 * i AS window_second, event_type, value FROM events, range(6) AS t(i))
+SELECT TIMESTAMP '1970-01-01' + to_seconds(window_second) AS window_start, event_type, count(*) AS n,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM spread GROUP BY 1, 2
+"""
+)
+def sliding_hourly_metrics(spark: SparkSession, directory: str) -> DataFrame:
+    """Metrics of an hour, every ten minutes."""
+    second = F.floor(clock.epoch_micros("ts") / 1_000_000)
+    found = panes.sliding_sums(_events(spark, directory), second, ["event_type"], 3600, 600, {"cents": cents("value")})
+    start = clock.from_epoch_micros(F.col("window_start") * 1_000_000)
+    return found.select(start.alias("window_start"), "event_type", "n", amount("cents").alias("total"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import workspace
-from millrace.operators import carry, catalog, intervals, sessions
+from millrace.operators import carry, catalog, intervals, panes, sessions
 from millrace.streaming import ingest, windows
 
 START = dt.datetime(2024, 1, 1)
@@ -232,3 +232,21 @@ def test_copies_are_known_across_a_restart(spark):
         ingest.run_to_end(windows.ingest_once(messages, ["id"], 3600, table, checkpoint))
     spark.catalog.refreshTable(table)
     assert sorted(r.id for r in spark.table(table).collect()) == [1, 2, 3, 4]
+
+
+def test_sliding_windows_are_summed_from_panes(spark):
+    rng = random.Random(15)
+    rows = [(g, rng.randrange(-90, 200) if i % 30 else None, rng.randrange(9)) for i, g in enumerate(hot(800, 16))]
+    frame = spark.createDataFrame(rows, "g string, t bigint, v bigint").repartition(4)
+    found = panes.sliding_sums(frame, F.col("t"), ["g"], 60, 20, {"total": F.col("v")})
+    expected = {}
+    for g, t, v in rows:
+        for start in range(-200, 200, 20):
+            if t is not None and start <= t < start + 60:
+                n, total = expected.get((start, g), (0, 0))
+                expected[start, g] = n + 1, total + v
+    assert {(r.window_start, r.g): (r.n, r.total) for r in found.collect()} == expected
+    plan = plan_of(found)
+    assert plan.index("Generate explode") < plan.rindex("HashAggregate") and "Expand" not in plan  # panes are spread, not rows
+    with pytest.raises(ValueError, match="multiple"):
+        panes.sliding_sums(frame, F.col("t"), [], 50, 20, {})
