@@ -53,7 +53,7 @@ def test_poor_documents_go(spark, stages):
 def test_one_document_of_each_group_stays(stages):
     _, before, after = stages[2]
     rows = [(r.doc_id, r.text) for r in before.collect()]
-    stay = [i for i, (_, _, kept) in near_duplicates(rows).items() if kept]
+    stay = [i for i, _, _, kept in near_duplicates(rows).elements() if kept]
     assert sorted(r.doc_id for r in after.collect()) == sorted(stay)
 
 
