@@ -6,7 +6,9 @@
 Topic, servers, message format, first offset, segment size and time, retention and index
 columns come from the declarations. Messages that do not decode are kept in a table of the
 same name with the ending _quarantine. Expired days are dropped when the job starts; run it
-with --expireOnly to do no more than that, for instance once a day.
+with --expireOnly to do no more than that, for instance once a day, and with --compactOnly to
+merge the batches of the days before as well. What a merge replaces stays for a day, for the
+queries that still read it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from millrace import schemas, workspace
 from millrace.jobs.ingest import source_options
 from millrace.operators import catalog
 from millrace.sources import topics
-from millrace.streaming import ingest, realtime
+from millrace.streaming import compaction, ingest, realtime
 
 
 def options(arguments: list[str] | None = None) -> argparse.Namespace:
@@ -32,6 +34,7 @@ def options(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--topicFolder", help="replay a topic kept as Parquet files, up to its end")
     parser.add_argument("--kafkaOption", action="append", default=[], metavar="NAME=VALUE")
     parser.add_argument("--expireOnly", action="store_true")
+    parser.add_argument("--compactOnly", action="store_true")
     parser.add_argument("--asOf", type=dt.date.fromisoformat, help="the day retention counts from; today (UTC) by default")
     return parser.parse_args(arguments)
 
@@ -43,8 +46,13 @@ def run(spark: SparkSession, chosen: argparse.Namespace) -> None:
     table = f"{chosen.database}.{declared.name}"
     catalog.create_database(spark, chosen.database)
     realtime.create_declared(spark, table, declared)
-    realtime.expire_declared(spark, table, declared, chosen.asOf or dt.datetime.now(dt.timezone.utc).date())
-    if chosen.expireOnly:
+    now = dt.datetime.now(dt.timezone.utc)
+    as_of = chosen.asOf or now.date()
+    realtime.expire_declared(spark, table, declared, as_of)
+    if chosen.compactOnly:
+        compaction.drop_replaced(spark, table, now - dt.timedelta(days=1))
+        compaction.compact(spark, table, as_of, declared.cluster_by)
+    if chosen.expireOnly or chosen.compactOnly:
         return
     messages = topics.read_topic(
         spark,

@@ -127,11 +127,12 @@ def reset_database(spark: SparkSession, database: str) -> None:
     spark.sql(f"DROP DATABASE IF EXISTS {quoted(database)} CASCADE")
 
 
-def drop_partitions(spark: SparkSession, table: str, specs: list[dict[str, str]]) -> None:
-    """Drop whole partitions with their files, a few hundred to a statement."""
+def drop_partitions(spark: SparkSession, table: str, specs: list[dict[str, str | None]]) -> None:
+    """Drop whole partitions with their files, a few hundred to a statement. None stands for
+    the partition of rows without a value."""
     for start in range(0, len(specs), _PER_STATEMENT):
         clauses = ", ".join(
-            "PARTITION (" + ", ".join(f"{quoted(column)} = {_literal(value)}" for column, value in spec.items()) + ")"
+            "PARTITION (" + ", ".join(f"{quoted(column)} = {'NULL' if value is None else _literal(value)}" for column, value in spec.items()) + ")"
             for spec in specs[start : start + _PER_STATEMENT]
         )
         spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {clauses}")

@@ -15,7 +15,7 @@ from millrace.operators import catalog, entities, retention, segments, sets
 from millrace.plans.registry import query
 from millrace.schemas import FLIGHTS, MERGED_CHANGES
 from millrace.sources import tables, topics
-from millrace.streaming import hourly, ingest, realtime
+from millrace.streaming import compaction, hourly, ingest, realtime
 
 TOPIC = "events"
 TOPIC_PARTITIONS = 2
@@ -228,6 +228,39 @@ def derived_entity_metrics(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query(
+    """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS total_event_id,
+       count(*) FILTER (WHERE event_id % 4 IN (2, 0) AND CAST(ts AS DATE) < DATE '2024-01-20') AS n_merged
+FROM events GROUP BY 1
+"""
+)
+def rt_compacted(spark: SparkSession, directory: str) -> DataFrame:
+    """A real-time table whose closed days are merged after three batches, of which the newest
+    is left alone, and into which a fourth batch comes late."""
+    folder, checkpoint = workspace.fresh_path(spark, "topic"), workspace.fresh_path(spark, "checkpoint")
+    table = f"{catalog.create_scratch_database(spark, 'compacted')}.{TOPIC}"
+    realtime.create_realtime_table(spark, table, EVENT, segment_rows=50_000, cluster_by=["event_type"])
+    day = F.col("ts").cast("date")
+
+    def take(part: int) -> None:
+        topics.publish_to_folder(_messages(_events(spark, directory).filter(F.col("event_id") % 4 == part)), folder)
+        ingest.run_to_end(realtime.ingest_realtime(_stream(spark, folder), table, EVENT, day, checkpoint))
+
+    for part in (2, 0, 3):
+        take(part)
+    compaction.compact(spark, table, dt.date(2024, 1, 20), ["event_type"], fewest=1)
+    compaction.drop_replaced(spark, table)
+    take(1)
+    spark.catalog.refreshTable(table)
+    kept = compaction.visible(spark, table).groupBy("day").agg(
+        F.count("*").alias("n_rows"),
+        F.sum("event_id").alias("total_event_id"),
+        F.count_if(F.col(compaction.BATCH).startswith(compaction.MERGED)).alias("n_merged"),
+    )
+    return kept.withColumn("day", F.col("day").cast("string"))
+
+
 @query(
     """
 SELECT event_id % 11 = 0 AS quarantined, count(*) AS n_messages,

@@ -2,7 +2,8 @@
 
 Every micro-batch owns a sub-partition of each day, named after the query and the batch.
 A batch that is replayed after a failure overwrites its own sub-partitions, so its rows
-are there once, and whole days can be dropped without a word to the stream.
+are there once, and whole days can be dropped without a word to the stream. Closed days are
+merged by ``compaction``.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions import clock, decode
 from millrace.operators import catalog, retention
 from millrace.schemas import TableSchema
+from millrace.streaming import compaction
 from millrace.streaming.ingest import triggered
 
-DAY = "day"
-BATCH = "batch"
+DAY = compaction.DAY
+BATCH = compaction.BATCH
 
 
 def create_realtime_table(
@@ -42,6 +44,7 @@ def create_realtime_table(
         options["maxRecordsPerFile"] = str(segment_rows)
     options |= {f"parquet.bloom.filter.enabled#{column}": "true" for column in cluster_by}
     catalog.create_table(spark, table, columns, "parquet", partitioned_by=(DAY, BATCH), options=options)
+    compaction.create_log(spark, table)
 
 
 def ingest_realtime(
@@ -109,10 +112,11 @@ def read_quarantined(spark: SparkSession, table: str) -> DataFrame:
 
 
 def read_realtime(spark: SparkSession, table: str) -> DataFrame:
-    """A real-time table's rows with their day. A stream writes from a session of its own,
-    so what this session remembers of the table's files is looked up anew."""
+    """A real-time table's rows with their day, whether compacted or not. A stream writes from
+    a session of its own, so what this session remembers of the table's files is looked up
+    anew."""
     spark.catalog.refreshTable(table)
-    return spark.table(table).drop(BATCH)
+    return compaction.visible(spark, table).drop(BATCH)
 
 
 def day_by(declared: TableSchema) -> Column:

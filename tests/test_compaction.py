@@ -1,0 +1,170 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import workspace
+from millrace.operators import catalog, retention
+from millrace.plans.realtime import EVENT, TOPIC, _messages
+from millrace.sources import topics
+from millrace.streaming import compaction, ingest, realtime
+
+from .conftest import SMALL
+
+CLOSED = dt.date(2024, 1, 20)
+
+
+class Table:
+    """A real-time table whose stream takes a part of the events in each batch."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.name = f"{catalog.create_scratch_database(spark, 'compaction')}.{TOPIC}"
+        self.folder, self.checkpoint = workspace.fresh_path(spark, "topic"), workspace.fresh_path(spark, "checkpoint")
+        # Few days, one of them still open, and events without a time.
+        events = spark.read.parquet(f"{SMALL}/events.parquet").filter("day(ts) IN (5, 12, 16, 25)")
+        self.events = events.withColumn("ts", F.when(F.col("event_id") % 10 != 0, F.col("ts")))
+        realtime.create_realtime_table(spark, self.name, EVENT, segment_rows=20, cluster_by=["event_type"])
+
+    def take(self, *parts):
+        for part in parts:
+            chosen = self.events.filter(F.col("event_id") % 6 == part)
+            topics.publish_to_folder(_messages(chosen).coalesce(1), self.folder)
+        source = topics.read_topic(self.spark, TOPIC, folder=self.folder, options={"maxFilesPerTrigger": "1"})
+        day = F.col("ts").cast("date")
+        ingest.run_to_end(realtime.ingest_realtime(source, self.name, EVENT, day, self.checkpoint))
+
+    def ids(self):
+        return sorted(r.event_id for r in realtime.read_realtime(self.spark, self.name).select("event_id").collect())
+
+    def expected(self, *parts):
+        return sorted(r.event_id for r in self.events.select("event_id").collect() if r.event_id % 6 in parts)
+
+    def batches(self):
+        listed = [r.partition for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()]
+        return [name.split("batch=")[1] for name in listed if "day=2024-01-05" in name]
+
+
+@pytest.fixture
+def table(spark):
+    made = Table(spark)
+    yield made
+    catalog.reset_database(spark, made.name.split(".")[0])
+
+
+def test_closed_days_become_few_segments(spark, table):
+    table.take(0, 1, 2, 3)
+    assert len(table.batches()) == 4
+    before = table.ids()
+    replaced = compaction.compact(spark, table.name, CLOSED, ["event_type"])
+    assert table.ids() == before == table.expected(0, 1, 2, 3)
+    assert compaction.drop_replaced(spark, table.name) == replaced > 0
+    assert table.ids() == before
+    # The newest batch may still be replayed and stays as it is.
+    assert len(table.batches()) == 2 and "merged-1" in table.batches()
+    merged = spark.table(table.name).filter(F.col("batch") == "merged-1")
+    files = merged.groupBy(F.input_file_name()).count().collect()
+    assert max(f["count"] for f in files) <= 20
+    assert merged.filter("day IS NULL").count() > 0  # rows without a day are merged too
+    assert merged.agg(F.max("day")).first()[0] < CLOSED
+    # Nothing is left to do.
+    assert compaction.compact(spark, table.name, CLOSED) == 0 and compaction.drop_replaced(spark, table.name) == 0
+
+
+def test_late_batches_are_merged_with_what_is_there(spark, table):
+    table.take(0, 1, 2)
+    compaction.compact(spark, table.name, CLOSED)
+    table.take(3, 4)
+    assert table.ids() == table.expected(0, 1, 2, 3, 4)
+    assert compaction.compact(spark, table.name, CLOSED) > 0
+    assert table.ids() == table.expected(0, 1, 2, 3, 4)
+    compaction.drop_replaced(spark, table.name)
+    assert sorted(b.split("-")[0] == "merged" for b in table.batches()) == [False, True]
+    table.take(5)
+    assert table.ids() == table.expected(*range(6))
+
+
+@pytest.mark.parametrize("step", ["write", "commit", "drop"])
+def test_a_run_that_dies_leaves_every_row_once(spark, table, monkeypatch, step):
+    table.take(0, 1, 2, 3)
+    rows = table.expected(0, 1, 2, 3)
+
+    class Died(Exception):
+        pass
+
+    def die(*_, **__):
+        raise Died
+
+    with monkeypatch.context() as patch, pytest.raises(Died):
+        if step == "write":  # generation written, not committed
+            patch.setattr(compaction, "_commit", die)
+        elif step == "commit":  # committed, nothing dropped
+            patch.setattr(compaction.catalog, "drop_partitions", die)
+        else:  # some partitions dropped
+            drop = catalog.drop_partitions
+            patch.setattr(compaction.catalog, "drop_partitions", lambda s, t, specs: (drop(s, t, specs[:3]), die()))
+        compaction.compact(spark, table.name, CLOSED)
+        compaction.drop_replaced(spark, table.name)
+    assert table.ids() == rows
+    table.take(4)
+    assert table.ids() == table.expected(0, 1, 2, 3, 4)
+    compaction.compact(spark, table.name, CLOSED)
+    compaction.drop_replaced(spark, table.name)
+    assert table.ids() == table.expected(0, 1, 2, 3, 4)
+    assert len([b for b in table.batches() if b.startswith("merged")]) == 1
+
+
+def test_a_frame_made_before_a_merge_reads_the_same_after_it(spark, table):
+    table.take(0, 1, 2)
+    early = realtime.read_realtime(spark, table.name)
+    compaction.compact(spark, table.name, CLOSED)
+    between = realtime.read_realtime(spark, table.name)
+    table.take(3)
+    compaction.compact(spark, table.name, CLOSED, fewest=1)
+    for frame in (early, between):
+        ids = [r.event_id for r in frame.select("event_id").collect()]
+        assert len(ids) == len(set(ids)) and set(ids) >= set(table.expected(0, 1, 2))
+
+
+def test_a_replayed_batch_is_not_there_twice(spark, table):
+    table.take(0, 1, 2)
+    compaction.compact(spark, table.name, CLOSED)
+    # What a replay of a merged batch would write again.
+    kept = spark.table(table.name).filter(F.col("batch").endswith("-0"))
+    spark.createDataFrame(kept.collect(), kept.schema).write.insertInto(table.name, overwrite=True)
+    assert table.ids() == table.expected(0, 1, 2)
+
+
+def test_replaced_partitions_wait_for_their_readers(spark, table):
+    table.take(0, 1, 2)
+    at = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
+    compaction.compact(spark, table.name, CLOSED, now=at)
+    assert compaction.drop_replaced(spark, table.name, at - dt.timedelta(hours=1)) == 0
+    assert compaction.drop_replaced(spark, table.name, at + dt.timedelta(hours=1)) > 0
+    assert table.ids() == table.expected(0, 1, 2)
+
+
+def test_retention_drops_merged_days(spark, table):
+    table.take(0, 1, 2)
+    compaction.compact(spark, table.name, CLOSED)
+    retention.drop_expired(spark, table.name, realtime.DAY, 7, CLOSED)
+    kept = table.events.filter(F.col("event_id") % 6 < 3).filter("ts IS NULL OR CAST(ts AS DATE) > DATE '2024-01-13'")
+    assert table.ids() == sorted(r.event_id for r in kept.collect())
+
+
+def test_a_day_is_read_without_the_others(spark, table):
+    table.take(0, 1, 2)
+    compaction.compact(spark, table.name, CLOSED)
+    one = realtime.read_realtime(spark, table.name).filter("day = DATE '2024-01-05'")
+    assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().toString()
+
+
+def test_an_empty_table_and_one_never_compacted(spark, table):
+    assert compaction.compact(spark, table.name, CLOSED) == 0
+    assert compaction.drop_replaced(spark, table.name) == 0
+    assert table.ids() == []
+    spark.sql(f"DROP TABLE {compaction.log_of(table.name)}")
+    table.take(0)
+    assert table.ids() == table.expected(0)
