@@ -143,7 +143,7 @@ def _parsed(rows: DataFrame, batch: str) -> DataFrame:
     """Who wrote a partition, and as which batch or generation."""
     number = F.substring_index(batch, "-", -1)
     producer = F.expr(f"substring(`{batch}`, 1, length(`{batch}`) - length(substring_index(`{batch}`, '-', -1)) - 1)")
-    return rows.withColumns({_PRODUCER: producer, _NUMBER: number.cast("bigint")})
+    return rows.withColumns({_PRODUCER: producer, _NUMBER: number.try_cast("bigint")})
 
 
 def _counting(rows: DataFrame, merges: DataFrame) -> DataFrame:
