@@ -48,6 +48,23 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
     return [(x, r) for x in range(n) if (r := root(x)) != x]
 
 
+def trees(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a symmetric matrix thinned to a forest: the things that hang, and the
+    first of each one's tree. Takes a step for each thing, not for each link."""
+    top = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if top[start] >= 0:
+            continue
+        top[start] = start
+        reached = [start]
+        while reached:
+            fresh = np.flatnonzero(linked[reached.pop()] & (top < 0))
+            top[fresh] = start
+            reached += fresh.tolist()
+    hung = np.flatnonzero(top != np.arange(len(linked)))
+    return hung, top[hung]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(a, b)`` links between longs to ``(id, component)``: for every id that has a link,
     the smallest id it is connected with.

@@ -9,7 +9,8 @@ ones are compared by brute force, and large ones are split again by sampled toke
 the path so far in the hash. There are as many runs as the wanted recall asks for.
 
 What a bucket compares are estimates, with a margin that makes a miss improbable. They
-join classes into candidate groups, in which every pair is then compared by its whole sets.
+join classes into candidate groups, in which every pair is then compared by its whole sets:
+texts are made into sets once, and what meets in blocks are sorted shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import batches, textscan
 from millrace.llm.filters import maybe_in
-from millrace.llm.groups import TASK, components, forest, in_blocks
+from millrace.llm.groups import TASK, components, in_blocks, trees
 from millrace.llm.store import written
 
 #: Tokens of the embedding.
@@ -36,7 +37,9 @@ SMALL = 256
 #: Levels of splitting. What is large even then is compared in blocks.
 DEPTH = 3
 #: Classes, and shingles, of a block of exact comparison.
-BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Shared shingles that are laid out at a time.
+COLUMNS = 2048
 #: Estimates may fall short of the threshold by this many standard deviations.
 MARGIN = 5.0
 
@@ -70,7 +73,8 @@ def similar_documents(
     * Words are the runs between ASCII white space, as they are written. A text with fewer
       words than ``width`` has one shingle, all of its words. A text without words, or
       null, has an empty set, which is linked with nothing.
-    * Whole texts count, however long. Documents with equal sets are linked like others.
+    * Whole texts count, however long; a set is one value of 8 bytes for each of its shingles.
+      Documents with equal sets are linked like others.
     * Each row is a document, also where ids repeat or are null: it comes back once, and
       is linked by its own text. A null id is in the class of its text; ``class_id`` is
       null, and ``kept`` true, where no document of the class has an id.
@@ -111,9 +115,8 @@ def _classified(
     near = written(met.mapInArrow(_estimated(threshold), "a long, b long"), "candidates")
     groups = components(near).select(F.col("id").alias("node"), F.col("component").alias("group"))
     grouped = written(groups.join(classes.select("node", "key", "n", "shingles", "text.*"), "node"), "groups")
-    compared = written(
-        _with_texts(grouped, rows).mapInArrow(_exact(Fraction(str(threshold)), width), "a long, b long, others long"), "links"
-    )
+    dealt = in_blocks(_with_sets(grouped, rows, width), "node", F.col("parts")).drop("parts")
+    compared = written(dealt.mapInArrow(_exact(Fraction(str(threshold))), "a long, b long, others long"), "links")
 
     counts = compared.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
     joined = components(compared.filter("b IS NOT NULL").select("a", "b")).toDF("node", "component")
@@ -260,86 +263,119 @@ def _estimated(threshold: float):
                 equal = np.zeros((e - s, e - s), np.uint8)
                 for token in own:
                     equal += token[:, None] == token[None, :]
-                a, b = np.nonzero(np.triu(equal >= least, 1))
-                for x, r in forest(e - s, a, b):
-                    first.append(nodes[s + x])
-                    second.append(nodes[s + r])
+                hung, tops = trees(equal >= least)
+                first += nodes[s + hung].tolist()
+                second += nodes[s + tops].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(first, np.int64)), pa.array(np.array(second, np.int64))], ["a", "b"])
 
     return run
 
 
-def _with_texts(grouped: DataFrame, rows: DataFrame) -> DataFrame:
+def _with_sets(grouped: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """The candidate classes with their sets, and the number of ``parts`` of their groups."""
     sizes = grouped.groupBy("group").agg(F.count("*").alias("size"), F.sum("shingles").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES))
     named = grouped.join(sizes, "group").withColumn("parts", F.least(blocks, F.col("size")))
     # One text of each class, whichever of its copies a task meets first.
     wanted = maybe_in(rows, F.col("h"), grouped, "h").filter("__maybe").groupBy("h", "h2").agg(F.first("text").alias("text"))
     texts = wanted.join(named, ["h", "h2"]).select("group", "node", "key", "n", "text", "parts")
-    return in_blocks(texts, "node", F.col("parts")).drop("parts")
+    return texts.mapInArrow(_hashed(width), "group long, node long, n long, parts long, set binary")
+
+
+def _hashed(width: int):
+    kept = ["group", "node", "n", "parts"]
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for batch in textscan.pieces(whole, "text"):
+                sets, cuts = shingle_sets(batch, width)
+                own = [sets[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                fits = pa.array([_key(x) == key.as_py() for x, key in zip(own, batch.column("key"))], pa.bool_())
+                column = pa.array([x.tobytes() for x in own], pa.binary())
+                told = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, "set"])
+                yield told.filter(fits)
 
-def _exact(threshold: Fraction, width: int):
+    return run
+
+
+def _exact(threshold: Fraction):
     """Compare whole sets: for each class, how many documents it is linked with, and a
-    forest of the links."""
+    forest of the links. Two blocks of a group are compared with each other only; pairs
+    within a block meet in a task of their own."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in batches.whole_groups(parts, TASK):
-            nodes, block, weight = (batches.numbers(batch, c) for c in ("node", "block", "n"))
-            low, high = batches.numbers(batch, "low"), batches.numbers(batch, "high")
-            keys = batch.column("key")
-            out: list[tuple[int, int | None, int]] = []
+            nodes, block, weight, low = (batches.numbers(batch, c) for c in ("node", "block", "n", "low"))
+            data, cuts = textscan.utf8(batch.column("set"))
+            hung, tops, counted, others = [], [], [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                sets, cuts = shingle_sets(batch.slice(s, e - s), width)
-                rows, seen = [], set()
-                for i in range(e - s):
-                    node = int(nodes[s + i])
-                    if node not in seen and _key(sets[cuts[i] : cuts[i + 1]]) == keys[s + i].as_py():
-                        seen.add(node)
-                        rows.append(i)
-                if len(rows) < 2:
-                    continue
-                own = [sets[cuts[i] : cuts[i + 1]] for i in rows]
-                linked = _linked(own, threshold)
-                at = np.array(rows) + s
-                if low[s] != high[s]:  # pairs within a block meet in a task of their own
-                    linked &= block[at][:, None] != block[at][None, :]
-                counts = linked @ weight[at]
-                names = nodes[at].tolist()
-                out += [(x, None, int(c)) for x, c in zip(names, counts.tolist()) if c]
-                out += [(names[x], names[r], 0) for x, r in forest(len(rows), *np.nonzero(np.triu(linked)))]
-            columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b", "others"])
+                own = [data[cuts[i] : cuts[i + 1]].view(np.uint64) for i in range(s, e)]
+                left = np.flatnonzero(block[s:e] == low[s])
+                right = np.flatnonzero(block[s:e] != low[s])
+                linked = np.zeros((e - s, e - s), bool)
+                if batch.column("high")[s].as_py() == low[s]:
+                    linked[:] = _linked(own, own, threshold)
+                    np.fill_diagonal(linked, False)
+                elif len(left) and len(right):
+                    across = _linked([own[i] for i in left], [own[i] for i in right], threshold)
+                    linked[np.ix_(left, right)] = across
+                    linked[np.ix_(right, left)] = across.T
+                links = np.array([int(weight[s:e][row].sum()) for row in linked], np.int64)
+                some = np.flatnonzero(links)
+                counted += nodes[s + some].tolist()
+                others += links[some].tolist()
+                x, top = trees(linked)
+                hung += nodes[s + x].tolist()
+                tops += nodes[s + top].tolist()
+            columns = [counted + hung, [None] * len(counted) + tops, others + [0] * len(hung)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "others"])
 
     return run
 
 
-def _linked(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
-    """Which of the sets have a Jaccard similarity of the threshold or more, as whole
-    numbers decide. Sets are laid out over their shared shingles, some columns at a time."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    if len(sets) == 2:
-        shared = np.array([[0, _shared(*sets)]] * 2) * np.array([[1, 1], [0, 0]])
-        shared = shared + shared.T
+def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction) -> np.ndarray:
+    """Which sets on the left have a Jaccard similarity of the threshold or more with which
+    on the right, as whole numbers decide. Sets are laid out over the shingles that both
+    sides hold, some columns at a time. Where both sides are one list, what is said of a set
+    and itself means nothing."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    shared = np.zeros((len(left), len(right)), np.int32)
+    if len(left) == len(right) == 1:
+        shared[0, 0] = _shared(left[0], right[0])
+    elif left is right and len(left) == 2:
+        shared[0, 1] = shared[1, 0] = _shared(*left)
+    else:
+        columns, count = _columns(left, right)
+        for start in range(0, count, COLUMNS):
+            a, b = (_layout(*side, start, len(n)) for side, n in zip(columns, sizes))
+            shared += np.rint(a @ b.T).astype(np.int32)
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    return shared * np.int64(threshold.denominator) >= union * threshold.numerator
+
+
+def _columns(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """For either side the columns of the shingles that count, in order, with the set that
+    holds each; and the number of columns. A shingle that just one set holds does not count."""
+    sides = [np.unique(np.concatenate(side), return_inverse=True) for side in (left, right)]
+    if left is right:
+        common = sides[0][0][np.bincount(sides[0][1]) > 1]
     else:
-        tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        often = np.bincount(place, minlength=len(tokens)) > 1
-        rank = np.cumsum(often) - 1
-        owner, place = owner[often[place]], rank[place[often[place]]]
-        order = np.argsort(place, kind="stable")
-        owner, place = owner[order], place[order]
-        shared = np.zeros((len(sets), len(sets)), np.int64)
-        step = 4096
-        for start in range(0, int(often.sum()), step):
-            s, e = np.searchsorted(place, [start, start + step])
-            layout = np.zeros((len(sets), step), np.float32)
-            layout[owner[s:e], place[s:e] - start] = 1
-            shared += np.rint(layout @ layout.T).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - shared
-    linked = shared * threshold.denominator >= union * threshold.numerator
-    np.fill_diagonal(linked, False)
-    return linked
+        common = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True)
+    out = []
+    for sets, (tokens, at) in zip((left, right), sides):
+        held = np.isin(tokens, common, assume_unique=True)[at]
+        column = np.searchsorted(common, tokens)[at[held]]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[held]
+        order = np.argsort(column, kind="stable")
+        out.append((column[order], owner[order]))
+    return out, len(common)
+
+
+def _layout(column: np.ndarray, owner: np.ndarray, start: int, rows: int) -> np.ndarray:
+    s, e = np.searchsorted(column, [start, start + COLUMNS])
+    out = np.zeros((rows, COLUMNS), np.float32)
+    out[owner[s:e], column[s:e] - start] = 1
+    return out
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import batches
-from millrace.llm.groups import components, forest
+from millrace.llm.groups import components, forest, trees
 from tests.llm.helpers import groups
 
 
@@ -44,6 +44,16 @@ def test_forest_connects_what_is_linked():
     assert sorted(tree) == [(3, 1), (4, 2), (5, 2)]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.1, 1.0])
+def test_trees_connect_what_is_linked(share):
+    own = np.random.default_rng(4).random((60, 60)) < share
+    linked = own | own.T
+    np.fill_diagonal(linked, False)
+    hung, tops = trees(linked)
+    expected = groups(range(60), list(zip(*np.nonzero(linked))))
+    assert dict(zip(hung.tolist(), tops.tolist())) == {x: t for x, t in expected.items() if x != t}
+
+
 def test_groups_come_whole_out_of_any_batches():
     rng = random.Random(1)
     keys = sorted((rng.randint(0, 20), rng.randint(0, 1)) for _ in range(200))

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,55 @@ def test_split_buckets_and_blocks_do_not_change_the_result(spark, monkeypatch):
     assert found(docs(spark, rows)) == expected(rows)
 
 
+def test_measured_recall_where_buckets_are_split(spark, monkeypatch):
+    """Pairs right above the threshold, in documents that crowd the buckets by a passage."""
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    rng, vocabulary = random.Random(8), invented(8)
+    passage, rows = sentence(rng, vocabulary, 40), []
+    for i in range(150):
+        own = sentence(rng, vocabulary, 100).split()
+        other = list(own)
+        for at in range(3):  # each changed word changes five of the 138 shingles
+            other[10 + 30 * at] = "changed"
+        rows += [(2 * i, passage + " " + " ".join(own)), (2 * i + 1, passage + " " + " ".join(other))]
+    sets = [shingles(text) for _, text in rows]
+    assert all(0.8 <= len(a & b) / len(a | b) <= 0.82 for a, b in zip(sets[::2], sets[1::2]))
+    links = sum(r.n_links for r in ngram_join.similar_documents(docs(spark, rows)).collect())
+    assert 0.99 * 300 <= links <= 300
+
+
+def test_crowded_group_over_several_blocks(spark):
+    """Every two classes of one group are linked, within a block and across blocks."""
+    rng, n = random.Random(9), 3 * ngram_join.BLOCK
+    base = invented(9, 60)
+    rows = [(i, " ".join([*base[:30], f"x{i}", *base[30:], f"y{i}"])) for i in range(n)]
+    rng.shuffle(rows)
+    got = ngram_join.similar_documents(docs(spark, rows)).collect()
+    sets = [shingles(text) for _, text in rows[:2]]
+    linked = len(sets[0] & sets[1]) * 5 >= len(sets[0] | sets[1]) * 4
+    assert {(r.n_links, r.class_id) for r in got} == ({(n - 1, 0)} if linked else {(0, r.class_id) for r in got})
+    assert linked
+
+
+@pytest.mark.parametrize("columns", [3, 2048])
+def test_linked_sets_of_two_sides(monkeypatch, columns):
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    rng = random.Random(1)
+    sets = [np.unique(np.array([rng.randint(0, 12) for _ in range(rng.randint(1, 14))], np.uint64)) for _ in range(40)]
+    sets += [np.array([999], np.uint64), np.array([2**64 - 1], np.uint64)]
+
+    def plain(a, b):
+        a, b = set(a.tolist()), set(b.tolist())
+        return len(a & b) * 5 >= len(a | b) * 3
+
+    for left, right in [(sets, sets), (sets[:15], sets[15:]), (sets[:1], sets[1:2]), (sets[:1], sets[1:]), (sets[-1:], sets[:4]), (sets[:2], sets[:2])]:
+        got, expected = ngram_join._linked(left, right, Fraction(3, 5)), np.array([[plain(a, b) for b in right] for a in left])
+        if left is right:
+            np.fill_diagonal(got, True)
+        assert (got == expected).all()
+    assert ngram_join._linked(two := sets[:2], two, Fraction(3, 5))[0, 1] == plain(*two)
+
+
 def test_short_empty_and_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [
