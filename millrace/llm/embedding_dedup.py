@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import batches
-from millrace.llm.groups import TASK, components, forest, in_blocks
+from millrace.llm.groups import TASK, components, in_blocks, trees
 from millrace.llm.store import written
 from millrace.llm.textscan import mix
 
@@ -177,11 +177,9 @@ def _linker(threshold: float, counting: bool):
                         first.append(reps[rows])
                         second.append(linked @ weight[rows])
                     else:
-                        a, b = np.nonzero(np.triu(linked))
-                        ids = reps[rows].tolist()
-                        tree = forest(len(rows), a, b)
-                        first.append(np.array([ids[x] for x, _ in tree], np.int64))
-                        second.append(np.array([ids[r] for _, r in tree], np.int64))
+                        hung, tops = trees(linked | linked.T)
+                        first.append(reps[rows[hung]])
+                        second.append(reps[rows[tops]])
             if first:
                 names = ["rep", "others"] if counting else ["a", "b"]
                 columns = [np.concatenate(first).astype(np.int64), np.concatenate(second).astype(np.int64)]

@@ -31,23 +31,6 @@ def in_blocks(rows: DataFrame, item: str, blocks: Column) -> DataFrame:
     return dealt.repartition(*TASK).sortWithinPartitions(*TASK)
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links among ``n`` things thinned to a forest: each thing with the first of its tree."""
-    top = list(range(n))
-
-    def root(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    for a, b in zip(left.tolist(), right.tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            top[max(a, b)] = min(a, b)
-    return [(x, r) for x in range(n) if (r := root(x)) != x]
-
-
 def trees(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links of a symmetric matrix thinned to a forest: the things that hang, and the
     first of each one's tree. Takes a step for each thing, not for each link."""

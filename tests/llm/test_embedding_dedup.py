@@ -90,6 +90,27 @@ def test_empty_table(spark):
     assert found(table(spark, [])) == Counter()
 
 
+def test_measured_recall_of_pairs_right_above_the_threshold(spark):
+    """Pairs met in the tables themselves, among vectors that fill many buckets of many tables."""
+    import numpy as np
+
+    rng, n, width = np.random.default_rng(3), 2000, 32
+    centres = rng.standard_normal((n, width))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    across = rng.standard_normal((n, width))
+    across -= (across * centres).sum(axis=1, keepdims=True) * centres
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    beside = 0.901 * centres + math.sqrt(1 - 0.901**2) * across
+    planes, tables = embedding_dedup.table_shape(2 * n, 0.9, 0.9999)
+    assert planes >= 8 and tables >= 20
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([centres, beside]))]
+    links = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table(spark, rows)).collect()}
+    own = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    true = ((own @ own.T) >= 0.9).sum() - len(own)
+    assert true >= 2 * n and 0.999 * true <= sum(links.values()) <= true
+
+
 @pytest.mark.parametrize("n", [10, 10_000, 10**9])
 def test_tables_meet_the_recall(n):
     planes, tables = embedding_dedup.table_shape(n, 0.9, 0.9999)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import batches
-from millrace.llm.groups import components, forest, trees
+from millrace.llm.groups import components, trees
 from tests.llm.helpers import groups
 
 
@@ -39,11 +39,6 @@ def test_components_of_nothing(spark):
     assert found(spark, []) == {}
 
 
-def test_forest_connects_what_is_linked():
-    tree = forest(6, np.array([4, 4, 1]), np.array([5, 2, 3]))
-    assert sorted(tree) == [(3, 1), (4, 2), (5, 2)]
-
-
 @pytest.mark.parametrize("share", [0.0, 0.02, 0.1, 1.0])
 def test_trees_connect_what_is_linked(share):
     own = np.random.default_rng(4).random((60, 60)) < share
