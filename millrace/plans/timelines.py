@@ -167,6 +167,8 @@ def overlapping_orders(spark: SparkSession, directory: str) -> DataFrame:
         F.min(clock.epoch_days("l_shipdate")).alias("shipped_from"), (F.max(clock.epoch_days("l_shipdate")) + 1).alias("shipped_to")
     )
     spans = orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("ordered", clock.epoch_days("o_orderdate"))
+    # Both sides of the join are made of these, and it reads each of them more than once.
+    spans = workspace.written(spans.select("o_custkey", "o_orderkey", "o_orderpriority", "ordered", "shipped_from", "shipped_to"), "order-spans")
     placed = spans.select("o_custkey", "o_orderkey", "o_orderpriority", "ordered", (F.col("ordered") + 30).alias("until"))
     moving = spans.select("o_custkey", "o_orderkey", "shipped_from", "shipped_to")
     pairs = intervals.overlapping(placed, moving, ["o_custkey"], ("ordered", "until"), ("shipped_from", "shipped_to"), 30)

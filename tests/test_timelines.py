@@ -135,6 +135,25 @@ def test_overlapping_intervals(spark, width, part):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("whole, part", [(0, 10_000), (0, 5), (12, 3)])
+def test_overlapping_intervals_of_large_keys(spark, whole, part):
+    left, right = spans(120, 8), spans(130, 9)
+    frames = spark.createDataFrame(left, SPANS), spark.createDataFrame(right, SPANS)
+    found = intervals.overlapping(*frames, ["k"], ("a", "b"), ("a", "b"), 16, part, whole)
+    pairs = Counter((tuple(r.left), tuple(r.right)) for r in found.collect())
+    usable = [[r for r in side if None not in r[:3] and r[1] < r[2]] for side in (left, right)]
+    assert pairs == Counter((x, y) for x in usable[0] for y in usable[1] if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
+    everywhere = intervals.overlapping(*frames, [], ("a", "b"), ("a", "b"), 16, part, whole)
+    assert everywhere.count() == sum(x[1] < y[2] and y[1] < x[2] for x in left for y in right if None not in x[1:3] + y[1:3] and x[1] < x[2] and y[1] < y[2])
+
+
+def test_long_spans_of_small_keys_are_sent_once(spark):
+    left = spark.createDataFrame([("a", 0, 10**12, 1), ("b", 5, 6, 2)], SPANS)
+    right = spark.createDataFrame([("a", 3, 10**11, 3), ("b", -(10**12), 10**12, 4), ("b", 6, 7, 5)], SPANS)
+    found = intervals.overlapping(left, right, ["k"], ("a", "b"), ("a", "b"), 1)
+    assert {(r.left.id, r.right.id) for r in found.collect()} == {(1, 3), (2, 4)}
+
+
 def test_crowded_bins_are_split(spark, conf):
     conf("spark.sql.adaptive.enabled", "false")
     left = spark.createDataFrame([("hot", i % 10, 20, i) for i in range(2000)], SPANS)
