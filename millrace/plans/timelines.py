@@ -49,8 +49,10 @@ def _in_parts(spark: SparkSession, directory: str, parts: list[str]) -> DataFram
     takes a part at a time."""
     events = _events(spark, directory)
     folder = workspace.fresh_path(spark, "topic")
+    # A part is a number of files, so that many tasks write it and read it.
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for condition in parts:
-        topics.publish_to_folder(_messages(events.filter(condition)).coalesce(1), folder)
+        topics.publish_to_folder(_messages(events.filter(condition)), folder, files)
     newest = events.agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
     closing = newest.select(
         (F.col("event_id") + 1).alias("event_id"),
@@ -61,8 +63,8 @@ def _in_parts(spark: SparkSession, directory: str, parts: list[str]) -> DataFram
         F.lit(None).cast("string").alias("props"),
     )
     topics.publish_to_folder(_messages(closing).coalesce(1), folder)
-    stream = topics.read_topic(spark, TOPIC, folder=folder, options={"maxFilesPerTrigger": "1"})
-    rows = decode.parse_json(stream, EVENT).filter(F.col(decode.CORRUPT).isNull()).select("row.*")
+    stream = topics.read_topic(spark, TOPIC, folder=folder, options={"maxFilesPerTrigger": str(files)})
+    rows, _ = decode.decode_json(stream, EVENT)
     return rows.withColumn("at", clock.instant("ts"))
 
 

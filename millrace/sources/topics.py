@@ -57,9 +57,20 @@ def publish_to_kafka(messages: DataFrame, servers: str, topic: str, options: dic
     )
 
 
-def publish_to_folder(messages: DataFrame, folder: str) -> None:
-    """Append records to a folder topic."""
-    messages.write.mode("append").parquet(folder)
+def publish_to_folder(messages: DataFrame, folder: str, files: int | None = None) -> None:
+    """Append records to a folder topic; with ``files``, in exactly so many files of like size,
+    which a stream can count (``maxFilesPerTrigger``).
+
+    Spark writes no file without rows, so each of these files has a record without a topic,
+    which no reader of a topic sees.
+    """
+    writer = messages.write
+    if files is not None:
+        # Rows of a partition are dealt in turn, so each file gets one of these.
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in messages.schema.fields]
+        spare = messages.sparkSession.range(0, files, 1, 1).select(*nothing)
+        writer = messages.unionByName(spare).repartition(files).write.option("maxRecordsPerFile", 0)
+    writer.mode("append").parquet(folder)
 
 
 def read_topic(

@@ -332,3 +332,18 @@ def test_undecodable_messages_are_kept_apart(spark, database, place):
         commit.unlink()
     run()
     check()
+
+
+@pytest.mark.parametrize("rows", [0, 3, 500])
+def test_topic_in_a_given_number_of_files(spark, conf, rows):
+    conf("spark.sql.files.maxRecordsPerFile", "10")
+    number = F.col("id").cast("string")
+    messages = topics.records(spark.range(rows), "t", number, number, F.col("id"), F.lit("2024-01-01"))
+    folder = workspace.fresh_path(spark, "topic")
+    for _ in range(2):
+        topics.publish_to_folder(messages, folder, files=6)
+    files = spark.read.parquet(folder)
+    assert len(files.inputFiles()) == 12
+    assert files.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= rows // 6 + 10
+    found = topics.read_topic(spark, "t", folder=folder, streaming=False)
+    assert sorted(r.offset for r in found.collect()) == sorted([*range(rows), *range(rows)])
