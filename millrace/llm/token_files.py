@@ -18,8 +18,10 @@ after them. Layout, all numbers little-endian:
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -325,10 +327,13 @@ _ENDS = np.zeros((5, 5), bool)
 _ENDS[[_LETTER, _SIGN], [_SIGN, _LETTER]] = True
 _ENDS[_DIGIT, [_LETTER, _DIGIT, _SIGN, _APOSTROPHE]] = True
 _ENDS[[_LETTER, _SIGN, _APOSTROPHE], _DIGIT] = True
+_ENDS = _ENDS.reshape(-1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Fixed value: the split that allows these ends.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Lower-case letters that no normaliser changes and no neighbour of theirs joins: one word.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 class _Encoder:
@@ -339,7 +344,9 @@ class _Encoder:
     case, which is read from the file, pieces are cut there too, and lowered first, so that
     fewer of them differ. A batch that holds the text of a special token is cut at white
     space alone. The library encodes many pieces in one call, with a special token between
-    them that tells where each ends. The ids of a batch are then put together by one look-up.
+    them that tells where each ends. Pieces of plain letters are a word each, whose last token
+    says so by its suffix; these need no such mark, and neither normalisers nor the split. The
+    ids of a batch are then put together by one look-up.
     """
 
     def __init__(self, text: str, end_id: int):
@@ -354,6 +361,10 @@ class _Encoder:
         rules = json.loads(text)
         self.special = {t["content"].encode(): t["id"] for t in rules["added_tokens"] if t["special"]}
         self.finely = _SPLIT in json.dumps(rules["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and "Lowercase" in json.dumps(rules["normalizer"])
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.words = _word_library(text) if self.finely and suffix and '"ByteLevel"' in json.dumps(rules["pre_tokenizer"]) else None
+        self.last = np.zeros(1 + max(known.values()), bool)
+        self.last[[i for token, i in known.items() if suffix and token.endswith(suffix)]] = True
         #: The end of a document is a piece too.
         self.known: dict[bytes | None, int] = {None: 0}
         self.ids = pa.array([np.array([end_id], "<u4").tobytes()], pa.large_binary())
@@ -368,16 +379,19 @@ class _Encoder:
         self.ids = self.ids.take(pa.array(keep))
         self.met = np.zeros(len(keep), bool)
 
-    def _learn(self, pieces: list[bytes], special: bool) -> None:
-        """Make the encodings of these different pieces known, none of which is yet."""
+    def _learn(self, plain: list[bytes], others: list[bytes], special: bool) -> None:
+        """Make the encodings of these different pieces known, none of which is yet: first
+        those of plain words, then the others."""
+        parts = [self._plainly(plain[s : s + _PIECES]) for s in range(0, len(plain), _PIECES)]
         if special or not self.special:
-            found = [self._ids(p.decode()) for p in pieces]
-            sizes, ids = [len(x) for x in found], np.concatenate([*found, np.zeros(0, np.uint32)])
+            found = [self._ids(p.decode()) for p in others]
+            parts += [(ids, np.array([len(ids)])) for ids in found]
         else:
-            parts = [self._together(pieces[s : s + _PIECES]) for s in range(0, len(pieces), _PIECES)]
-            ids, sizes = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [])
+            parts += [self._together(others[s : s + _PIECES]) for s in range(0, len(others), _PIECES)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [])
         bounds = 4 * np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         raw = np.ascontiguousarray(ids, "<u4").tobytes()
+        pieces = plain + others
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
         own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
         self.ids = pa.concat_arrays([self.ids, own])
@@ -385,6 +399,14 @@ class _Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _plainly(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_together`` for pieces of plain letters alone."""
+        found = np.array(self.words.encode_batch_fast([b" ".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[found])
+        if len(ends) != len(pieces):
+            raise ValueError("the library finds other words than the vocabulary's rules say")
+        return found, np.diff(np.concatenate([[-1], ends]))
+
     def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces that hold no special token, and the number of each piece's."""
         mark, number = next(iter(self.special.items()))
@@ -405,7 +427,7 @@ class _Encoder:
         begins[1:-1] = word[1:] & ~word[:-1]
         if self.finely and not special:
             kind = _KIND[data]
-            begins[1:-1] |= word[1:] & _ENDS[kind[:-1], kind[1:]]
+            begins[1:-1] |= word[1:] & _ENDS[kind[:-1] * np.uint8(5) + kind[1:]]
             data = _LOWER[data]
         begins[bounds] = True
         starts = np.flatnonzero(begins[:-1])
@@ -419,11 +441,18 @@ class _Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
         """The ids of all texts, one after the other and each with the end id, and their bounds."""
         coded, ends, special = self._pieces(texts)
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) > REMEMBERED:
             self._forget()
-        self._learn([p for p in pieces if p not in self.known], special)
-        number = np.array([self.known[p] for p in pieces], np.int64)
+        number = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(number < 0)
+        plain = np.zeros(len(fresh), bool)
+        if self.words and not special:
+            plain[:] = [p.isalpha() or _PLAIN.fullmatch(p.decode()) is not None for p in pieces[fresh]]
+        fresh = np.concatenate([fresh[plain], fresh[~plain]])
+        cut = int(plain.sum())
+        number[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+        self._learn(pieces[fresh[:cut]].tolist(), pieces[fresh[cut:]].tolist(), special)
         self.met = np.concatenate([self.met, np.zeros(len(self.known) - len(self.met), bool)])
         self.met[number], self.met[0] = True, True
         units = np.insert(number[coded.indices.to_numpy()], ends, 0)
@@ -432,6 +461,18 @@ class _Encoder:
         return np.frombuffer(found, "<u4"), bounds.tolist()
 
 
+def _word_library(text: str):
+    """The library with the vocabulary of the file, for lower-case words that spaces separate."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    library = Tokenizer.from_str(text)
+    library.no_truncation()
+    library.no_padding()
+    library.normalizer = normalizers.Sequence([])
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return library
+
+
 _encoders: dict[tuple[str, int], _Encoder] = {}
 
 

@@ -132,3 +132,16 @@ LETTERS = "ab AE'.!09\t\x0b\x1c\x85\xa0éÉßςΣİﬁ\u0301\u3000<|>\x00"
 def test_any_texts_are_encoded_as_the_library_does(library, texts):
     ids, bounds = token_files._encoder(vocabulary_text(), 1).encode(pa.array(texts))
     assert [ids[s:e].tolist() for s, e in zip(bounds, bounds[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_plain_words_are_encoded_without_marks(monkeypatch):
+    encoder = token_files._Encoder(vocabulary_text(), 1)
+    marked = []
+    together = encoder._together
+    monkeypatch.setattr(encoder, "_together", lambda pieces: marked.extend(pieces) or together(pieces))
+    texts = ["Some wörds, ÉTÉ naïve ÿ ß don't éa 12 a÷b a×b İx ﬁn a­b </w> x</w>y", None, "", "straße zzzzqqqqxxxx it's 'll ähm <|endoftext|", "ab cd ab cd"]
+    ids, bounds = encoder.encode(pa.array(texts))
+    library = Tokenizer.from_str(vocabulary_text())
+    for text, start, end in zip(texts, bounds, bounds[1:]):
+        assert ids[start:end].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1]
+    assert marked and not any(p.decode().isalpha() and p.decode().isascii() for p in marked)
